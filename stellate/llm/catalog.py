@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, token_count
+from . import bpe, exact_dedup, token_count
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,9 +23,14 @@ def op2_bpe(spark, sf_dir):
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op4_exact_dedup(spark, sf_dir):
+    """One decision per document: which of its equals stays."""
+    return exact_dedup.decide(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_bpe, op4_exact_dedup)}
 
 
 def oracle_sql():
-    return {}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
