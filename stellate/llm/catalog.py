@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, token_count
+from . import bpe, exact_dedup, jaccard_join, packing, token_count
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,13 +28,18 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark, sf_dir):
+    """Documents linked by 85 percent of common 4-word shingles, with their components."""
+    return jaccard_join.link(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op9_packing(spark, sf_dir):
     """All documents in sequences of 2048 tokens at most, by pieces."""
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=1))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe, op4_exact_dedup, op9_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_bpe, op4_exact_dedup, op7_jaccard_join, op9_packing)}
 
 
 def oracle_sql():

@@ -18,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, func, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, func, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow in batches of few rows, so that long texts stay within a worker's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(func, schema)
 
 
