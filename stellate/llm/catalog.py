@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, packing, token_count
+from . import bpe, exact_dedup, html_extract, jaccard_join, packing, token_count, warc
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,14 +33,38 @@ def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.link(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op8_html_extract(spark, sf_dir):
+    """The main text of every page."""
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op9_packing(spark, sf_dir):
     """All documents in sequences of 2048 tokens at most, by pieces."""
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=1))
 
 
+def op10_warc(spark, sf_dir):
+    """Every page written to archives and read back through their index."""
+    folder = warc.new_folder(spark)
+    index = warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = (
+    op1_token_counts,
+    op2_bpe,
+    op4_exact_dedup,
+    op7_jaccard_join,
+    op8_html_extract,
+    op9_packing,
+    op10_warc,
+)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe, op4_exact_dedup, op7_jaccard_join, op9_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
