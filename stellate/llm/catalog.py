@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, packing, token_count, warc
+from . import bpe, embed_dedup, exact_dedup, html_extract, jaccard_join, packing, token_count, warc
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,11 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op6_embed_dedup(spark, sf_dir):
+    """Vectors linked by a cosine of 0.95, with their components."""
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard_join(spark, sf_dir):
     """Documents linked by 85 percent of common 4-word shingles, with their components."""
     return jaccard_join.link(table(spark, sf_dir, "documents"), words=4, percent=85)
@@ -55,6 +60,7 @@ QUERIES = (
     op1_token_counts,
     op2_bpe,
     op4_exact_dedup,
+    op6_embed_dedup,
     op7_jaccard_join,
     op8_html_extract,
     op9_packing,
@@ -67,4 +73,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op6_embed_dedup": embed_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
