@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, html_extract, jaccard_join, packing, token_count, warc
+from . import bpe, embed_dedup, exact_dedup, html_extract, jaccard_join, packing, quality, secrets, token_count, warc
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,11 +23,24 @@ def op2_bpe(spark, sf_dir):
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op3_quality(spark, sf_dir):
+    """A score of every whole text, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     """One decision per document: which of its equals stays."""
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark, sf_dir):
+    """Secrets of every whole text: counts, a digest of the fixed forms, and all spans."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op6_embed_dedup(spark, sf_dir):
     """Vectors linked by a cosine of 0.95, with their components."""
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -59,7 +72,9 @@ def op10_warc(spark, sf_dir):
 QUERIES = (
     op1_token_counts,
     op2_bpe,
+    op3_quality,
     op4_exact_dedup,
+    op5_secrets,
     op6_embed_dedup,
     op7_jaccard_join,
     op8_html_extract,
