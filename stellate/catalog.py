@@ -1,9 +1,542 @@
-"""The library's queries over the driver's tables, and their SQL twins."""
+"""The library's queries over the driver's tables, and their SQL twins.
+
+Searches take as queries every row of `embeddings` whose id is divisible by 20, against
+all rows. Distances are rounded to six digits where they are shown; ranks compare nine.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stellate.functions.metrics import packed_hamming
+from stellate.operators import cluster, evaluate, graph, ivf, knn, quantize, walk
+from stellate.sources import store
+from stellate.sources.shared import checkpointed
+from stellate.streaming import queries as streams
+
+K, STEP = 10, 20
+NLIST, ITERATIONS = 8, 4
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _data(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings")
+
+
+def _queries(data):
+    return data.where(F.col("vec_id") % STEP == 0)
+
+
+def _round(df, *names, digits=6):
+    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
+
+
+QUERIES, SQL = {}, {}
+
+
+def _query(sql=None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- SQL pieces --------------------------------------------------------------------------
+
+E = "e as (select vec_id, label, embedding::double[] as v from embeddings where embedding is not null)"
+
+
+def _sum(expr, a="a", b="b"):
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda x: {expr}))"
+
+
+def _dist(metric, a, b):
+    norm = lambda v: f"sqrt(greatest({_sum('x[1]*x[2]', v, v)}, 1e-12))"
+    l2 = _sum("(x[1]-x[2])*(x[1]-x[2])", a, b)
+    return {
+        "l2": l2, "l2sqrt": f"sqrt({l2})", "ip": f"-{_sum('x[1]*x[2]', a, b)}", "cosine": f"1 - {_sum('x[1]*x[2]', a, b)} / ({norm(a)} * {norm(b)})",
+        "hamming": _sum("case when (x[1] >= 0) <> (x[2] >= 0) then 1.0::double else 0.0::double end", a, b),
+        "lp": f"pow({_sum('pow(abs(x[1]-x[2]), 3.0::double)', a, b)}, 1.0::double/3.0::double)",
+    }[metric]
+
+
+def _knn_sql(metric="l2", k=K, queries=f"vec_id % {STEP} = 0", where="true", name="r", extra=""):
+    return f"""{name}_d as (select qid, e.vec_id, {_dist(metric, 'q', 'v')} as d from (select vec_id as qid, v as q from e where {queries}) q, e where {where} {extra}),
+{name} as (select * from (select *, row_number() over (partition by qid order by round(d, 9), vec_id) as rank from {name}_d) where rank <= {k})"""
+
+
+def _search_sql(metric="l2", **more):
+    sign = "-" if metric == "ip" else ""
+    return f"with {E}, {_knn_sql(metric, **more)} select qid, rank::int as rank, vec_id, round({sign}d, 6) + 0.0::double as distance from r"
+
+
+def _kmeans_sql(k=NLIST, iterations=ITERATIONS):
+    """CTEs c0, a1, c1, ... of centroids and assignments; the last ones are `centres` and `assigned`."""
+    out = [f"c0 as (select row_number() over (order by vec_id) - 1 as cluster, v as c from (select vec_id, v from e order by vec_id limit {k}))"]
+    for i in range(iterations + 1):
+        out.append(
+            f"a{i + 1} as (select vec_id, v, cluster, d from (select vec_id, v, cluster, {_dist('l2', 'v', 'c')} as d, "
+            f"row_number() over (partition by vec_id order by round({_dist('l2', 'v', 'c')}, 9), cluster) as n from e, c{i}) where n = 1)"
+        )
+        if i < iterations:
+            out.append(f"s{i + 1} as (select cluster, i, avg(v[i]) as m from (select cluster, v, unnest(range(1, len(v) + 1)) as i from a{i + 1}) group by all)")
+            out.append(f"c{i + 1} as (select c{i}.cluster, coalesce(l, c) as c from c{i} left join (select cluster, list(m order by i) as l from s{i + 1} group by cluster) using (cluster))")
+    return ", ".join(out + [f"centres as (select * from c{iterations})", f"assigned as (select * from a{iterations + 1})"])
+
+
+# ---- exact search and primitives ------------------------------------------------------------
+
+
+def _add_metric_queries():
+    for name, metric, p in (("l2", "l2", 2.0), ("l2sqrt", "l2sqrt", 2.0), ("ip", "ip", 2.0), ("cosine", "cosine", 2.0), ("hamming", "hamming", 2.0), ("lp3", "lp", 3.0)):
+
+        def pairwise(spark, sf_dir, metric=metric, p=p):
+            data = _data(spark, sf_dir)
+            return knn.pairwise(_queries(data), data, metric, p)
+
+        def brute(spark, sf_dir, metric=metric, p=p):
+            data = _data(spark, sf_dir)
+            return knn.brute_force(_queries(data), data, K, metric, p)
+
+        QUERIES[f"pairwise_{name}"], QUERIES[f"brute_knn_{name}"] = pairwise, brute
+        SQL[f"pairwise_{name}"] = f"with {E} select a.vec_id as qid, b.vec_id, round({_dist(metric, 'a.v', 'b.v')}, 6) + 0.0::double as distance from e a, e b where a.vec_id % {STEP} = 0"
+        SQL[f"brute_knn_{name}"] = _search_sql(metric)
+
+
+_add_metric_queries()
+
+
+@_query(_search_sql())
+def brute_knn_columns(spark, sf_dir):
+    """The same search by built-in functions alone."""
+    data = _data(spark, sf_dir)
+    return knn.brute_force_sql(_queries(data), data, K)
+
+
+@_query(_search_sql(where="label in (1, 3, 5)"))
+def brute_knn_filtered(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    return knn.brute_force(_queries(data), data, K, allow=F.col("label").isin(1, 3, 5))
+
+
+@_query(_search_sql(where="vec_id in (select vec_id from embeddings where label % 2 = 0)"))
+def brute_knn_allow_list(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    return knn.brute_force(_queries(data), data, K, allow=data.where("label % 2 = 0").select("vec_id"))
+
+
+@_query(_search_sql(queries="true", where="qid <> vec_id"))
+def all_neighbors(spark, sf_dir):
+    return knn.all_neighbors(_data(spark, sf_dir), K)
+
+
+@_query(f"with {E} select a.vec_id as i, b.vec_id as j, round({_sum('x[1]*x[2]', 'a.v', 'b.v')}, 6) + 0.0::double as value from e a, e b where a.vec_id % {STEP} = 0")
+def gemm_nt(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    return knn.gemm(_queries(data), data)
+
+
+def _top_sql(order):
+    return f"select user_id, event_id, value, rank::int as rank from (select *, row_number() over (partition by user_id order by isnan(value), value {order}, event_id) as rank from events where value is not null) where rank <= 5"
+
+
+@_query(_top_sql("asc"))
+def topk_smallest(spark, sf_dir):
+    return knn.top_k(_table(spark, sf_dir, "events"), 5, "user_id", "event_id", "value")
+
+
+@_query(_top_sql("desc"))
+def topk_largest(spark, sf_dir):
+    return knn.top_k(_table(spark, sf_dir, "events"), 5, "user_id", "event_id", "value", largest=True)
+
+
+@_query(f"""with {E} select c_custkey as position, c_custkey as vec_id, round(coalesce(v[1], 0), 6) + 0.0::double as first_value,
+  round(coalesce({_sum('x[1]*x[2]', 'v', 'v')}, 0), 6) + 0.0::double as norm2, coalesce(len(v), 64)::int as n from customer left join e on vec_id = c_custkey""")
+def gather_rows(spark, sf_dir):
+    found = knn.gather(_table(spark, sf_dir, "customer"), _data(spark, sf_dir), "c_custkey", "c_custkey", 64)
+    norm2 = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    return _round(found.select("position", "vec_id", F.col("vector")[0].alias("first_value"), norm2.alias("norm2"), F.size("vector").alias("n")), "first_value", "norm2")
+
+
+@_query("select distinct c_custkey as vec_id from customer where c_custkey < 1000")
+def allow_list(spark, sf_dir):
+    return knn.allow_list(_table(spark, sf_dir, "customer").select("c_custkey"), 1000)
+
+
+# ---- quantizers and statistics -----------------------------------------------------------------
+
+LONG = f"{E}, l as (select vec_id, unnest(range(len(v)))::int as pos, unnest(v) as x from e)"
+SQ = "m as (select pos, lo, case when (hi - lo) / 255 < 1e-12 then 1.0 else (hi - lo) / 255 end as scale from (select pos, min(x) as lo, max(x) as hi from l group by pos))"
+SQ_CODE = "floor(least(greatest((x - lo) / scale, 0.0), 255.0) + 0.5)::int"
+
+
+@_query(f"with {LONG} select pos, count(*) as n, min(x) as lo, max(x) as hi, round(avg(x), 6) + 0.0::double as mean, round(var_pop(x), 6) + 0.0::double as var, round(sqrt(var_pop(x) + 1e-6), 6) as weight from l group by pos")
+def dim_stats(spark, sf_dir):
+    return _round(quantize.dim_stats(_data(spark, sf_dir)), "mean", "var", "weight")
+
+
+@_query(f"with {LONG}, {SQ} select pos, lo, round(scale, 9) as scale from m")
+def sq_fit(spark, sf_dir):
+    return _round(quantize.sq_fit(_data(spark, sf_dir)), "scale", digits=9)
+
+
+@_query(f"with {LONG}, {SQ} select vec_id, pos, {SQ_CODE} as code from l join m using (pos)")
+def sq_encode(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    return quantize.sq_encode(data, quantize.sq_fit(data)).select("vec_id", F.posexplode("codes").alias("pos", "code"))
+
+
+@_query(f"with {LONG}, {SQ} select vec_id, pos, round(lo + scale * {SQ_CODE}, 6) + 0.0::double as value from l join m using (pos)")
+def sq_decode(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    fitted = quantize.sq_fit(data)
+    return _round(quantize.sq_decode(quantize.sq_encode(data, fitted), fitted).select("vec_id", F.posexplode("vector").alias("pos", "value")), "value")
+
+
+@_query(f"with {LONG} select vec_id, (pos // 8)::int as byte, sum(case when x >= 0 then 1 << (pos % 8) else 0 end)::int as code from l group by all")
+def binary_encode(spark, sf_dir):
+    return quantize.binary_encode(_data(spark, sf_dir)).select("vec_id", F.posexplode("codes").alias("byte", "code"))
+
+
+@_query(f"with {E} select a.vec_id as qid, b.vec_id, {_dist('hamming', 'a.v', 'b.v')}::int as bits from e a, e b where a.vec_id % {STEP} = 0")
+def packed_hamming_distance(spark, sf_dir):
+    codes = quantize.binary_encode(_data(spark, sf_dir))
+    few = F.broadcast(_queries(codes).select(F.col("vec_id").alias("qid"), F.col("codes").alias("q")).limit(10_000))
+    return codes.crossJoin(few).select("qid", "vec_id", packed_hamming(F.col("q"), F.col("codes")).cast("int").alias("bits"))
+
+
+@_query(f"with {LONG} select a.pos as i, b.pos as j, round(covar_samp(a.x, b.x), 6) + 0.0::double as cov from l a join l b using (vec_id) group by all")
+def covariance(spark, sf_dir):
+    return _round(quantize.covariance(_data(spark, sf_dir)), "cov")
+
+
+@_query(f"with {LONG} select 64::int as components, round(sum(s), 6) as total from (select var_samp(x) as s from l group by pos)")
+def pca_total_variance(spark, sf_dir):
+    """The variances along all principal components add up to those of the positions."""
+    data = _data(spark, sf_dir)
+    mean, w, _ = quantize.pca_fit(data, 64)
+    long = quantize.pca_transform(data, mean, w).select(F.posexplode("vector").alias("pos", "x"))
+    return _round(long.groupBy("pos").agg(F.var_samp("x").alias("s")).agg(F.count("*").cast("int").alias("components"), F.sum("s").alias("total")), "total")
+
+
+@_query()
+def pca_explained(spark, sf_dir):
+    _, _, values = quantize.pca_fit(_data(spark, sf_dir), 8)
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(values)], "component int, variance double")
+
+
+@_query()
+def pq_codes(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    return quantize.pq_encode(data, quantize.pq_fit(data, 8, 4, 8)).select("vec_id", F.posexplode("codes").alias("part", "code"))
+
+
+# ---- clustering ---------------------------------------------------------------------------------
+
+
+def _centres(data):
+    return cluster.kmeans_fit(data, NLIST, ITERATIONS)
+
+
+@_query(f"with {E}, {_kmeans_sql()} select cluster::int as cluster, (i - 1)::int as pos, round(c[i], 6) + 0.0::double as value from (select cluster, c, unnest(range(1, len(c) + 1)) as i from centres)")
+def kmeans_fit(spark, sf_dir):
+    rows = [(c, p, float(x)) for c, centre in enumerate(_centres(_data(spark, sf_dir))) for p, x in enumerate(centre)]
+    return _round(spark.createDataFrame(rows, "cluster int, pos int, value double"), "value")
+
+
+@_query(f"with {E}, {_kmeans_sql()} select vec_id, cluster::int as cluster, round(d, 6) + 0.0::double as distance from assigned")
+def kmeans_predict(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    return _round(cluster.kmeans_predict(data, _centres(data)), "distance")
+
+
+@_query(f"with {E}, {_knn_sql(k=8, queries='true', where='qid <> vec_id')} select qid as a, vec_id as b, round(d, 6) + 0.0::double as distance from r where vec_id > qid")
+def slink_edges(spark, sf_dir):
+    return cluster.slink_edges(_data(spark, sf_dir))
+
+
+@_query()
+def slink_labels(spark, sf_dir):
+    return cluster.slink_labels(_data(spark, sf_dir), 10)
+
+
+AFFINITY = f"""{E}, {_knn_sql(k=8, queries='true', where='qid <> vec_id')}, g as (select qid as i, vec_id as j, round(d, 6) as d from r),
+ w as (select i, j, exp(-d / (2 * greatest((select avg(d) from g), 1e-12))) as w from g),
+ s as (select i, j, max(w) as weight from (select * from w union all select j, i, w from w) group by i, j)"""
+
+
+@_query(f"with {AFFINITY} select i, j, round(weight, 6) as weight from s")
+def spectral_affinity(spark, sf_dir):
+    return _round(cluster.affinity(_data(spark, sf_dir)), "weight")
+
+
+@_query(f"with {AFFINITY} select i, round(sum(weight), 6) as degree, count(*) as links from s group by i")
+def spectral_degree(spark, sf_dir):
+    return _round(cluster.degrees(cluster.affinity(_data(spark, sf_dir))), "degree")
+
+
+@_query()
+def spectral_clusters(spark, sf_dir):
+    return cluster.spectral_clusters(_data(spark, sf_dir), 10)
+
+
+@_query()
+def spectral_embedding(spark, sf_dir):
+    ids, z = cluster.spectral_embedding(_data(spark, sf_dir), 4)
+    return spark.createDataFrame([(int(i), p, round(float(x), 6)) for i, row in zip(ids, z) for p, x in enumerate(row)], "vec_id bigint, pos int, value double")
+
+
+# ---- inverted lists -----------------------------------------------------------------------------
+
+
+def _index(data, kind):
+    return ivf.build(data, kind, NLIST, ITERATIONS, pq_m=8, pq_bits=4)
+
+
+@_query(f"with {E}, {_kmeans_sql()} select vec_id, cluster::int as list_id from assigned")
+def ivf_assign(spark, sf_dir):
+    return _index(_data(spark, sf_dir), "flat").rows.select("vec_id", "list_id")
+
+
+@_query(f"with {E}, {_kmeans_sql()} select cluster::int as list_id, count(*) as n from assigned group by cluster")
+def ivf_list_sizes(spark, sf_dir):
+    return ivf.lists(_index(_data(spark, sf_dir), "flat"))
+
+
+PROBE = f"pr as (select vec_id as qid, v as q, cluster from (select vec_id, v, cluster, row_number() over (partition by vec_id order by round({_dist('l2', 'v', 'c')}, 9), cluster) as n from e, centres where vec_id % {STEP} = 0) where n <= 2)"
+
+
+@_query(f"with {E}, {_kmeans_sql()}, {PROBE} select qid, cluster::int as list_id from pr")
+def ivf_probe(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    q = _queries(data).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return ivf.probe(q, _centres(data), 2).select(F.col("id").alias("qid"), "list_id")
+
+
+@_query(f"""with {E}, {_kmeans_sql()}, {PROBE}, f as (select qid, vec_id, {_dist('l2', 'q', 'v')} as d from pr join assigned using (cluster))
+ select qid, rank::int as rank, vec_id, round(d, 6) + 0.0::double as distance from (select *, row_number() over (partition by qid order by round(d, 9), vec_id) as rank from f) where rank <= {K}""")
+def ivf_flat_search(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    return ivf.search(_index(data, "flat"), _queries(data), K, nprobe=2)
+
+
+def _add_ivf_queries():
+    for kind in ("flat", "pq", "rabitq", "scann"):
+
+        def full(spark, sf_dir, kind=kind):
+            data = _data(spark, sf_dir)
+            return ivf.search(_index(data, kind), _queries(data), K, nprobe=NLIST, krefine=1_000_000, original=data)
+
+        def some(spark, sf_dir, kind=kind):
+            data = _data(spark, sf_dir)
+            return ivf.search(_index(data, kind), _queries(data), K, nprobe=4, krefine=64, original=data)
+
+        QUERIES[f"ivf_{kind}_search_full"], SQL[f"ivf_{kind}_search_full"] = full, _search_sql()
+        if kind != "flat":
+            QUERIES[f"ivf_{kind}_search"] = some
+
+
+_add_ivf_queries()
+
+
+@_query(_search_sql("cosine", where="label in (1, 3, 5)"))
+def ivf_pq_search_filtered(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    allow = data.where(F.col("label").isin(1, 3, 5)).select("vec_id")
+    return ivf.search(_index(data, "pq"), _queries(data), K, nprobe=NLIST, metric="cosine", krefine=1_000_000, allow=allow)
+
+
+@_query(f"""with {E}, {_kmeans_sql()}, r as (select vec_id, cluster, list_transform(list_zip(v, c), lambda x: x[1] - x[2]) as r from assigned join centres using (cluster))
+ select vec_id, cluster::int as list_id, round(sqrt(greatest({_sum('x[1]*x[2]', 'r', 'r')}, 1e-12)), 6) as scale, len(list_filter(r, lambda x: x >= 0))::int as positive from r""")
+def rabitq_encode(spark, sf_dir):
+    return _round(ivf.codes(_index(_data(spark, sf_dir), "rabitq")), "scale")
+
+
+@_query(f"with {LONG} select pos, round(sqrt(var_pop(x) + 1e-6), 6) as weight from l group by pos")
+def scann_weights(spark, sf_dir):
+    return _round(quantize.dim_stats(_data(spark, sf_dir)).select("pos", "weight"), "weight")
+
+
+@_query(f"select vec_id as qid, 1.0::double as recall from embeddings where vec_id % {STEP} = 0")
+def recall_at_k(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    q = _queries(data)
+    return evaluate.recall(ivf.search(_index(data, "flat"), q, K, nprobe=NLIST), knn.brute_force(q, data, K), K)
+
+
+@_query()
+def recall_by_effort(spark, sf_dir):
+    """Mean recall of the inverted-list kinds at a small effort."""
+    data = _data(spark, sf_dir)
+    q, truth = _queries(data), checkpointed(knn.brute_force(_queries(data), data, K))
+    rows = [(kind, evaluate.mean_recall(ivf.search(_index(data, kind), q, K, nprobe=4, krefine=64, original=data), truth, K)) for kind in ivf.KINDS]
+    return spark.createDataFrame(rows, "kind string, recall double")
+
+
+# ---- graphs -------------------------------------------------------------------------------------
+
+EDGES = f"{E}, {_knn_sql(k=16, queries='true', where='qid <> vec_id')}, edges as (select qid as src, (rank - 1)::int as rank, vec_id as dst from r)"
+DETOURS = """det as (select x.src, x.rank, x.dst, count(z2.dst) as detours from edges x left join edges z on z.src = x.src and z.rank < x.rank
+  left join edges z2 on z2.src = z.dst and z2.dst = x.dst and z2.rank < x.rank group by all)"""
+
+
+@_query(f"with {EDGES} select src, rank, dst from edges")
+def knn_graph(spark, sf_dir):
+    return graph.knn_graph(_data(spark, sf_dir), 16)
+
+
+@_query(f"with {EDGES} select src, rank, dst from edges")
+def nn_descent(spark, sf_dir):
+    """At most 4096 rows are compared exactly."""
+    return graph.nn_descent(_data(spark, sf_dir), 16)
+
+
+@_query(f"with {EDGES}, {DETOURS} select * from det")
+def cagra_detours(spark, sf_dir):
+    return graph.detours(checkpointed(graph.knn_graph(_data(spark, sf_dir), 16)))
+
+
+@_query(f"""with {EDGES}, {DETOURS}, fwd as (select src, dst, row_number() over (partition by src order by detours, rank, dst) - 1 as fr from det qualify fr < 8),
+ rv as (select f.dst as node, f.src as s, row_number() over (partition by f.dst order by f.fr, f.src) - 1 as rr from fwd f anti join fwd g on g.src = f.dst and g.dst = f.src),
+ take as (select node, least(4, count(*)) as t from rv group by node),
+ pos as (select src as node, dst, fr as p, 0 as k from fwd left join take on take.node = fwd.src where fr < 8 - coalesce(t, 0) union all select rv.node, s, rr, 1 from rv join take using (node) where rr < t)
+ select node, (row_number() over (partition by node order by p, k) - 1)::int as place, dst from pos""")
+def cagra_optimize(spark, sf_dir):
+    return graph.optimize(checkpointed(graph.knn_graph(_data(spark, sf_dir), 16)), 8)
+
+
+def _add_graph_queries():
+    for kind, effort in (("cagra", (64, 2)), ("hnsw", (64, 1)), ("vamana", (64, 1))):
+
+        def search(spark, sf_dir, kind=kind, effort=effort):
+            data = _data(spark, sf_dir)
+            return walk.search(walk.build(data, kind), _queries(data), K, *effort)
+
+        def valid(spark, sf_dir, search=search):
+            return evaluate.validity(search(spark, sf_dir), _data(spark, sf_dir), K)
+
+        QUERIES[f"{kind}_search"], QUERIES[f"{kind}_search_valid"] = search, valid
+        SQL[f"{kind}_search_valid"] = (
+            f"select count(*) as queries, count(*) * {K} as n_rows, 0::bigint as beyond_k, 0::bigint as unknown_ids, 0::bigint as repeated, 0::bigint as not_finite, 0::bigint as out_of_order "
+            f"from embeddings where vec_id % {STEP} = 0"
+        )
+
+
+_add_graph_queries()
+
+
+@_query()
+def cagra_search_live(spark, sf_dir):
+    """A walk that goes through deleted rows and returns none of them."""
+    data = _data(spark, sf_dir)
+    return walk.search(walk.build(data), _queries(data), K, 64, 2, tombstones=data.where("label = 2"))
+
+
+@_query()
+def calibrated_effort(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    keep, width, found = evaluate.calibrate(checkpointed(walk.build(data)), data, 0.95)
+    return spark.createDataFrame([(keep, width, round(found, 6))], "keep int, width int, recall double")
+
+
+# ---- the living index ---------------------------------------------------------------------------
+
+
+def _living(spark, sf_dir):
+    table = store.IndexTable(spark, store.new_path(spark, "index"))
+    table.create(_data(spark, sf_dir))
+    return table
+
+
+@_query("select count(*) filter (label <> 2) as live, count(*) filter (label = 2) as deleted from embeddings")
+def index_counts(spark, sf_dir):
+    table = _living(spark, sf_dir)
+    table.delete(_data(spark, sf_dir).where("label = 2").select("vec_id"))
+    return table.counts()
+
+
+@_query(f"with {E} select vec_id, round(v[1], 6) + 0.0::double as first_value from e where label <> 2")
+def index_delete(spark, sf_dir):
+    table = _living(spark, sf_dir)
+    table.delete(_data(spark, sf_dir).where("label = 2").select("vec_id"))
+    return _round(table.live().select("vec_id", F.col("embedding")[0].alias("first_value")), "first_value")
+
+
+@_query(f"with {E} select vec_id, round(case when label = 3 then -v[1] else v[1] end, 6) + 0.0::double as first_value from e")
+def index_update(spark, sf_dir):
+    table = _living(spark, sf_dir)
+    new = _data(spark, sf_dir).where("label = 3").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    table.update(new)
+    return _round(table.live().select("vec_id", F.col("embedding")[0].alias("first_value")), "first_value")
+
+
+@_query("""with free as (select vec_id as slot, row_number() over (order by vec_id desc) - 1 as place from embeddings where label = 2),
+ new as (select vec_id, row_number() over (order by vec_id) - 1 as place from embeddings where label = 7)
+ select vec_id, case when slot is not null then slot + (1::bigint << 32) else (select max(vec_id) from embeddings) + 1 + place - (select count(*) from free) end as packed_id from new left join free using (place)""")
+def index_extend(spark, sf_dir):
+    table, data = _living(spark, sf_dir), _data(spark, sf_dir)
+    table.delete(data.where("label = 2").select("vec_id"))
+    return table.extend(data.where("label = 7"))
+
+
+@_query(_search_sql(where="label <> 2"))
+def index_search_live(spark, sf_dir):
+    table, data = _living(spark, sf_dir), _data(spark, sf_dir)
+    table.delete(data.where("label = 2").select("vec_id"))
+    return knn.brute_force(_queries(data), table.live(), K)
+
+
+@_query("select vec_id, label::bigint as generation, vec_id + (label::bigint << 32) as packed_id from embeddings")
+def packed_ids(spark, sf_dir):
+    at = _data(spark, sf_dir).select("vec_id", store.packed_id(F.col("vec_id"), F.col("label")).alias("packed_id"))
+    return at.select(store.slot_of(F.col("packed_id")).alias("vec_id"), store.generation_of(F.col("packed_id")).alias("generation"), "packed_id")
+
+
+def _stream(spark, sf_dir, data):
+    """`embeddings` as a stream of files. A file's own path is no folder for a stream, so it is named by a pattern."""
+    return spark.readStream.schema(data.schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/embeddings.parque[t]")
+
+
+def _changes(data):
+    """What the log holds: rows of label 4 are inserted anew, of label 3 updated, of label 2 deleted."""
+    kind = F.when(F.col("label") == 4, "insert").when(F.col("label") == 3, "update").otherwise("delete")
+    vec_id = F.when(F.col("label") == 4, F.col("vec_id") + 1_000_000).otherwise(F.col("vec_id"))
+    v = F.when(F.col("label") != 2, F.transform(F.col("embedding").cast("array<double>"), lambda x: -x))
+    return data.where(F.col("label").isin(2, 3, 4)).select(kind.alias("type"), vec_id.alias("vec_id"), v.alias("embedding"))
+
+
+REPLAY = f"""with {E} select vec_id, round(case when label = 3 then -v[1] else v[1] end, 6) + 0.0::double as first_value from e where label <> 2
+ union all select vec_id + 1000000, round(-v[1], 6) + 0.0::double from e where label = 4"""
+
+
+@_query(REPLAY)
+def wal_replay(spark, sf_dir):
+    """Changes that arrive as a stream, logged, and replayed over a snapshot."""
+    data, log = _data(spark, sf_dir), store.new_path(spark, "log")
+    arriving = _stream(spark, sf_dir, data)
+    streams.log_stream(_changes(arriving), log, store.new_path(spark, "stream")).awaitTermination()
+    found = store.replay(data.select("vec_id", "embedding"), spark.read.parquet(log))
+    return _round(found.select("vec_id", F.col("embedding")[0].alias("first_value")), "first_value")
+
+
+@_query(_search_sql())
+def batcher_equals_eager(spark, sf_dir):
+    """Queries that arrive as a stream, searched batch by batch."""
+    data, out = _data(spark, sf_dir), store.new_path(spark, "found")
+    arriving = _queries(_stream(spark, sf_dir, data))
+    streams.search_stream(arriving, lambda batch: knn.brute_force(batch, data, K), out, store.new_path(spark, "stream")).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
