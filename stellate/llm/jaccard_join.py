@@ -12,8 +12,11 @@ its candidates; of a pair the smaller l counts.
 Components need not see all pairs of a crowd. Documents with equal sets are one node.
 Of the documents that share a prefix shingle, the most central is compared with the
 others first; what those links join is one part, and only pairs across parts remain.
-Such rounds are repeated while pairs are many, and then every remaining candidate pair
-across parts is verified, so no link between parts is lost: the components are exact.
+Such rounds are repeated while pairs are many and rounds find links, and then every
+remaining candidate pair across parts is verified, so no link between parts is lost: the
+components are exact. Pairs that cannot link go before they are verified: by size, by
+the place of the first shared shingle, and by parity sketches, whose differing bits are
+a lower bound of the shingles in which two sets differ.
 
 Defined cases: A-Z are lower-cased and words are runs of other than ASCII white space.
 A document with fewer words than a shingle has its whole sequence as one; without words
@@ -45,10 +48,12 @@ MOST_MATCHES = 4
 VERIFY_COST = 40.0
 #: Documents per task at most that share a prefix shingle; longer lists are split.
 LONG_LIST = 50_000
+#: Bits of a document's parity sketch.
+PARITY_BITS = 512
 #: Ids that a semi-join may broadcast: 8 bytes each.
-BROADCAST_IDS = 500_000
-#: Pairs across parts beyond which another round of comparisons with centres pays.
-MANY_PAIRS, MOST_ROUNDS = 100_000, 8
+BROADCAST_IDS = 200_000
+#: Pairs across parts beyond which another round of comparisons with centres pays, and links it must have found to pay again.
+MANY_PAIRS, MOST_ROUNDS, FEW_LINKS = 1_000_000, 3, 100
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -70,15 +75,22 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(s)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """PARITY_BITS bits, of which each shingle flips one. Those in which two sets differ are no
+    more than the shingles in which they differ, whatever the sets' sizes."""
+    flips = np.bincount((s >> np.uint64(40)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS)
+    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
+
+
 def _as_bytes(column):
     return column.cast(pa.binary()).to_pylist()
 
 
 def profile(texts: DataFrame, words: int) -> DataFrame:
-    """Per row doc_id, n_shingles and a digest of the set; and per partition blocks of the sketch of its counts."""
+    """Per row doc_id, n_shingles, a digest of the set and its parity sketch; and per partition blocks of the sketch of its counts."""
     block = (1 << SKETCH_BITS) // BLOCKS
-    names = ["doc_id", "n_shingles", "digest", "block", "counts"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["doc_id", "n_shingles", "digest", "parity", "block", "counts"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def run(batches):
         counts, waiting, size = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
@@ -90,7 +102,8 @@ def profile(texts: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t, words) for t in _as_bytes(batch.column(1))]
             n = len(sets)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((batch.column(0), [len(s) for s in sets], digests, [None] * n, [None] * n), types)], names=names)
+            parities = [np.frombuffer(parity(s), np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((batch.column(0), [len(s) for s in sets], digests, parities, [None] * n, [None] * n), types)], names=names)
             for s in sets:
                 waiting.append((s & np.uint64(len(counts) - 1)).astype(np.int64))
                 size += len(s)
@@ -102,9 +115,9 @@ def profile(texts: DataFrame, words: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         packed = [pack(counts[k * block : (k + 1) * block].tobytes()) for k in range(BLOCKS)]
         none = [None] * BLOCKS
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, range(BLOCKS), packed), types)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, none, range(BLOCKS), packed), types)], names=names)
 
-    return map_batches(texts, run, "doc_id bigint, n_shingles bigint, digest binary, block int, counts binary")
+    return map_batches(texts, run, "doc_id bigint, n_shingles bigint, digest binary, parity array<bigint>, block int, counts binary")
 
 
 def _levels(parts: DataFrame) -> np.ndarray:
@@ -121,10 +134,11 @@ def _levels(parts: DataFrame) -> np.ndarray:
     # In two steps, so that no task reads the blocks of all partitions.
     some = parts.groupBy("block", (F.spark_partition_id() % 32).alias("part")).applyInArrow(lambda key, t: summed(key, [t]), "block int, counts binary")
     rows = some.groupBy("block").applyInArrow(lambda key, t: summed(key, [t]), "block int, counts binary").collect()  # BLOCKS rows
-    counts = np.zeros(1 << SKETCH_BITS, np.uint64)
+    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for row in rows:
-        counts[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["counts"])), np.uint64)
-    return np.minimum(255, np.rint(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+        counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["counts"])), np.uint64)
+        levels[row["block"] * size : (row["block"] + 1) * size] = np.minimum(255, np.rint(8 * np.log2(np.maximum(counts, 1))))
+    return levels
 
 
 def prefix_length(n: int, percent: int, matches: int) -> int:
@@ -146,7 +160,7 @@ def prefixes(texts: DataFrame, words: int, percent: int, levels: np.ndarray) ->
 
     def run(batches):
         levels = shipped.value
-        mask, usual = np.uint64(len(levels) - 1), 2.0 ** (np.median(levels) / 8)
+        mask, usual, sizes = np.uint64(len(levels) - 1), 2.0 ** (np.median(levels) / 8), 2.0 ** (np.arange(256) / 8)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), _as_bytes(batch.column(1))):
@@ -154,13 +168,15 @@ def prefixes(texts: DataFrame, words: int, percent: int, levels: np.ndarray) ->
                 if doc is None or not len(s):
                     continue
                 at = levels[s & mask]
-                # Lists no longer than a usual counter are taken as equally rare.
-                order = np.lexsort((s, at))[: prefix_length(len(s), percent, MOST_MATCHES)]
-                near = 2.0 ** (at[order] / 8.0)
+                # The sets are sorted, so that equally rare shingles stand in the order of their hashes.
+                order = np.argsort(at, kind="stable")[: prefix_length(len(s), percent, MOST_MATCHES)]
+                near = sizes[at[order]]
                 m = pick_matches(np.maximum(near - usual, 0), len(s), percent)
                 taken = order[: prefix_length(len(s), percent, m)]
-                lists = near[: len(taken)]
-                out.append((doc, len(s), m, int(at[taken].mean()), s[taken].view(np.int64), np.where(lists > 2 * LONG_LIST, 1 + doc % np.ceil(lists / LONG_LIST), 0).astype(np.int32)))
+                lists, salts = near[: len(taken)], np.zeros(len(taken), np.int32)
+                if lists[-1] > 2 * LONG_LIST:
+                    salts = np.where(lists > 2 * LONG_LIST, 1 + doc % np.ceil(lists / LONG_LIST), 0).astype(np.int32)
+                out.append((doc, len(s), m, int(at[taken].mean()), s[taken].view(np.int64), salts))
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
@@ -202,11 +218,7 @@ def shared_postings(marked: DataFrame) -> DataFrame:
     posted = marked.select("doc_id", "n", "matches", "centre", F.posexplode(F.arrays_zip("prefix", "salts")).alias("place", "at"))
     posted = posted.select(F.col("at.prefix").alias("token"), F.col("at.salts").alias("salt"), F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "place", "matches", "centre")
     sorted_ = posted.repartition("token", "salt").sortWithinPartitions("token", "salt", F.desc("centre"), "doc")
-    return map_batches(sorted_, _shared, "token bigint, salt int, doc bigint, n int, place int, matches int, centre int, pivot bigint", rows=20_000)
-
-
-def _similar_sizes(n, m, percent):
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+    return map_batches(sorted_, _shared, "token bigint, salt int, doc bigint, n int, place int, matches int, centre int, pivot bigint", rows=1024)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -240,44 +252,86 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     """One row per row of `docs`: doc_id, n_shingles, component_id (the least id of its component)."""
     texts = text_rows(docs, id_col, text_col)
     told = checkpointed(profile(texts, words))
-    rows = told.where(F.col("block").isNull()).select("doc_id", "n_shingles", "digest")
+    rows = told.where(F.col("block").isNull()).select("doc_id", "n_shingles", "digest", "parity")
     levels = _levels(told.where(F.col("block").isNotNull()).select("block", "counts"))
-    nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("parity").alias("parity"))
 
     marked = prefixes(texts, words, percent, levels).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     lists = checkpointed(shared_postings(marked))
-    sizes = lists.select(F.col("doc").alias("pivot"), F.col("n").alias("n_pivot")).distinct()
-    near = lists.where("doc <> pivot").select("doc", "n", "pivot").distinct().join(sizes, "pivot")
-    links = verify(near.where(_similar_sizes(F.col("n"), F.col("n_pivot"), percent)).select(F.col("pivot").alias("a"), F.col("doc").alias("b")), texts, words, percent)
+    # Of a set, the shingles before the first one that another prefix has are in no set it links with.
+    about = lists.groupBy("doc").agg(F.first("n").alias("n"), (F.first("n") - F.min("place")).alias("most"), F.first("centre").alias("centre"))
+    about = checkpointed(about.join(nodes.withColumnRenamed("node", "doc").drop("digest"), "doc"))
+    lists = lists.select("token", "salt", "doc", "place", "matches", "pivot")
+    near = lists.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
+    links = verify(_plausible(near, about, percent), texts, words, percent)
 
     # A list's first document has met all others of its list; one of a split list has not.
-    lists = lists.where("doc <> pivot or salt > 0").drop("pivot")
-    for turn in range(MOST_ROUNDS + 1):
-        parts = checkpointed(components(links))
-        lists = _across(lists, parts)
-        if lists.isEmpty():
-            break
+    lists, turn, parts = lists.where("doc <> pivot or salt > 0").drop("salt", "pivot"), 0, components(links)
+    while not (lists := _across(lists, about, parts, percent)).isEmpty():
         if turn < MOST_ROUNDS and _pairs_across(lists) > MANY_PAIRS:
-            centres = lists.groupBy("token").agg(F.max_by(F.struct("doc", "n", "part"), F.struct("centre", -F.col("doc"))).alias("c"))
+            centres = lists.groupBy("token").agg(F.max_by(F.struct("doc", "part"), F.struct("centre", -F.col("doc"))).alias("c"))
             met = lists.join(centres, "token")
-            pairs = met.where((F.col("part") != F.col("c.part")) & _similar_sizes(F.col("n"), F.col("c.n"), percent)).select(F.col("c.doc").alias("a"), F.col("doc").alias("b"))
-            links = checkpointed(links.unionByName(verify(pairs, texts, words, percent)))
-            lists = met.where("doc <> c.doc").drop("c", "part")
+            pairs = met.where(F.col("part") != F.col("c.part")).select(F.col("c.doc").alias("a"), F.col("doc").alias("b")).distinct()
+            more = verify(_plausible(pairs, about, percent), texts, words, percent)
+            lists = met.where("doc <> c.doc")
+            turn = turn + 1 if more.count() >= FEW_LINKS else MOST_ROUNDS
         else:
-            links = links.unionByName(verify(_candidates(lists, percent), texts, words, percent))
+            more, lists = verify(_candidates(lists, percent), texts, words, percent), lists.limit(0)
+        lists = lists.select("token", "doc", "place", "matches")
+        if not more.isEmpty():
+            links = links.unionByName(more)
             parts = components(links)
-            break
     home = nodes.join(parts.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("home"))
     return rows.join(home, "digest", "left").select(
         "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("home")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
-def _across(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """The lists that hold documents of more than one part."""
-    placed = lists.drop("part").join(parts.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
-    mixed = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-    return checkpointed(placed.join(mixed, "token", "left_semi"))
+def _may_link(n, most, m, most_m, percent):
+    """Whether sets of n and m shingles, of which so many can be common, may be as similar as asked."""
+    common = (n + m) * percent  # at least this / (100 + percent) must be common
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(most, most_m) * (100 + percent) >= common)
+
+
+def _few_differences(n, x, m, y, percent):
+    """Whether parity sketches allow sets of n and m shingles to be as similar as asked."""
+    differ = sum(F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(PARITY_BITS // 64))
+    return differ * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _plausible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) less those that sizes, places or parity sketches rule out."""
+    for k in "ab":
+        pairs = pairs.join(about.select(F.col("doc").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "most", "parity"))), k)
+    return pairs.where(_may_link("a", "b", percent)).select("a", "b")
+
+
+def _may_link(x: str, y: str, percent: int):
+    """Whether the sets of two sides, of which `most` shingles can be common, may be as similar as asked."""
+    of = lambda name: (F.col(f"{name}_{x}"), F.col(f"{name}_{y}"))
+    return _fits(*of("n"), *of("most"), percent) & _few_differences(*of("n"), *of("parity"), percent)
+
+
+def _fits(n, m, most, most_m, percent):
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(most, most_m) * (100 + percent) >= (n + m) * percent)
+
+
+def _few_differences(n, m, x, y, percent):
+    """Whether parity sketches allow sets of n and m shingles to be as similar as asked."""
+    differ = sum(F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(PARITY_BITS // 64))
+    return differ * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _across(lists: DataFrame, about: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The lists that hold documents of more than one part, with what is known of each,
+    less the documents that can link with none of their list."""
+    placed = about.join(parts.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
+    placed = lists.join(placed.drop("parity"), "doc")
+    mixed = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("n").alias("least"), F.max("most").alias("top")).where("x <> y")
+    able = placed.join(mixed.select("token", "least", "top"), "token")
+    able = able.where(_fits(F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), F.col("most"), F.col("top"), percent)).drop("least", "top")
+    still = able.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
+    return checkpointed(able.join(still, "token", "left_semi").join(about.select("doc", "parity"), "doc"))
 
 
 def _pairs_across(lists: DataFrame) -> int:
@@ -287,9 +341,9 @@ def _pairs_across(lists: DataFrame) -> int:
 
 def _candidates(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs across parts that share enough shingles of their prefixes."""
-    x, y = (lists.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "place", "matches", "part"))) for k in "xy")
+    x, y = (lists.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "most", "place", "matches", "part", "parity"))) for k in "xy")
     matches = F.least("matches_x", "matches_y")
     within = lambda k: F.col(f"place_{k}") < F.col(f"n_{k}") - F.ceil(F.col(f"n_{k}") * percent / 100) + matches
-    pairs = x.join(y, "token").where((F.col("doc_x") < F.col("doc_y")) & (F.col("part_x") != F.col("part_y")) & _similar_sizes(F.col("n_x"), F.col("n_y"), percent) & within("x") & within("y"))
+    pairs = x.join(y, "token").where((F.col("doc_x") < F.col("doc_y")) & (F.col("part_x") != F.col("part_y")) & within("x") & within("y") & _may_link("x", "y", percent))
     asked = pairs.groupBy(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).agg(F.count("*").alias("shared"), F.min(matches).alias("asked"))
     return asked.where("shared >= asked").select("a", "b")
