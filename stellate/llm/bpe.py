@@ -253,6 +253,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
 
 def ids_array(ids):
     """A column of ids as an array of integers, from the binary form."""
-    four = F.transform(F.sequence(F.lit(0), F.octet_length(ids) / 4 - 1), lambda i: F.substring(ids, (i * 4 + 1).cast("int"), F.lit(4)))
-    whole = F.transform(four, lambda b: F.conv(F.hex(F.reverse(b)), 16, 10).cast("bigint"))
-    return F.when(F.octet_length(ids) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    digits, n = F.hex(ids), (F.octet_length(ids) / 4).cast("int")
+    pair = lambda i, k: F.substring(digits, i * 8 + (2 * k + 1), F.lit(2))
+    number = lambda i: F.conv(F.concat(*(pair(i, k) for k in (3, 2, 1, 0))), 16, 10).cast("bigint")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), number)).otherwise(F.array().cast("array<bigint>"))
