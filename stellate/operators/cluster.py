@@ -34,36 +34,45 @@ def first_rows(rows: DataFrame, k: int) -> np.ndarray:
     return np.array([r["v"] for r in found], float)
 
 
-def kmeans_fit(data: DataFrame, k: int, iterations: int = 12, start: np.ndarray | None = None) -> np.ndarray:
-    """Centroids after Lloyd's iterations from the rows of smallest id. An empty cluster keeps its
-    centroid; k beyond the number of rows is clamped. Each task sends one sum per cluster."""
-    if k < 1 or iterations < 0:
-        raise InvalidArgument("k must be positive, iterations not negative")
-    rows, spark = vectors(data), data.sparkSession
-    centres = first_rows(rows, k) if start is None else start
+def lloyd(rows: DataFrame, books: np.ndarray, iterations: int) -> np.ndarray:
+    """Lloyd's iterations for the centroids [parts, k, width] of consecutive slices of the vectors `v`.
+    An empty cluster keeps its centroid. Each task sends one sum per cluster."""
+    spark = rows.sparkSession
+    parts, k, width = books.shape
     for _ in range(iterations):
-        shipped = spark.sparkContext.broadcast(centres)
+        shipped = spark.sparkContext.broadcast(books)
 
         def sums(batches):
-            centres = shipped.value  # noqa: B023
-            total, count = np.zeros_like(centres), np.zeros(len(centres), np.int64)
+            books = shipped.value  # noqa: B023
+            total, count = np.zeros((parts * k, width)), np.zeros(parts * k, np.int64)
             for batch in batches:
                 if batch.num_rows:
                     x = matrix(batch.column(0))
-                    at, _ = nearest_centre(x, centres)
-                    np.add.at(total, at, x)
-                    count += np.bincount(at, minlength=len(centres))
+                    for m in range(parts):
+                        y = x[:, m * width : (m + 1) * width]
+                        at = m * k + nearest_centre(y, books[m])[0]
+                        np.add.at(total, at, y)
+                        count += np.bincount(at, minlength=parts * k)
             used = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used]), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["cluster", "n", "total"])
 
-        parts = rows.select("v").mapInArrow(sums, "cluster bigint, n bigint, total array<double>")
+        sent = rows.select("v").mapInArrow(sums, "cluster bigint, n bigint, total array<double>")
         # Partial sums meet by cluster and place, so no task holds more than sums.
-        by_place = parts.select("cluster", "n", F.posexplode("total").alias("place", "x")).groupBy("cluster", "place").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+        by_place = sent.select("cluster", "n", F.posexplode("total").alias("place", "x")).groupBy("cluster", "place").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         means = by_place.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", (F.col("x") / F.col("n")).alias("m")))).alias("c")).collect()
-        centres = centres.copy()
+        books = books.copy()
         for row in means:
-            centres[row["cluster"]] = [e["m"] for e in row["c"]]
-    return centres
+            books[row["cluster"] // k, row["cluster"] % k] = [e["m"] for e in row["c"]]
+    return books
+
+
+def kmeans_fit(data: DataFrame, k: int, iterations: int = 12, start: np.ndarray | None = None) -> np.ndarray:
+    """Centroids after Lloyd's iterations from the rows of smallest id; k beyond the number of rows is clamped."""
+    if k < 1 or iterations < 0:
+        raise InvalidArgument("k must be positive, iterations not negative")
+    rows = vectors(data)
+    centres = first_rows(rows, k) if start is None else start
+    return lloyd(rows, centres[None], iterations)[0] if len(centres) else centres
 
 
 def kmeans_predict(data: DataFrame, centres: np.ndarray) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stellate.functions.metrics import InvalidArgument
 from stellate.operators.blocks import matrix, vectors
-from stellate.operators.cluster import kmeans_fit, nearest_centre
+from stellate.operators.cluster import first_rows, lloyd, nearest_centre
 
 
 def dim_stats(data: DataFrame) -> DataFrame:
@@ -65,9 +65,8 @@ def pq_fit(data: DataFrame, parts: int = 8, bits: int = 8, iterations: int = 8)
     if first is None:
         raise InvalidArgument("no vectors to fit")
     width = _subspaces(len(first["v"]), parts)
-    codes = 2 ** min(max(bits, 4), 8)
-    slices = [rows.select(F.col("id").alias("vec_id"), F.slice("v", m * width + 1, width).alias("embedding")) for m in range(parts)]
-    return np.stack([kmeans_fit(s, codes, iterations) for s in slices])
+    start = first_rows(rows, 2 ** min(max(bits, 4), 8))
+    return lloyd(rows, np.stack([start[:, m * width : (m + 1) * width] for m in range(parts)]), iterations)
 
 
 def pq_codes(x: np.ndarray, books: np.ndarray) -> np.ndarray:
