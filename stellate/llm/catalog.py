@@ -69,6 +69,21 @@ def op10_warc(spark, sf_dir):
     return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Documents linked by common 4-word shingles, by joining all shingles.
+JACCARD_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end)) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+p as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select distinct a as x, a as y from p union select r.x, p.b from reach r join p on r.y = p.a),
+m as (select x, min(y) as m from reach group by x)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(m, d.doc_id) as component_id
+from documents d left join n on n.doc_id = d.doc_id left join m on m.x = d.doc_id
+"""
+
 QUERIES = (
     op1_token_counts,
     op2_bpe,
@@ -88,4 +103,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op6_embed_dedup": embed_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op6_embed_dedup": embed_dedup.ORACLE_SQL, "op7_jaccard_join": JACCARD_SQL, "op10_warc": warc.ORACLE_SQL}
