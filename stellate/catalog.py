@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stellate.functions.metrics import packed_hamming
 from stellate.operators import cluster, evaluate, graph, ivf, knn, quantize, walk
 from stellate.sources import store
 from stellate.sources.shared import checkpointed
@@ -207,8 +206,7 @@ def binary_encode(spark, sf_dir):
 @_query(f"with {E} select a.vec_id as qid, b.vec_id, {_dist('hamming', 'a.v', 'b.v')}::int as bits from e a, e b where a.vec_id % {STEP} = 0")
 def packed_hamming_distance(spark, sf_dir):
     codes = quantize.binary_encode(_data(spark, sf_dir))
-    few = F.broadcast(_queries(codes).select(F.col("vec_id").alias("qid"), F.col("codes").alias("q")).limit(10_000))
-    return codes.crossJoin(few).select("qid", "vec_id", packed_hamming(F.col("q"), F.col("codes")).cast("int").alias("bits"))
+    return knn.code_distances(_queries(codes), codes)
 
 
 @_query(f"with {LONG} select a.pos as i, b.pos as j, round(covar_samp(a.x, b.x), 6) + 0.0::double as cov from l a join l b using (vec_id) group by all")

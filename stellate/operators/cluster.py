@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stellate.functions.metrics import RANK_DIGITS, InvalidArgument
 from stellate.operators.blocks import matrix, vectors
 from stellate.operators.knn import all_neighbors
+from stellate.sources.shared import checkpointed
 
 #: Rows of a dense eigenproblem, and links of a single linkage, that the driver takes.
 DENSE_ROWS, LINKAGE_LINKS = 5000, 2_000_000
@@ -127,8 +128,9 @@ def slink_labels(data: DataFrame, clusters: int, neighbours: int = 8, symmetric:
 def affinity(data: DataFrame, neighbours: int = 8) -> DataFrame:
     """i, j, weight of the symmetric neighbour graph: exp(-d / 2 s), where s is the mean squared distance."""
     graph = all_neighbors(data, neighbours, "l2").select(F.col("qid").alias("i"), F.col("vec_id").alias("j"), F.col("distance").alias("d"))
-    mean = graph.agg(F.avg("d").alias("s"))
-    weighted = graph.crossJoin(F.broadcast(mean)).select("i", "j", F.exp(-F.col("d") / (2 * F.greatest("s", F.lit(1e-12)))).alias("w"))
+    graph = checkpointed(graph)
+    mean = max(graph.agg(F.avg("d")).first()[0] or 0.0, 1e-12)
+    weighted = graph.select("i", "j", F.exp(-F.col("d") / (2 * mean)).alias("w"))
     both = weighted.unionByName(weighted.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
     return both.groupBy("i", "j").agg(F.max("w").alias("weight"))
 

@@ -85,6 +85,22 @@ def gemm(a: DataFrame, b: DataFrame, half: bool = False) -> DataFrame:
     return found.select("i", "j", (F.round("value", SHOWN_DIGITS) + 0.0).alias("value"))
 
 
+def code_distances(queries: DataFrame, data: DataFrame) -> DataFrame:
+    """Differing bits of all pairs of byte codes (vec_id, codes): qid, vec_id, bits."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                (qids, x), (ids, y) = unpack(r["q_ids"], r["q_matrix"], r["q_dim"]), unpack(r["d_ids"], r["d_matrix"], r["d_dim"])
+                x, y = x.astype(np.uint8), y.astype(np.uint8)
+                for qid, code in zip(qids, x):
+                    bits = np.bitwise_count(y ^ code).sum(1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qid)), pa.array(ids), pa.array(bits)], names=["qid", "vec_id", "bits"])
+
+    q, x = (pack(vectors(df, vec_col="codes")) for df in (queries, data))
+    return paired(q, x).drop("d_grp").mapInArrow(run, "qid bigint, vec_id bigint, bits int")
+
+
 def top_k(scores: DataFrame, k: int, row: str, col: str, value: str, largest: bool = False) -> DataFrame:
     """The k smallest or largest values of each row: numbers before NaN, ties by column."""
     check_k(k)

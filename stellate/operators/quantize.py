@@ -26,22 +26,25 @@ def sq_fit(data: DataFrame) -> DataFrame:
     return dim_stats(data).select("pos", "lo", F.when(scale < 1e-12, 1.0).otherwise(scale).alias("scale"))
 
 
-def _model(fitted: DataFrame, spark):
-    """A model of one row per position as one row of arrays, small enough to broadcast."""
-    got = F.array_sort(F.collect_list(F.struct("pos", "lo", "scale")))
-    return F.broadcast(fitted.agg(got.alias("m")))
+def _model(fitted: DataFrame):
+    """A model of one row per position as two constant arrays."""
+    rows = fitted.orderBy("pos").collect()
+    return [F.array(*(F.lit(float(r[c])) for r in rows)).cast("array<double>") for c in ("lo", "scale")]
 
 
 def sq_encode(data: DataFrame, fitted: DataFrame) -> DataFrame:
     """vec_id and codes: floor(clamp((x - lo) / scale, 0, 255) + 0.5)."""
-    code = lambda x, m: F.floor(F.least(F.greatest((x - m["lo"]) / m["scale"], F.lit(0.0)), F.lit(255.0)) + 0.5).cast("int")
-    return vectors(data).crossJoin(_model(fitted, data.sparkSession)).select(F.col("id").alias("vec_id"), F.zip_with("v", "m", code).alias("codes"))
+    lo, scale = _model(fitted)
+    share = F.zip_with(F.zip_with("v", lo, lambda x, low: x - low), scale, lambda x, s: x / s)
+    code = lambda x: F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(255.0)) + 0.5).cast("int")
+    return vectors(data).select(F.col("id").alias("vec_id"), F.transform(share, code).alias("codes"))
 
 
 def sq_decode(codes: DataFrame, fitted: DataFrame) -> DataFrame:
     """vec_id and the vector that its codes stand for."""
-    value = lambda c, m: m["lo"] + m["scale"] * c
-    return codes.crossJoin(_model(fitted, codes.sparkSession)).select("vec_id", F.zip_with("codes", "m", value).alias("vector"))
+    lo, scale = _model(fitted)
+    value = F.zip_with(F.zip_with(scale, "codes", lambda s, c: s * c), lo, lambda x, low: x + low)
+    return codes.select("vec_id", value.alias("vector"))
 
 
 def binary_encode(data: DataFrame) -> DataFrame:

@@ -163,8 +163,8 @@ def sealed(records: DataFrame) -> DataFrame:
 def intact(log: DataFrame) -> DataFrame:
     """The records before the first damaged one."""
     marked = log.withColumn("ok", _check(F.col("type"), F.col("ids"), F.col("vectors")) == F.col("crc"))
-    torn = marked.agg(F.min(F.when(~F.coalesce("ok", F.lit(False)), F.col("seq"))).alias("torn"))
-    return marked.crossJoin(F.broadcast(torn)).where("torn is null or seq < torn").drop("ok", "torn")
+    torn = marked.agg(F.min(F.when(~F.coalesce("ok", F.lit(False)), F.col("seq")))).first()[0]
+    return log if torn is None else log.where(F.col("seq") < torn)
 
 
 def replay(snapshot: DataFrame, log: DataFrame, after: int = 0) -> DataFrame:

@@ -280,6 +280,11 @@ def test_typed_sources(spark):
         store.typed(ints, "f8")
 
 
+def test_packed_hamming(spark):
+    df = spark.createDataFrame([([5, -1], [3, 0])], "a array<bigint>, b array<bigint>")
+    assert df.select(metrics.packed_hamming(F.col("a"), F.col("b"))).first()[0] == 66
+
+
 def test_sql_functions(spark):
     metrics.register(spark)
     got = spark.sql("select vec_l2(array(1d, 2d), array(0d, 0d)) a, vec_ip(array(1d, 2d), array(3d, 1d)) b, vec_hamming(array(1d, -2d), array(3d, 1d)) c").first()
