@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stellate.functions.metrics import InvalidArgument, column
+from stellate.functions.metrics import InvalidArgument, column, rough
 from stellate.operators.blocks import vectors
 from stellate.operators.knn import all_neighbors
 from stellate.sources.shared import checkpointed
@@ -100,10 +100,13 @@ def optimize(edges: DataFrame, degree: int) -> DataFrame:
 def robust_prune(node: np.ndarray, near: np.ndarray, ids: np.ndarray, degree: int, alpha: float = 1.2) -> list[int]:
     """Of a node's candidates, by distance and id, each that no kept one is alpha times nearer to than the node is."""
     d = ((near - node) ** 2).sum(1)
+    covers = alpha * rough("l2", near, near) <= d[None, :] + 1e-12
     kept: list[int] = []
+    covered = np.zeros(len(d), bool)
     for c in np.lexsort((ids, np.round(d, 9))):
         if len(kept) == degree:
             break
-        if not kept or not (alpha * ((near[kept] - near[c]) ** 2).sum(1) <= d[c]).any():
+        if not covered[c]:
             kept.append(int(c))
+            covered |= covers[c]
     return kept

@@ -11,6 +11,8 @@ Tombstoned and filtered rows are walked through, but never returned.
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,12 +42,14 @@ def neighbours(x: np.ndarray, degree: int) -> np.ndarray:
 def prune_detours(graph: np.ndarray, degree: int) -> np.ndarray:
     """Detour pruning with reverse edges of one shard's graph, as operators.graph.optimize does it for edges."""
     n, first = graph.shape
-    rank = [dict(zip(row.tolist(), range(first))) for row in graph]
-    ahead = []
+    ahead, places = [], np.arange(first)
     for row in graph:
-        found = [y for y in row.tolist() if y >= 0]
-        ways = [sum(1 for s in range(r) if rank[found[s]].get(y, first) < r) for r, y in enumerate(found)]
-        ahead.append([found[k] for k in sorted(range(len(found)), key=lambda k: (ways[k], k, found[k]))[:degree]])
+        found = row[row >= 0]
+        m = len(found)
+        same = graph[found][:, :, None] == found[None, None, :]  # via, its rank, neighbour
+        rank = np.where(same.any(axis=1), same.argmax(axis=1), first)
+        ways = ((rank < places[None, :m]) & (places[:m, None] < places[None, :m])).sum(axis=0)
+        ahead.append(found[np.lexsort((found, places[:m], ways))][:degree].tolist())
     back: list[list] = [[] for _ in range(n)]
     for x, row in enumerate(ahead):
         for r, y in enumerate(row):
@@ -95,20 +99,29 @@ def build(data: DataFrame, kind: str = "cagra", degree: int = 16, first_degree:
 def walk(q: np.ndarray, x: np.ndarray, graph: np.ndarray, metric: str, keep: int, width: int) -> tuple[dict[int, float], int]:
     """Distances of the rows that a greedy walk saw, and its turns: it expands the `width` best open rows
     of the best `keep` until none is open, for a bounded number of turns."""
-    start = seed_ids(q, len(x), max(32, width))
-    seen = dict(zip(start.tolist(), exact(metric, q, x[start])))
+    seen: dict[int, float] = {}
+    best: list[tuple[float, int]] = []  # sorted, at most `keep`
+
+    def see(new):
+        d = exact(metric, q, x[new])
+        seen.update(zip(new, d.tolist()))
+        for entry in zip(np.round(d, 9).tolist(), new):
+            if len(best) < keep or entry < best[-1]:
+                insort(best, entry)
+                del best[keep:]
+
+    see(seed_ids(q, len(x), max(32, width)).tolist())
     expanded: set[int] = set()
     turns, most = 0, max(24, 6 * keep)
     while turns < most:
-        best = sorted(seen, key=lambda i: (round(seen[i], 9), i))[:keep]
-        open_ = [i for i in best if i not in expanded][:width]
+        open_ = [i for _, i in best if i not in expanded][:width]
         if not open_:
             break
         turns += 1
         expanded.update(open_)
         new = [i for i in dict.fromkeys(graph[open_].ravel().tolist()) if i >= 0 and i not in seen]
         if new:
-            seen.update(zip(new, exact(metric, q, x[new])))
+            see(new)
     return seen, turns
 
 
