@@ -53,7 +53,7 @@ PARITY_BITS = 512
 #: Ids that a semi-join may broadcast: 8 bytes each.
 BROADCAST_IDS = 200_000
 #: Pairs across parts beyond which another round of comparisons with centres pays, and links it must have found to pay again.
-MANY_PAIRS, MOST_ROUNDS, FEW_LINKS = 1_000_000, 3, 100
+MANY_PAIRS, MOST_ROUNDS, FEW_LINKS = 50_000_000, 3, 100
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
