@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import threading
 import uuid
 
@@ -44,6 +45,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    Worth a call where a checkpoint has cut the lineage of large shuffles, whose files would
+    stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names; null texts become empty.
 

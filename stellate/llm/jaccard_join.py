@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, text_rows
+from .common import checkpointed, map_batches, release, text_rows
 from .components import components
 
 #: Counters of the sketch: 2 ** SKETCH_BITS, of which one byte each is broadcast.
@@ -256,14 +256,20 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     levels = _levels(told.where(F.col("block").isNotNull()).select("block", "counts"))
     nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("parity").alias("parity"))
 
-    marked = prefixes(texts, words, percent, levels).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    lists = checkpointed(shared_postings(marked))
+    lists = checkpointed(shared_postings(prefixes(texts, words, percent, levels).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")))
+    release(docs.sparkSession)
     # Of a set, the shingles before the first one that another prefix has are in no set it links with.
     about = lists.groupBy("doc").agg(F.first("n").alias("n"), (F.first("n") - F.min("place")).alias("most"), F.first("centre").alias("centre"))
     about = checkpointed(about.join(nodes.withColumnRenamed("node", "doc").drop("digest"), "doc"))
     lists = lists.select("token", "salt", "doc", "place", "matches", "pivot")
-    near = lists.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    links = verify(_plausible(near, about, percent), texts, words, percent)
+    # Each document meets the first one that it shares the most shingles with; others, only if that leaves them apart.
+    near = lists.where("doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"))
+    near = checkpointed(_plausible(near, about, percent))
+    most = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    links = verify(most.select("a", "b"), texts, words, percent)
+    rest = checkpointed(_apart(near.select("a", "b").join(most, ["a", "b"], "left_anti"), components(links)))
+    release(docs.sparkSession)
+    links = links.unionByName(verify(rest, texts, words, percent))
 
     # A list's first document has met all others of its list; one of a split list has not.
     lists, turn, parts = lists.where("doc <> pivot or salt > 0").drop("salt", "pivot"), 0, components(links)
@@ -287,23 +293,19 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     )
 
 
-def _may_link(n, most, m, most_m, percent):
-    """Whether sets of n and m shingles, of which so many can be common, may be as similar as asked."""
-    common = (n + m) * percent  # at least this / (100 + percent) must be common
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(most, most_m) * (100 + percent) >= common)
-
-
-def _few_differences(n, x, m, y, percent):
-    """Whether parity sketches allow sets of n and m shingles to be as similar as asked."""
-    differ = sum(F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(PARITY_BITS // 64))
-    return differ * (100 + percent) <= (n + m) * (100 - percent)
-
-
 def _plausible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) less those that sizes, places or parity sketches rule out."""
+    names = pairs.columns
     for k in "ab":
         pairs = pairs.join(about.select(F.col("doc").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "most", "parity"))), k)
-    return pairs.where(_may_link("a", "b", percent)).select("a", "b")
+    return pairs.where(_may_link("a", "b", percent)).select(*names)
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose documents lie in different parts."""
+    for k in "ab":
+        pairs = pairs.join(parts.select(F.col("id").alias(k), F.col("component").alias(f"part_{k}")), k, "left")
+    return pairs.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
 
 def _may_link(x: str, y: str, percent: int):
