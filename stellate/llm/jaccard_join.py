@@ -28,6 +28,7 @@ rows are equal documents. Texts are read whole; other columns take no part.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,8 @@ MOST_MATCHES = 4
 VERIFY_COST = 40.0
 #: Documents per task at most that share a prefix shingle; longer lists are split.
 LONG_LIST = 50_000
-#: Bits of a document's parity sketch.
-PARITY_BITS = 512
+#: Bits of a document's parity sketch, and of its folded form that goes along with lists.
+PARITY_BITS, FOLDED_BITS = 2048, 512
 #: Ids that a semi-join may broadcast: 8 bytes each.
 BROADCAST_IDS = 200_000
 #: Pairs across parts beyond which another round of comparisons with centres pays, and links it must have found to pay again.
@@ -260,7 +261,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     release(docs.sparkSession)
     # Of a set, the shingles before the first one that another prefix has are in no set it links with.
     about = lists.groupBy("doc").agg(F.first("n").alias("n"), (F.first("n") - F.min("place")).alias("most"), F.first("centre").alias("centre"))
-    about = checkpointed(about.join(nodes.withColumnRenamed("node", "doc").drop("digest"), "doc"))
+    about = about.join(nodes.withColumnRenamed("node", "doc").drop("digest"), "doc")
+    about = checkpointed(about.withColumn("folded", _folded(F.col("parity"))))
     lists = lists.select("token", "salt", "doc", "place", "matches", "pivot")
     # Each document meets the first one that it shares the most shingles with; others, only if that leaves them apart.
     near = lists.where("doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"))
@@ -282,7 +284,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
             lists = met.where("doc <> c.doc")
             turn = turn + 1 if more.count() >= FEW_LINKS else MOST_ROUNDS
         else:
-            more, lists = verify(_candidates(lists, percent), texts, words, percent), lists.limit(0)
+            pairs = _plausible(_candidates(lists, percent), about, percent)
+            more, lists = verify(pairs, texts, words, percent), lists.limit(0)
         lists = lists.select("token", "doc", "place", "matches")
         if not more.isEmpty():
             links = links.unionByName(more)
@@ -308,19 +311,32 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
 
-def _may_link(x: str, y: str, percent: int):
+def _may_link(x: str, y: str, percent: int, folded: bool = False):
     """Whether the sets of two sides, of which `most` shingles can be common, may be as similar as asked."""
     of = lambda name: (F.col(f"{name}_{x}"), F.col(f"{name}_{y}"))
-    return _fits(*of("n"), *of("most"), percent) & _few_differences(*of("n"), *of("parity"), percent)
+    few = _few_folded_differences(*of("n"), *of("folded"), percent) if folded else _few_differences(*of("n"), *of("parity"), percent)
+    return _fits(*of("n"), *of("most"), percent) & few
 
 
 def _fits(n, m, most, most_m, percent):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(most, most_m) * (100 + percent) >= (n + m) * percent)
 
 
+def _folded(parity):
+    """A sketch of fewer bits: those of a place modulo FOLDED_BITS flip the same one."""
+    words, all_ = FOLDED_BITS // 64, PARITY_BITS // 64
+    return F.array(*(reduce(lambda a, b: a.bitwiseXOR(b), [parity[i] for i in range(k, all_, words)]) for k in range(words)))
+
+
+def _few_folded_differences(n, m, x, y, percent):
+    """The same for folded sketches, spelled out so that it stays within generated code."""
+    differ = sum(F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(FOLDED_BITS // 64))
+    return differ * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _few_differences(n, m, x, y, percent):
     """Whether parity sketches allow sets of n and m shingles to be as similar as asked."""
-    differ = sum(F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(PARITY_BITS // 64))
+    differ = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, k: s + k)
     return differ * (100 + percent) <= (n + m) * (100 - percent)
 
 
@@ -328,12 +344,12 @@ def _across(lists: DataFrame, about: DataFrame, parts: DataFrame, percent: int)
     """The lists that hold documents of more than one part, with what is known of each,
     less the documents that can link with none of their list."""
     placed = about.join(parts.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
-    placed = lists.join(placed.drop("parity"), "doc")
+    placed = lists.join(placed.drop("parity", "folded"), "doc")
     mixed = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("n").alias("least"), F.max("most").alias("top")).where("x <> y")
     able = placed.join(mixed.select("token", "least", "top"), "token")
     able = able.where(_fits(F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), F.col("most"), F.col("top"), percent)).drop("least", "top")
     still = able.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-    return checkpointed(able.join(still, "token", "left_semi").join(about.select("doc", "parity"), "doc"))
+    return checkpointed(able.join(still, "token", "left_semi").join(about.select("doc", "folded"), "doc"))
 
 
 def _pairs_across(lists: DataFrame) -> int:
@@ -343,9 +359,9 @@ def _pairs_across(lists: DataFrame) -> int:
 
 def _candidates(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs across parts that share enough shingles of their prefixes."""
-    x, y = (lists.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "most", "place", "matches", "part", "parity"))) for k in "xy")
+    x, y = (lists.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "most", "place", "matches", "part", "folded"))) for k in "xy")
     matches = F.least("matches_x", "matches_y")
     within = lambda k: F.col(f"place_{k}") < F.col(f"n_{k}") - F.ceil(F.col(f"n_{k}") * percent / 100) + matches
-    pairs = x.join(y, "token").where((F.col("doc_x") < F.col("doc_y")) & (F.col("part_x") != F.col("part_y")) & within("x") & within("y") & _may_link("x", "y", percent))
+    pairs = x.join(y, "token").where((F.col("doc_x") < F.col("doc_y")) & (F.col("part_x") != F.col("part_y")) & within("x") & within("y") & _may_link("x", "y", percent, folded=True))
     asked = pairs.groupBy(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).agg(F.count("*").alias("shared"), F.min(matches).alias("asked"))
     return asked.where("shared >= asked").select("a", "b")
