@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from stellate.llm import exact_dedup, jaccard_join, packing, quality, secrets
-from stellate.llm.common import checkpointed, shared_dir, table
+from stellate.llm.common import checkpointed, release, shared_dir, table
 
 
 def good_quality(spark, docs, sf_dir):
@@ -30,7 +30,10 @@ def without_near_copies(spark, docs, sf_dir):
     """The first document, by id, of each group linked by 80 percent of common 5-word shingles."""
     found = jaccard_join.link(docs, words=5, percent=80)
     gone = checkpointed(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    release(spark)
+    # Few ids, which is checked, go to every task; else the texts are shuffled by id.
+    few = gone.limit(jaccard_join.BROADCAST_IDS + 1).count() <= jaccard_join.BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def without_secrets(spark, docs, sf_dir):
