@@ -40,8 +40,8 @@ PATTERN = (
 )
 #: Words of more bytes than this are merged with a heap.
 SHORT_WORD = 96
-#: Words kept with their ids in each worker; beyond this the worker starts anew.
-CACHED_WORDS = 600_000
+#: Words, and pieces of words, kept with their ids in each worker; beyond this the worker starts anew.
+CACHED_WORDS, CACHED_PIECES = 400_000, 200_000
 
 #: Below this character the split by the pattern is known to agree with the tokenizer's.
 LAST_AGREED = "\u0530"
@@ -88,7 +88,7 @@ class Pieces(dict):
         ids = self.merge(piece.encode())
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= SHORT_WORD:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= CACHED_PIECES:
                 self.clear()
             self[piece] = packed
         return packed

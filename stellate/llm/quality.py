@@ -209,6 +209,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             scores = [score_text(t, shipped.value) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        _words.clear()  # the worker lives on for other work
 
     return map_batches(text_rows(docs, id_col, text_col), run, "doc_id bigint, score double")
 
@@ -222,5 +223,6 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
         for batch in batches:
             good = [score_text(t or "", shipped.value) >= threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
+        _words.clear()  # the worker lives on for other work
 
     return map_batches(docs, run, docs.schema)
