@@ -1,14 +1,14 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings by an exact join in tiles.
 
-In each pass every vector gets a key: the signs of its products with random directions,
-concatenated. Vectors are sorted by that key, and each is compared with the next WINDOW
-ones. Close vectors agree in long prefixes of most keys, so over the passes they come
-near each other; pairs of at least the asked cosine, checked in double precision, are
-links, and links of all passes are united.
+Every vector is dealt to a group by its nearest pivot (vectors taken by digest). Two groups
+make a tile, in which all pairs are compared by matrix products in double precision; pairs
+of at least the asked cosine are links. A vector goes only to tiles where, by the triangle
+inequality of angles, it may have links: this leaves out work, never a link.
 
-Equal vectors are one node with a count, so crowds of copies cost one comparison. Keys
-are sorted by range partitioning; the last rows of a partition are compared with the
-first of the next in a second step. Work grows with rows times passes times window.
+Equal vectors are one node with a count, so crowds of copies cost one comparison. Tiles send
+counts of links and one part per node, not pairs, so a crowd's output grows with its nodes.
+Where the pivots tell nothing apart, work grows with the square of the distinct vectors, and
+the shuffle with their bytes times the number of groups.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite values
 link with nothing and are their own component. Vectors of different length never link.
@@ -22,21 +22,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_batches
 from .components import components
 
-#: Sorted passes, rows that each row is compared with, and bits of a key.
-PASSES, WINDOW, KEY_BITS = 24, 128, 64
-SEED = 20_240_601
-
-
-def directions(dim: int, turn: int, bits: int = KEY_BITS) -> np.ndarray:
-    """The random directions of a pass; the same on every executor."""
-    return np.random.default_rng([SEED, turn, dim]).standard_normal((dim, bits))
+#: Pivots at most; rows of a matrix product's two sides; bytes of a group's vectors, and groups that many rows make at least.
+PIVOTS, STEP, GROUP_BYTES, LEAST_GROUPS = 256, 512, 32 << 20, 16
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -66,119 +59,133 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return map_batches(rows, run, "vec_id bigint, digest binary, v binary", rows=2048), kind
 
 
-def keyed(nodes: DataFrame, kind: str, passes: int) -> DataFrame:
-    """A row per node and pass: turn, dim, key, node, v."""
-    names, types = ["turn", "dim", "key", "node", "v"], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+def pivots(nodes: DataFrame, kind: str, most: int = PIVOTS) -> dict[int, tuple[int, np.ndarray]]:
+    """Unit vectors of nodes taken by digest: for each length the number of its first pivot, and the pivots."""
+    by_dim: dict[int, list] = {}
+    for row in nodes.select("digest", "v").orderBy("digest").limit(most).collect():
+        x = np.frombuffer(row["v"], kind).astype(float)
+        by_dim.setdefault(len(x), []).append(x)
+    starts = np.cumsum([0, *(len(x) for x in by_dim.values())])
+    return {dim: (int(first), _unit(np.array(x))) for first, (dim, x) in zip(starts, by_dim.items())}
+
+
+def _angles(batch, kind: str, found: dict):
+    """For each length in a batch (v, ...): row numbers, the number of the first pivot, and angles to the pivots.
+    Lengths without a pivot share one more, at angle 0 of all of them."""
+    raw, last = batch.column(0).to_pylist(), sum(len(x) for _, x in found.values())
+    dims = np.array([len(v) // np.dtype(kind).itemsize for v in raw], np.int64)
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        if int(dim) not in found:
+            yield at, last, np.zeros((len(at), 1))
+        else:
+            first, centres = found[int(dim)]
+            x = _unit(np.frombuffer(b"".join(raw[k] for k in at), kind).reshape(len(at), dim).astype(float))
+            yield at, first, np.arccos(np.clip(x @ centres.T, -1, 1))
+
+
+def crowds(nodes: DataFrame, kind: str, found: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For each pivot the nodes that are nearest to it, and the largest angle to one of them."""
 
     def run(batches):
-        planes: dict = {}
         for batch in batches:
-            ids, raw = np.asarray(batch.column(0).to_pylist(), np.int64), batch.column(1).to_pylist()
-            dims = np.array([len(v) // np.dtype(kind).itemsize for v in raw], np.int64)
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                x = _unit(np.frombuffer(b"".join(raw[k] for k in at), kind).reshape(len(at), dim).astype(float))
-                for turn in range(passes):
-                    if (turn, dim) not in planes:
-                        planes[turn, dim] = directions(int(dim), turn)
-                    bits = np.packbits(x @ planes[turn, dim] > 0, axis=1)
-                    key = bits.view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)  # so that signed order is the bits' order
-                    cols = (np.full(len(at), turn), np.full(len(at), dim), key.view(np.int64), ids[at], [raw[k] for k in at])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-
-    return map_batches(nodes.select("node", "v"), run, "turn int, dim int, key bigint, node bigint, v binary", rows=1024)
-
-
-def _near(x: np.ndarray, first: int, window: int, least: float):
-    """Pairs (i, j) of rows with i < j <= i + window, j >= first, whose cosine is at least `least`."""
-    step = 256
-    for i in range(max(0, first - window), len(x), step):
-        sims = x[i : i + step] @ x[i : i + step + window].T
-        a, b = np.nonzero(sims >= least)
-        ok = (b > a) & (b - a <= window) & (b + i >= first)
-        yield a[ok] + i, b[ok] + i
-
-
-def _compare(kind: str, window: int, least: float):
-    """For a partition's sorted rows: links, and the rows at its two ends for the neighbouring partitions."""
+            for _, first, angles in _angles(batch, kind, found):
+                yield pa.RecordBatch.from_arrays([pa.array(first + angles.argmin(1)), pa.array(angles.min(1))], names=["pivot", "far"])
 
-    def run(batches):
-        held_ids, held, group, head = None, None, None, 0
-        part = TaskContext.get().partitionId()
+    count = sum(len(x) for _, x in found.values()) + 1
+    sizes, far = np.zeros(count, np.int64), np.zeros(count)
+    for row in map_batches(nodes.select("v"), run, "pivot bigint, far double", rows=1024).groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
+        sizes[row["pivot"]], far[row["pivot"]] = row["n"], row["far"]
+    return sizes, far
 
-        def ends(ids, raw, side):
-            n = len(ids)
-            cols = ([None] * n, [None] * n, [group[0]] * n, [group[1]] * n, [part + side] * n, [side] * n, range(n), ids, raw)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-        for batch in batches:
-            turns, dims, ids = (batch.column(k).to_numpy() for k in (0, 1, 3))
-            raw = batch.column(4)
-            cuts = np.flatnonzero((turns[1:] != turns[:-1]) | (dims[1:] != dims[:-1])) + 1
-            for start, end in zip([0, *cuts], [*cuts, len(ids)]):
-                if start == end:
-                    continue
-                new_ids, new = ids[start:end], raw.slice(start, end - start).to_pylist()
-                if group != (turns[start], dims[start]):
-                    if group is not None:
-                        yield ends(held_ids, held, 1)
-                    group, head, held_ids, held = (turns[start], dims[start]), 0, new_ids[:0], []
-                if head < window:
-                    n = min(window - head, len(new))
-                    rows = ends(new_ids[:n], new[:n], 0).to_pydict()
-                    rows["place"] = [head + p for p in rows["place"]]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in zip(names, types)], names=names)
-                    head += n
-                all_ids, all_ = np.concatenate([held_ids, new_ids]), held + new
-                x = _unit(np.frombuffer(b"".join(all_), kind).reshape(len(all_), -1).astype(float))
-                for i, j in _near(x, len(held), window, least):
-                    if len(i):
-                        a, b = all_ids[i], all_ids[j]
-                        none = [None] * len(a)
-                        cols = (np.minimum(a, b), np.maximum(a, b), none, none, none, none, none, none, none)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-                held_ids, held = all_ids[-window:], all_[-window:]
-        if group is not None:
-            yield ends(held_ids, held, 1)
-
-    names = ["a", "b", "turn", "dim", "border", "side", "place", "node", "v"]
-    types = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.binary()]
-    return run
+def tiled(nodes: DataFrame, kind: str, least: float, found: dict, groups: int) -> DataFrame:
+    """A row per node and tile (lo, hi: two groups of nodes) in which it may have links.
+
+    Nodes are dealt to groups by nearest pivot. One that is linked with a node of another pivot is within
+    the links' angle and that pivot's largest angle of it, so no linked pair is missed."""
+    sizes, far = crowds(nodes, kind, found)
+    offsets = np.cumsum(sizes) - sizes
+    each = max(1, -(-int(sizes.sum()) // groups))
+    held = np.zeros((len(sizes), groups))
+    for p in np.flatnonzero(sizes):
+        held[p, offsets[p] // each : (offsets[p] + sizes[p] - 1) // each + 1] = 1
+    reach = np.arccos(np.clip(least, -1, 1)) + far + 1e-6  # more than the angles' rounding
 
+    def run(batches):
+        for batch in batches:
+            hashes = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8")[::2]
+            for at, first, angles in _angles(batch, kind, found):
+                pivot = first + angles.argmin(1)
+                own = (offsets[pivot] + (hashes[at] % sizes[pivot].astype(np.uint64)).astype(np.int64)) // each
+                met = (angles <= reach[first : first + angles.shape[1]]) @ held[first : first + angles.shape[1]] > 0
+                met[np.arange(len(at)), own] = True
+                for k in range(0, len(at), 64):
+                    row, other = np.nonzero(met[k : k + 64])
+                    row += k
+                    cols = [pa.array(c, pa.int32()) for c in (np.minimum(own[row], other), np.maximum(own[row], other), own[row])]
+                    yield pa.RecordBatch.from_arrays([*cols, *(batch.column(c).take(pa.array(at[row])) for c in (2, 3, 0))], names=["lo", "hi", "own", "node", "copies", "v"])
+
+    return map_batches(nodes.select("v", "digest", "node", "copies"), run, "lo int, hi int, own int, node bigint, copies bigint, v binary", rows=1024)
+
+
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the parts of linked rows; a label is the first row of its part."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while len(a) and (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _compare(kind: str, least: float):
+    """For a tile: of each node with links in it, the rows that it is linked with and a node of its part."""
+
+    def run(table):
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        node, copies, own, raw = table["node"].to_numpy(), table["copies"].to_numpy(), table["own"].to_numpy(), table["v"].to_pylist()
+        dims = np.array([len(v) for v in raw], np.int64)
+        label, count = np.arange(len(node)), np.zeros(len(node), np.int64)
+        for dim in np.unique(dims):
+            left, right = (np.flatnonzero((dims == dim) & (own == g)) for g in (lo, hi))
+            if not len(left) or not len(right):
+                continue
+            x, y = (_unit(np.frombuffer(b"".join(raw[k] for k in at), kind).reshape(len(at), -1).astype(float)) for at in (left, right))
+            for i in range(0, len(x), STEP):
+                for j in range(i if lo == hi else 0, len(y), STEP):
+                    p, q = np.nonzero(x[i : i + STEP] @ y[j : j + STEP].T >= least)
+                    a, b = left[p + i], right[q + j]
+                    ok = (node[a] != node[b]) & ((a < b) | (lo != hi))
+                    a, b = a[ok], b[ok]
+                    if len(a):
+                        np.add.at(count, a, copies[b])
+                        np.add.at(count, b, copies[a])
+                        _unite(label, a, b)
+        some = np.flatnonzero(count)
+        return pa.table({"node": node[some], "n": count[some], "part": node[label[some]]})
 
-def links(nodes: DataFrame, kind: str, least: float, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """The distinct pairs (a, b), a < b, that the passes find."""
-    sorted_ = keyed(nodes, kind, passes).repartitionByRange("turn", "dim", "key").sortWithinPartitions("turn", "dim", "key", "node")
-    found = checkpointed(map_batches(sorted_, _compare(kind, window, least), "a bigint, b bigint, turn int, dim int, border int, side int, place int, node bigint, v binary", rows=4096))
+    return run
 
-    def across(table):
-        """Rows that end a partition against those that begin the next."""
-        rows = table.sort_by([("side", "descending"), ("place", "ascending")])
-        ids, raw = rows["node"].to_numpy(), rows["v"].to_pylist()
-        before = int(np.sum(rows["side"].to_numpy() == 1))
-        out = [np.empty((2, 0), np.int64)]
-        if 0 < before < len(ids):
-            x = _unit(np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(float))
-            for i, j in _near(x, before, window, least):
-                cross = i < before
-                out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])])[:, cross])
-        pairs = np.concatenate(out, axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    borders = found.where("border is not null").select("turn", "dim", "border", "side", "place", "node", "v")
-    crossing = borders.groupBy("turn", "dim", "border").applyInArrow(across, "a bigint, b bigint")
-    return checkpointed(found.where("a is not null").select("a", "b").unionByName(crossing).where("a <> b").distinct())
+def links(nodes: DataFrame, kind: str, least: float) -> DataFrame:
+    """A row per node and tile in which it has links: node, n (rows it is linked with) and part, a node
+    of the same component. Over the tiles, n adds up to all links and (node, part) join all that is linked."""
+    size = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("v")), F.lit(0)).alias("bytes")).first()
+    groups = max(1, -(-size["bytes"] // GROUP_BYTES), min(LEAST_GROUPS, -(-size["n"] // STEP)))
+    tiles = tiled(nodes, kind, least, pivots(nodes, kind), groups)
+    return checkpointed(tiles.groupBy("lo", "hi").applyInArrow(_compare(kind, least), "node bigint, n bigint, part bigint"))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per row of `vectors`: vec_id, n_links, component_id, kept."""
     found, kind = usable(vectors, id_col, vec_col)
     rows = checkpointed(found)
     nodes = checkpointed(rows.where("digest is not null and vec_id is not null").groupBy("digest").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("copies"), F.first("v").alias("v")))
-    pairs = links(nodes, kind, least, passes, window)
-    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ways.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "node")
-    home = components(pairs).withColumnRenamed("id", "node")
+    parts = links(nodes, kind, least)
+    others = parts.groupBy("node").agg(F.sum("n").alias("others"))
+    home = components(parts.select(F.col("node").alias("a"), F.col("part").alias("b"))).withColumnRenamed("id", "node")
     told = nodes.drop("v").join(others, "node", "left").join(home, "node", "left")
     told = told.select("digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("home"))
     joined = rows.select("vec_id", "digest").join(told, "digest", "left")

@@ -340,6 +340,22 @@ def test_embeddings_against_brute_force(spark):
     assert sum(got[i][1] == home.get(i, i) for i in got) >= 0.99 * len(got)
 
 
+def test_embeddings_count_every_link(spark):
+    r = np.random.default_rng(2)
+    crowd = r.standard_normal(8) + 0.02 * r.standard_normal((7000, 8))  # all linked, and more than passes of windows met
+    topic = r.standard_normal(64) + 0.5 * r.standard_normal((6000, 64))  # similar, not linked
+    topic[3000:] = topic[:3000] + 0.25 * r.standard_normal((3000, 64))  # but for pairs
+    mine = [*crowd, *topic]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(mine)], "vec_id bigint, embedding array<double>")
+    got = by_id(embed_dedup.near_duplicates(df))
+    assert all(got[i] == (6999, 0, i == 0) for i in range(7000))
+    u = topic / np.linalg.norm(topic, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    home = components.brute_force([(int(a) + 7000, int(b) + 7000) for a, b in zip(*np.nonzero(near)) if a < b])
+    assert 2000 < near.sum() - 6000 < 20000
+    assert all(got[i + 7000][:2] == (near[i].sum() - 1, home.get(i + 7000, i + 7000)) for i in range(6000))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "</p>";</script></head><body>
 <header><a href="/">Home</a> The Site</header><nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav>
 <div id="cookie-notice">We use cookies on this site, do you agree to that?</div><div class="ad">Buy this thing now, it is very good and cheap.</div>
