@@ -286,8 +286,8 @@ def spectral_clusters(spark, sf_dir):
 
 @_query()
 def spectral_embedding(spark, sf_dir):
-    ids, z = cluster.spectral_embedding(_data(spark, sf_dir), 4)
-    return spark.createDataFrame([(int(i), p, round(float(x), 6)) for i, row in zip(ids, z) for p, x in enumerate(row)], "vec_id bigint, pos int, value double")
+    z = cluster.spectral_embedding(_data(spark, sf_dir), 4)
+    return _round(z.select(F.col("id").alias("vec_id"), F.posexplode("v").alias("pos", "value")), "value")
 
 
 # ---- inverted lists -----------------------------------------------------------------------------

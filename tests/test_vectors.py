@@ -140,6 +140,27 @@ def test_linkage_and_spectral_separate_two_groups(spark):
         assert len({got[i] for i in range(12)}) == len({got[i] for i in range(12, 24)}) == 1 and got[0] != got[12]
 
 
+def test_linkage_and_spectral_beyond_the_driver(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.standard_normal((n, 3)) + [6.0 * c, 0, 0] for c, n in enumerate((60, 50, 40))])
+    data = frame(spark, x)
+    read = lambda: (
+        *(rows(cluster.slink_labels(data, c, 8, symmetric=True), "vec_id", "label") for c in (1, 7)),
+        dict(rows(cluster.spectral_embedding(data, 3), "id", "v")),
+    )
+    near = read()
+    monkeypatch.setattr(cluster, "LINKAGE_LINKS", 10)
+    monkeypatch.setattr(cluster, "DENSE_ROWS", 10)
+    monkeypatch.setattr(cluster, "BUCKET_ROWS", 40)
+    far = read()
+    assert sorted(near[0]) == sorted(far[0]) and sorted(near[1]) == sorted(far[1])
+    assert len(near[2]) == len(far[2]) == 150
+    # Equal up to the basis of eigenvalues that are nearly equal: the spaces agree.
+    a, b = (np.array([z[i] for i in range(150)]) for z in (near[2], far[2]))
+    assert np.abs(a @ a.T - b @ b.T).max() < 1e-4
+    assert len(set(dict(rows(cluster.spectral_clusters(data, 3), "vec_id", "label")).values())) == 3
+
+
 def edges_of(spark, table):
     return spark.createDataFrame([(s, r, d) for s, row in enumerate(table) for r, d in enumerate(row)], "src bigint, rank int, dst bigint")
 
