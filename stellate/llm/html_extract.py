@@ -33,6 +33,8 @@ from .common import map_batches
 # HTML's element names by their part in a page's layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style template noscript iframe object svg math canvas audio video head title".split())
+#: What may stand in a head; the start of another element ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -148,6 +150,9 @@ def blocks(page: str) -> list[tuple[str, int, Element]]:
             elif tag not in VOID:
                 close((tag,), BLOCK)
             continue
+        if top.tag == "head" and tag not in IN_HEAD:
+            flush()
+            close(("head",))
         if block or tag in UNSEEN:
             flush()
             in_link = False

@@ -364,6 +364,14 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <section class="comments"><p>I liked reading this a lot, thank you very much for it.</p></section><footer>&copy; Somebody</footer></body></html>"""
 
 
+def test_a_head_without_an_end():
+    text = "This is a sentence of an article that is long enough to be content, and it goes on. " * 3
+    for start in ("<body>", "", "<span class=x>", "<!-- c --><body class=page>"):
+        page = f"<html><head><meta charset=utf-8><title>T</title><style>p{{}}</style><link rel=x>{start}<article><p>{text}</p></article></html>"
+        assert html_extract.main_text(page) == text.strip()
+    assert html_extract.main_text(f"<head><title>T</title></head><body><p>{text}</p>") == text.strip()
+
+
 def test_main_text_of_a_page(spark):
     want = "A title & more\n\nFirst <b> paragraph goes on, with a link.\n\nShort.\n\nAn item"
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, None), (3, "u", "", ""), (None, "u", PAGE, "t"), (1, "u", PAGE, "t")], "page_id bigint, url string, html string, text string")
