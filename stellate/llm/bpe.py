@@ -19,7 +19,6 @@ from __future__ import annotations
 import heapq
 import json
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from .common import map_batches, text_rows
+from .common import Kept, held, map_batches, text_rows
 
 #: Fixed value: the pattern by which the public byte-level vocabulary splits texts.
 #: White space is spelled out, since libraries differ on the control characters.
@@ -40,8 +39,8 @@ PATTERN = (
 )
 #: Words of more bytes than this are merged with a heap.
 SHORT_WORD = 96
-#: Words, and pieces of words, kept with their ids in each worker; beyond this the worker starts anew.
-CACHED_WORDS, CACHED_PIECES = 400_000, 200_000
+#: Bytes of words, and of pieces of words, kept with their ids in each worker; beyond this it starts anew.
+WORD_BYTES, PIECE_BYTES = 64 << 20, 8 << 20
 
 #: Below this character the split by the pattern is known to agree with the tokenizer's.
 LAST_AGREED = "\u0530"
@@ -61,37 +60,31 @@ class Irregular(Exception):
     """A text's spaces need the slower split."""
 
 
-class Words(dict):
+class Words(Kept):
     """The ids, as little-endian bytes, of words that follow a single space."""
 
     def __init__(self, tokenizer: ByteBpe, before: str):
+        super().__init__(WORD_BYTES)
         self.tokenizer, self.before = tokenizer, before
 
     def __missing__(self, word: str) -> bytes:
         if not word or self.tokenizer.starts_with_space(word):
             raise Irregular
         ids = self.tokenizer.encode_chunk(self.before + word)
-        if len(word) <= SHORT_WORD:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        return self.keep(word, ids, len(word) + len(ids)) if len(word) <= SHORT_WORD else ids
 
 
-class Pieces(dict):
+class Pieces(Kept):
     """The ids, as little-endian bytes, of the pieces that the pattern finds."""
 
-    def __init__(self, tokenizer: ByteBpe):
-        self.merge = tokenizer.merge
+    def __init__(self, merge):
+        super().__init__(PIECE_BYTES)
+        self.merge = merge
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.merge(piece.encode())
+        ids = self.merge(piece)
         packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= SHORT_WORD:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = packed
-        return packed
+        return self.keep(piece, packed, len(piece) + len(packed)) if len(piece) <= SHORT_WORD else packed
 
 
 class ByteBpe:
@@ -120,7 +113,7 @@ class ByteBpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.latin_pieces = regex.compile(PATTERN).findall
         self.library_pieces = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.piece_ids = Pieces(self)
+        self.piece_ids = Pieces(lambda piece: self.merge(piece.encode()))
         self.chunks = regex.compile(rf"{SPACE}*{NOT_SPACE}+|{SPACE}+").findall
         self.starts_with_space = regex.compile(SPACE).match
         self.after_space, self.whole = Words(self, " "), Words(self, "")
@@ -203,10 +196,9 @@ class ByteBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=1)
 def byte_bpe(tokenizer_json: str) -> ByteBpe:
     """The encoder of a worker, which keeps its words from task to task."""
-    return ByteBpe(tokenizer_json)
+    return held(("bpe", tokenizer_json), lambda: ByteBpe(tokenizer_json))
 
 
 def read_tokenizer(path: str) -> str:

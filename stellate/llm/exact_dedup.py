@@ -30,6 +30,8 @@ from .common import checkpointed, text_rows
 BLANKS = " \t\n\x0b\x0c\r"
 #: Counters of a summary, and so the most rows that are ever broadcast.
 CAPACITY = 1024
+#: Keys of rows that go, of about 60 bytes each, that may be broadcast.
+BROADCAST_ROWS = 200_000
 #: Groups under this size are left to the shuffle.
 FREQUENT = 32
 
@@ -81,29 +83,42 @@ def _decided(rows: DataFrame, capacity: int, least: int) -> DataFrame:
     return marked.where(F.col("group_size").isNotNull()).unionByName(rest.join(groups, "digest"))
 
 
+def _kept():
+    return F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("n_points") == -F.col("first.order"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    texts = text_rows(docs, id_col, text_col)
+    return checkpointed(texts.select("doc_id", digest_of("text").alias("digest"), F.length("text").alias("n_points")))
+
+
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, least: int = FREQUENT) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256."""
-    texts = text_rows(docs, id_col, text_col)
-    rows = checkpointed(texts.select("doc_id", digest_of("text").alias("digest"), F.length("text").alias("n_points")))
-    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("n_points") == -F.col("first.order"))
-    return _decided(rows, capacity, least).select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    return _decided(_rows(docs, id_col, text_col), capacity, least).select(
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", _kept().alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, least: int = FREQUENT) -> DataFrame:
     """The rows of `docs`, with all their columns, of which each text has one.
 
-    Frequent texts lose their copies on the map side; the other rows are shuffled once.
+    Only ids, digests and lengths are shuffled to decide. The texts stay where they are if the keys
+    of rows that go are few, which is checked; else they are shuffled once, by key.
     """
-    texts = text_rows(docs, id_col, text_col)
-    rows = checkpointed(texts.select("doc_id", digest_of("text").alias("digest"), F.length("text").alias("n_points")))
-    winners = frequent(rows, capacity, least).select("digest", F.col("first.doc_id").alias("id"), (-F.col("first.order")).alias("points"))
+    decided = checkpointed(_decided(_rows(docs, id_col, text_col), capacity, least).select("doc_id", "digest", "n_points", _kept().alias("kept")))
+    gone = decided.where("not kept").select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), F.col("n_points").alias("n")).distinct()
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), digest_of(text).alias("digest"), F.length(text).alias("n_points"))
-    left = whole.join(F.broadcast(winners), "digest", "left").where(F.col("points").isNull() | (F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n_points") == F.col("points"))))
-    order = Window.partitionBy("digest").orderBy(F.desc("n_points"), F.asc_nulls_last("doc_id"))
-    return left.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row.*")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")) & (F.col("n_points") == F.col("n"))
+    left = whole.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    # Rows that repeat the id and text of the one that stays; there are none where ids are unique.
+    again = checkpointed(decided.where("kept").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    if again.isEmpty():
+        return left.select("row.*")
+    nth = F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))
+    one = left.join(again, "digest", "left_semi").withColumn("nth", nth).where("nth = 1")
+    return left.join(again, "digest", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 ORACLE_SQL = r"""

@@ -28,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_rows
+from .common import Kept, held, map_batches, text_rows, trimmed
 
 #: Labelled rows that the fit uses at most, and hashed features.
 FIT_ROWS, FEATURE_BITS = 6000, 18
 #: Smoothing of the class counts, cost of a margin error, and passes of the descent.
 SMOOTHING, COST, EPOCHS = 1.0, 1.0, 20
 THRESHOLD = 0.7
-CACHED_WORDS = 400_000
+#: Bytes of words kept with their hashes in each worker.
+WORD_BYTES = 48 << 20
 SHORT_WORD = 64
 
 #: weights: a feature's ratio times its weight; squares: of the ratios; the rest turns a margin into a score.
@@ -51,23 +52,19 @@ def shape(word: str) -> str:
         k = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:8])
+    return "".join(out)
 
 
-class Words(dict):
+class Words(Kept):
     """A word's hash in the upper half, its shape's in the lower."""
 
+    def __init__(self):
+        super().__init__(WORD_BYTES)
+
     def __missing__(self, word: str) -> int:
         raw = word.lower().encode("utf-8", "replace")
         code = zlib.crc32(raw) << 32 | zlib.crc32(shape(word).encode("utf-8", "replace"))
-        if len(word) <= SHORT_WORD:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = code
-        return code
-
-
-_words = Words()
+        return self.keep(word, code, len(word)) if len(word) <= SHORT_WORD else code
 
 
 def _slots(h: np.ndarray, kind: int) -> np.ndarray:
@@ -77,10 +74,10 @@ def _slots(h: np.ndarray, kind: int) -> np.ndarray:
 
 
 def _shares(h: np.ndarray, n: int, kind: int) -> np.ndarray:
-    """Slots of values together with the share of n that each has, by halves down to 1 in 64."""
+    """Slots of values together with the share of n that each has, by halves."""
     values, counts = np.unique(h, return_counts=True)
-    share = np.minimum(6, np.floor(np.log2(n / counts))).astype(np.uint64)
-    return _slots(values * np.uint64(8) + share, kind)
+    share = np.floor(np.log2(n / counts)).astype(np.uint64)
+    return _slots(values * np.uint64(64) + share, kind)
 
 
 def features(text: str) -> np.ndarray:
@@ -89,7 +86,7 @@ def features(text: str) -> np.ndarray:
     size = np.array([len(words).bit_length()], np.uint64)
     if not words:
         return _slots(size, 1)
-    codes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    codes = np.fromiter(map(held("quality", Words).__getitem__, words), np.uint64, len(words))
     word, form = codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)
     found = [_slots(size, 1), _slots(word, 2), _shares(form, len(form), 3)]
     distinct = len(np.unique(word)) / len(word)
@@ -105,7 +102,7 @@ def features(text: str) -> np.ndarray:
 def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: float = COST, epochs: int = EPOCHS) -> np.ndarray:
     """Weights of the linear model with hinge loss, the last one for a constant, by dual coordinate descent."""
     w, alpha = np.zeros(size + 1), np.zeros(len(rows))
-    square = np.array([v @ v + 1.0 for v in values])
+    square = np.array([float(v @ v) + 1.0 for v in values])
     order = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
@@ -124,13 +121,14 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, siz
 
 def ratios(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """The log ratio of every feature's smoothed share in class 1 to that in class 0."""
-    counts = [SMOOTHING + sum((np.bincount(r, minlength=size) for r, k in zip(rows, y) if k == side), np.zeros(size)) for side in (1, -1)]
+    of = lambda side: [r for r, k in zip(rows, y) if k == side]
+    counts = [SMOOTHING + np.bincount(np.concatenate(of(side) or [np.empty(0, np.int32)]), minlength=size) for side in (1, -1)]
     return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
 
 
 def _train(rows, y, size):
     r = ratios(rows, y, size)
-    values = [r[x] / max(np.linalg.norm(r[x]), 1e-9) for x in rows]
+    values = [(r[x] / max(np.linalg.norm(r[x]), 1e-9)).astype(np.float32) for x in rows]
     return r, descend(rows, values, y, size)
 
 
@@ -193,7 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     got = map_batches(texts, run, "doc_id bigint, found binary, label int").collect()
     by_id = {g["doc_id"]: g for g in got}  # a repeated row counts once
     got = [by_id[k] for k in sorted(by_id)]
-    return fit_rows([np.frombuffer(bytes(g["found"]), np.int32).astype(np.int64) for g in got], [g["label"] for g in got])
+    model = fit_rows([np.frombuffer(g["found"], np.int32) for g in got], [g["label"] for g in got])
+    del got, by_id
+    trimmed()
+    return model
 
 
 def score_text(text: str, model: Model) -> float:
@@ -209,7 +210,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             scores = [score_text(t, shipped.value) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
-        _words.clear()  # the worker lives on for other work
 
     return map_batches(text_rows(docs, id_col, text_col), run, "doc_id bigint, score double")
 
@@ -223,6 +223,5 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
         for batch in batches:
             good = [score_text(t or "", shipped.value) >= threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
-        _words.clear()  # the worker lives on for other work
 
     return map_batches(docs, run, docs.schema)

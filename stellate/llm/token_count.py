@@ -25,7 +25,7 @@ from collections import namedtuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, text_rows
+from .common import Kept, held, map_batches, text_rows
 
 #: pieces: (text, score) of ordinary pieces; byte_pieces: whether uncovered characters count by bytes.
 Vocabulary = namedtuple("Vocabulary", "pieces byte_pieces")
@@ -33,7 +33,8 @@ Vocabulary = namedtuple("Vocabulary", "pieces byte_pieces")
 MARK = "▁"
 #: Fixed value: what the tokenizer takes off the least score for an uncovered character.
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 800_000
+#: Bytes of words kept with their counts in each worker.
+WORD_BYTES = 96 << 20
 SHORT_WORD = 64
 
 
@@ -47,12 +48,13 @@ def read_vocabulary(path: str) -> Vocabulary:
     return Vocabulary([(model.id_to_piece(i), model.get_score(i)) for i in plain], any(model.is_byte(i) for i in ids))
 
 
-class Counter(dict):
+class Counter(Kept):
     """Counts of words, kept for short ones."""
 
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
 
+        super().__init__(WORD_BYTES)
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary.pieces:
             if MARK in piece.lstrip(MARK):
@@ -66,11 +68,7 @@ class Counter(dict):
 
     def __missing__(self, word: str) -> int:
         count = self.viterbi(MARK + word)
-        if len(word) <= SHORT_WORD:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = count
-        return count
+        return self.keep(word, count, len(word)) if len(word) <= SHORT_WORD else count
 
     def viterbi(self, text: str) -> int:
         if not self.covered.issuperset(text):
@@ -117,22 +115,12 @@ class Counter(dict):
         return sum(map(self.__getitem__, words))
 
 
-_kept: list = [None, None]
-
-
-def _counter(vocabulary: Vocabulary) -> Counter:
-    """The counter of a worker, which keeps its words from task to task."""
-    if _kept[0] != vocabulary:
-        _kept[:] = [vocabulary, Counter(vocabulary)]
-    return _kept[1]
-
-
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and n_chars (code points) of whole texts; one row per row of `docs`, no shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        counter = _counter(shipped.value)
+        counter = held(("counts", shipped.value), lambda: Counter(shipped.value))  # keeps its words from task to task
         for batch in batches:
             texts = batch.column(1).to_pylist()
             counts, chars = [counter.count(t) for t in texts], [len(t) for t in texts]
