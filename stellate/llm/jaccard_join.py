@@ -37,18 +37,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, release, text_rows
+from .common import checkpointed, held, map_batches, text_rows
 from .components import components
 
-#: Counters of the sketch: 2 ** SKETCH_BITS, of which one byte each is broadcast.
-SKETCH_BITS = 22
+#: Counters of the sketch: a power of two near the bytes of text / 128, of which one byte each is broadcast.
+LEAST_BITS, MOST_BITS = 14, 24
 BLOCKS = 64
 #: Most shared shingles that a prefix may ask for.
 MOST_MATCHES = 4
 #: Cost of verifying a pair, in list entries read.
 VERIFY_COST = 40.0
-#: Documents per task at most that share a prefix shingle; longer lists are split.
+#: Documents per task at most that share a prefix shingle; longer lists are split when they are gathered.
 LONG_LIST = 50_000
+#: Entries of a block: lists of candidates are joined block by block.
+LIST_BLOCK = 512
 #: Bits of a document's parity sketch, and of its folded form that goes along with lists.
 PARITY_BITS, FOLDED_BITS = 2048, 512
 #: Ids that a semi-join may broadcast: 8 bytes each.
@@ -87,18 +89,21 @@ def _as_bytes(column):
     return column.cast(pa.binary()).to_pylist()
 
 
-def profile(texts: DataFrame, words: int) -> DataFrame:
+def sketch_bits(texts: DataFrame) -> int:
+    """Bits of the sketch's size, which grows with the text until its bound."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max((size >> 7).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def profile(texts: DataFrame, words: int, bits: int) -> DataFrame:
     """Per row doc_id, n_shingles, a digest of the set and its parity sketch; and per partition blocks of the sketch of its counts."""
-    block = (1 << SKETCH_BITS) // BLOCKS
+    block = (1 << bits) // BLOCKS
     names = ["doc_id", "n_shingles", "digest", "parity", "block", "counts"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def run(batches):
-        counts, waiting, size = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
-
-        def count():
-            np.add(counts, np.bincount(np.concatenate(waiting), minlength=len(counts)), out=counts, casting="unsafe")
-
+        held("jaccard")
+        counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             sets = [shingles(t, words) for t in _as_bytes(batch.column(1))]
             n = len(sets)
@@ -106,13 +111,7 @@ def profile(texts: DataFrame, words: int) -> DataFrame:
             parities = [np.frombuffer(parity(s), np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((batch.column(0), [len(s) for s in sets], digests, parities, [None] * n, [None] * n), types)], names=names)
             for s in sets:
-                waiting.append((s & np.uint64(len(counts) - 1)).astype(np.int64))
-                size += len(s)
-            if size > len(counts) // 2:
-                count()
-                waiting, size = [], 0
-        if waiting:
-            count()
+                np.add.at(counts, (s & np.uint64(len(counts) - 1)).astype(np.intp), np.uint32(1))
         pack = zstandard.ZstdCompressor(level=1).compress
         packed = [pack(counts[k * block : (k + 1) * block].tobytes()) for k in range(BLOCKS)]
         none = [None] * BLOCKS
@@ -121,7 +120,7 @@ def profile(texts: DataFrame, words: int) -> DataFrame:
     return map_batches(texts, run, "doc_id bigint, n_shingles bigint, digest binary, parity array<bigint>, block int, counts binary")
 
 
-def _levels(parts: DataFrame) -> np.ndarray:
+def _levels(parts: DataFrame, bits: int) -> np.ndarray:
     """The summed sketch, a byte for each counter: eight steps for each doubling."""
 
     def summed(key, tables):
@@ -131,11 +130,11 @@ def _levels(parts: DataFrame) -> np.ndarray:
                 total = total + np.frombuffer(unpack(c), np.uint64 if len(unpack(c)) == size * 8 else np.uint32).astype(np.uint64)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
 
-    size = (1 << SKETCH_BITS) // BLOCKS
+    size = (1 << bits) // BLOCKS
     # In two steps, so that no task reads the blocks of all partitions.
     some = parts.groupBy("block", (F.spark_partition_id() % 32).alias("part")).applyInArrow(lambda key, t: summed(key, [t]), "block int, counts binary")
     rows = some.groupBy("block").applyInArrow(lambda key, t: summed(key, [t]), "block int, counts binary").collect()  # BLOCKS rows
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
+    levels = np.zeros(1 << bits, np.uint8)
     for row in rows:
         counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["counts"])), np.uint64)
         levels[row["block"] * size : (row["block"] + 1) * size] = np.minimum(255, np.rint(8 * np.log2(np.maximum(counts, 1))))
@@ -187,8 +186,9 @@ def prefixes(texts: DataFrame, words: int, percent: int, levels: np.ndarray) ->
 
 
 def _shared(batches):
-    """Of postings sorted by shingle and falling centrality, those that share their shingle, with the list's first document."""
-    names, last = ["token", "salt", "doc", "n", "place", "matches", "centre", "pivot"], None
+    """Of postings sorted by shingle and falling centrality, those that share their shingle, with
+    the block of the list that they lie in and the list's first document."""
+    names, last = ["token", "salt", "doc", "n", "place", "matches", "centre", "pivot", "block"], None
     for batch in batches:
         token, salt, doc = (batch.column(k).to_numpy() for k in range(3))
         if not len(token):
@@ -198,9 +198,12 @@ def _shared(batches):
         goes_on = last is not None and (last[0], last[1]) == (token[0], salt[0])
         new[0] = not goes_on
         run = np.cumsum(new) - (0 if goes_on else 1)
-        firsts = doc[new] if not goes_on else np.concatenate(([last[2]], doc[new]))
-        pivot = firsts[run]
-        rows = pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot)], names=names)
+        starts, firsts = np.flatnonzero(new), doc[new]
+        if goes_on:
+            starts, firsts = np.concatenate(([-last[4]], starts)), np.concatenate(([last[2]], firsts))
+        pivot, at = firsts[run], np.arange(len(token)) - starts[run]
+        block = salt.astype(np.int64) << 32 | at // LIST_BLOCK
+        rows = pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(block)], names=names)
         alone = np.bincount(run, minlength=len(firsts)) == 1
         if goes_on:
             alone[0] = False
@@ -210,7 +213,7 @@ def _shared(batches):
         held = None
         if alone[run[-1]] and new[-1] and not keep[-1]:
             held = rows.slice(len(token) - 1, 1)
-        last = (token[-1], salt[-1], pivot[-1], held)
+        last = (token[-1], salt[-1], pivot[-1], held, int(at[-1]) + 1)
         yield rows.filter(pa.array(keep))
 
 
@@ -219,7 +222,7 @@ def shared_postings(marked: DataFrame) -> DataFrame:
     posted = marked.select("doc_id", "n", "matches", "centre", F.posexplode(F.arrays_zip("prefix", "salts")).alias("place", "at"))
     posted = posted.select(F.col("at.prefix").alias("token"), F.col("at.salts").alias("salt"), F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "place", "matches", "centre")
     sorted_ = posted.repartition("token", "salt").sortWithinPartitions("token", "salt", F.desc("centre"), "doc")
-    return map_batches(sorted_, _shared, "token bigint, salt int, doc bigint, n int, place int, matches int, centre int, pivot bigint", rows=1024)
+    return map_batches(sorted_, _shared, "token bigint, salt int, doc bigint, n int, place int, matches int, centre int, pivot bigint, block bigint", rows=8192)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -252,33 +255,31 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (the least id of its component)."""
     texts = text_rows(docs, id_col, text_col)
-    told = checkpointed(profile(texts, words))
+    bits = sketch_bits(texts)
+    told = checkpointed(profile(texts, words, bits))
     rows = told.where(F.col("block").isNull()).select("doc_id", "n_shingles", "digest", "parity")
-    levels = _levels(told.where(F.col("block").isNotNull()).select("block", "counts"))
+    levels = _levels(told.where(F.col("block").isNotNull()).select("block", "counts"), bits)
     nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("parity").alias("parity"))
 
     lists = checkpointed(shared_postings(prefixes(texts, words, percent, levels).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")))
-    release(docs.sparkSession)
     # Of a set, the shingles before the first one that another prefix has are in no set it links with.
     about = lists.groupBy("doc").agg(F.first("n").alias("n"), (F.first("n") - F.min("place")).alias("most"), F.first("centre").alias("centre"))
     about = about.join(nodes.withColumnRenamed("node", "doc").drop("digest"), "doc")
     about = checkpointed(about.withColumn("folded", _folded(F.col("parity"))))
-    lists = lists.select("token", "salt", "doc", "place", "matches", "pivot")
+    lists = lists.select("token", "salt", "block", "doc", "place", "matches", "pivot")
     # Each document meets the first one that it shares the most shingles with; others, only if that leaves them apart.
     near = lists.where("doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"))
     near = checkpointed(_plausible(near, about, percent))
     most = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     links = verify(most.select("a", "b"), texts, words, percent)
     rest = checkpointed(_apart(near.select("a", "b").join(most, ["a", "b"], "left_anti"), components(links)))
-    release(docs.sparkSession)
     links = links.unionByName(verify(rest, texts, words, percent))
 
     # A list's first document has met all others of its list; one of a split list has not.
     lists, turn, parts = lists.where("doc <> pivot or salt > 0").drop("salt", "pivot"), 0, components(links)
     while not (lists := _across(lists, about, parts, percent)).isEmpty():
         if turn < MOST_ROUNDS and _pairs_across(lists) > MANY_PAIRS:
-            centres = lists.groupBy("token").agg(F.max_by(F.struct("doc", "part"), F.struct("centre", -F.col("doc"))).alias("c"))
-            met = lists.join(centres, "token")
+            met = _told(lists, lists.groupBy("token").agg(F.max_by(F.struct("doc", "part"), F.struct("centre", -F.col("doc"))).alias("c")))
             pairs = met.where(F.col("part") != F.col("c.part")).select(F.col("c.doc").alias("a"), F.col("doc").alias("b")).distinct()
             more = verify(_plausible(pairs, about, percent), texts, words, percent)
             lists = met.where("doc <> c.doc")
@@ -286,7 +287,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         else:
             pairs = _plausible(_candidates(lists, percent), about, percent)
             more, lists = verify(pairs, texts, words, percent), lists.limit(0)
-        lists = lists.select("token", "doc", "place", "matches")
+        lists = lists.select("token", "block", "doc", "place", "matches")
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = components(links)
@@ -340,16 +341,22 @@ def _few_differences(n, m, x, y, percent):
     return differ * (100 + percent) <= (n + m) * (100 - percent)
 
 
+def _told(lists: DataFrame, of_tokens: DataFrame) -> DataFrame:
+    """The lists with what is known of their tokens; it is told to blocks first, so that no long list meets in one task."""
+    blocks = lists.select("token", "block").distinct().join(of_tokens, "token")
+    return lists.join(blocks, ["token", "block"])
+
+
 def _across(lists: DataFrame, about: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The lists that hold documents of more than one part, with what is known of each,
     less the documents that can link with none of their list."""
     placed = about.join(parts.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
     placed = lists.join(placed.drop("parity", "folded"), "doc")
     mixed = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("n").alias("least"), F.max("most").alias("top")).where("x <> y")
-    able = placed.join(mixed.select("token", "least", "top"), "token")
+    able = _told(placed, mixed.select("token", "least", "top"))
     able = able.where(_fits(F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), F.col("most"), F.col("top"), percent)).drop("least", "top")
     still = able.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-    return checkpointed(able.join(still, "token", "left_semi").join(about.select("doc", "folded"), "doc"))
+    return checkpointed(_told(able, still).join(about.select("doc", "folded"), "doc"))
 
 
 def _pairs_across(lists: DataFrame) -> int:
@@ -358,10 +365,18 @@ def _pairs_across(lists: DataFrame) -> int:
 
 
 def _candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs across parts that share enough shingles of their prefixes."""
-    x, y = (lists.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "most", "place", "matches", "part", "folded"))) for k in "xy")
+    """Pairs across parts that share enough shingles of their prefixes. Every two blocks of a list are
+    joined by themselves, unless both hold a single part, the same."""
+    blocks = checkpointed(lists.groupBy("token", "block").agg(F.min("part").alias("x"), F.max("part").alias("y")))
+    first, second = (blocks.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "x", "y"))) for k in "xy")
+    meet = first.join(second, "token").where("block_x <= block_y and (x_x <> y_x or x_y <> y_y or x_x <> x_y)").select("token", "block_x", "block_y")
+    x, y = (
+        lists.select("token", F.col("block").alias(f"block_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "most", "place", "matches", "part", "folded"))).join(meet, ["token", f"block_{k}"])
+        for k in "xy"
+    )
     matches = F.least("matches_x", "matches_y")
     within = lambda k: F.col(f"place_{k}") < F.col(f"n_{k}") - F.ceil(F.col(f"n_{k}") * percent / 100) + matches
-    pairs = x.join(y, "token").where((F.col("doc_x") < F.col("doc_y")) & (F.col("part_x") != F.col("part_y")) & within("x") & within("y") & _may_link("x", "y", percent, folded=True))
-    asked = pairs.groupBy(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).agg(F.count("*").alias("shared"), F.min(matches).alias("asked"))
+    once = (F.col("block_x") < F.col("block_y")) | (F.col("doc_x") < F.col("doc_y"))
+    pairs = x.join(y, ["token", "block_x", "block_y"]).where(once & (F.col("part_x") != F.col("part_y")) & within("x") & within("y") & _may_link("x", "y", percent, folded=True))
+    asked = pairs.groupBy(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).agg(F.count("*").alias("shared"), F.min(matches).alias("asked"))
     return asked.where("shared >= asked").select("a", "b")
