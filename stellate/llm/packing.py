@@ -5,9 +5,12 @@ remainder. Remainders are items with three demands: tokens, one segment, and
 loss-bearing tokens. Sequences are bins with a limit on each. The dot-product
 heuristic fills one bin at a time: of a bounded pool of open items that fit it, the
 one whose demands, as shares of the limits, have the greatest dot product with what
-the bin has left goes in. When none fits, an item is cut so that the bin is filled.
-A partition's last tokens, which fill no whole sequence, are cut at powers of two,
-where sequences need no padding.
+the bin has left goes in. When none fits, or when the bin may take only one more segment,
+an item is cut so that the bin is filled. A partition's last tokens, which fill no whole
+sequence, are cut at powers of two, where sequences need no padding.
+
+Rows whose `loss_col` is false bear no loss, as prompts of instruction data do, nor do the
+ids of `no_loss_ids`; so an example's demands are three numbers, not one.
 
 Partitions are packed apart, so there is no shuffle and memory is bounded by the pool;
 sequence ids hold the partition's number in their upper bits.
@@ -20,8 +23,6 @@ be a power of two, and a segment limit that binds leaves a sequence padded.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ByteBpe, read_tokenizer
-from .common import map_batches, text_rows
+from .common import held, map_batches, text_rows
 
 #: Open items a partition holds at most; each is shorter than a sequence.
 POOL = 512
@@ -40,7 +41,8 @@ SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens big
 class Packer:
     """Packs items into sequences; hands out finished pieces.
 
-    An item is [doc, ids, start, doc_tokens]; `loss` gives the loss-bearing tokens of ids.
+    An item is [doc, ids, start, doc_tokens, bears]; `loss` gives the loss-bearing tokens of
+    ids, where it is not all of them; an item that does not bear has none.
     """
 
     def __init__(self, first_sequence: int, tokens: int, segments: int, loss_tokens: int, loss=None, pool: int = POOL):
@@ -52,37 +54,39 @@ class Packer:
         self.demands = np.zeros((pool, 3))
         self.out: list[tuple] = []
 
-    def demand(self, ids: bytes) -> tuple[int, int, int]:
+    def demand(self, ids: bytes, bears: bool) -> tuple[int, int, int]:
         n = len(ids) >> 2
-        return n, 1, n if self.loss is None else self.loss(ids)
+        return n, 1, 0 if not bears else n if self.loss is None else self.loss(ids)
 
     def place(self, item, offset: int, length: int) -> None:
         """Writes the first `length` ids of an item into the open sequence and takes them off it."""
-        doc, ids, start, total = item
+        doc, ids, start, total, _ = item
         self.out.append((doc, start, length, ids[: length * 4], total, self.sequence, offset))
         item[1], item[2] = ids[length * 4 :], start + length
 
     def close(self) -> None:
         self.sequence += 1
 
-    def add(self, doc, ids: bytes) -> None:
+    def add(self, doc, ids: bytes, bears: bool = True) -> None:
         total, start = len(ids) >> 2, 0
         while total - start >= self.tokens:
             whole = ids[start * 4 : (start + self.tokens) * 4]
-            n = self.fitting(whole, self.tokens, self.limits[2])  # fewer if they would bear too much loss
+            n = self.fitting(whole, bears, self.tokens, self.limits[2])  # fewer if they would bear too much loss
             self.out.append((doc, start, n, whole[: n * 4], total, self.sequence, 0))
             self.close()
             start += n
-        item = [doc, ids[start * 4 :], start, total]
+        item = [doc, ids[start * 4 :], start, total, bears]
         if item[1]:
             if len(self.items) == self.most:
                 self.fill()
-            self.demands[len(self.items)] = self.demand(item[1])
+            self.demands[len(self.items)] = self.demand(item[1], bears)
             self.items.append(item)
 
-    def fitting(self, ids: bytes, tokens: int, loss: float) -> int:
+    def fitting(self, ids: bytes, bears: bool, tokens: int, loss: float) -> int:
         """The most leading ids that need no more than these tokens and loss-bearing tokens."""
         n = min(len(ids) >> 2, int(tokens))
+        if not bears:
+            return n
         if self.loss is None:
             return min(n, int(loss))
         low, high = 0, n
@@ -104,19 +108,24 @@ class Packer:
             demands = self.demands[: len(self.items)]
             score = (demands / self.limits) @ (left / self.limits)
             score[(demands > left).any(axis=1)] = -1.0
+            if left[1] < 2:  # the last segment: only an item that fills the sequence may go in whole
+                score[demands[:, 0] < left[0]] = -1.0
             at = int(score.argmax())
-            if score[at] < 0:  # nothing fits whole: cut the item of greatest demand
-                at = int(demands[:, 0].argmax())
-                n = self.fitting(self.items[at][1], left[0], left[2])
+            if score[at] < 0:  # cut the item of which the most can go in
+                room = demands[:, 0] * np.minimum(1.0, left[2] / np.maximum(demands[:, 2], 1e-9))
+                at = int(np.minimum(room, left[0]).argmax())
+                item = self.items[at]
+                n = self.fitting(item[1], item[4], left[0], left[2])
                 if not n:
                     break
-                item = self.items[at]
                 self.place(item, offset, n)
-                self.demands[at] = self.demand(item[1])
+                self.demands[at] = self.demand(item[1], item[4]) if item[1] else 0
                 if not item[1]:
                     self.take(at)
-                offset += n
-                break  # the sequence is as full as one item can make it
+                offset, left = offset + n, left - [n, 1, 0]
+                if item[4]:
+                    left[2] -= self.demand(self.out[-1][3], True)[2]
+                continue
             used, item = demands[at].copy(), self.take(at)
             self.place(item, offset, int(used[0]))
             offset, left = offset + int(used[0]), left - used
@@ -128,43 +137,43 @@ class Packer:
             self.fill()
         room = self.tokens
         while self.items:
-            total = int(self.demands[: len(self.items), 0].sum())
-            while room > total:
+            most = np.sort(self.demands[: len(self.items), 0])[::-1]  # what the segments of one sequence can hold
+            while room > most[: int(self.limits[1])].sum():
                 room //= 2
             saved, self.limits = self.limits, np.array([room, self.limits[1], min(self.limits[2], room)], float)
             self.fill()
             self.limits = saved
 
 
-@lru_cache(maxsize=1)
-def _library(tokenizer_json: str):
-    """An encoder whose merges the tiktoken library does; the split and the words kept are ours."""
+def _encoder(tokenizer_json: str) -> ByteBpe:
+    """The encoder, with merges by the tiktoken library where ids stand in the order of merges."""
     import tiktoken
 
-    bpe = ByteBpe(tokenizer_json)
-    ranks = {b: i for i, b in enumerate(bpe.bytes_of) if b and i not in bpe.special.values()}
-    by_rank = [bpe.bytes_of[i] for i in bpe.merged]
-    if sorted(bpe.merged) == bpe.merged and len(set(by_rank)) == len(by_rank):
-        bpe.piece_ids.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-    return bpe
+    plain = ByteBpe(tokenizer_json)
+    ranks = {b: i for i, b in enumerate(plain.bytes_of) if b and i not in plain.special.values()}
+    by_rank = [plain.bytes_of[i] for i in plain.merged]
+    if sorted(plain.merged) != plain.merged or len(set(by_rank)) < len(by_rank):
+        return plain
+    plain.piece_ids.merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return plain
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, end_id: int, tokens: int = 2048, segments: int = 512, loss_tokens: int = 2048,
-    no_loss_ids: tuple[int, ...] = (), id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, tokenizer_path: str, end_id: int, tokens: int = 2048, segments: int = 8, loss_tokens: int = 2048,
+    no_loss_ids: tuple[int, ...] = (), loss_col: str | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per piece of `docs`: doc_id, start, length, ids (binary, little-endian unsigned
-    32-bit), doc_tokens, sequence_id, offset. Ids of `no_loss_ids` bear no loss."""
+    32-bit), doc_tokens, sequence_id, offset. A null in `loss_col` counts as true."""
     shipped = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        bpe = _library(shipped.value)
+        bpe = held(("packing", shipped.value), lambda: _encoder(shipped.value))
         loss = (lambda ids: len(ids) // 4 - int(np.isin(np.frombuffer(ids, "<u4"), no_loss_ids).sum())) if no_loss_ids else None
         packer = Packer(TaskContext.get().partitionId() << 40, tokens, segments, loss_tokens, loss)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(doc, bpe.encode(text) + end)
+            for doc, text, bears in zip(*(c.to_pylist() for c in batch.columns)):
+                packer.add(doc, bpe.encode(text) + end, bears)
             if len(packer.out) >= 2000:
                 yield rows(packer.out)
                 packer.out.clear()
@@ -176,7 +185,8 @@ def pack(
 
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     types = [pa.binary() if n == "ids" else pa.int64() for n in names]
-    return map_batches(text_rows(docs, id_col, text_col), run, SCHEMA)
+    bears = F.lit(True) if loss_col is None else F.coalesce(F.col(f"`{loss_col}`").cast("boolean"), F.lit(True))
+    return map_batches(text_rows(docs, id_col, text_col, bears.alias("bears")), run, SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
