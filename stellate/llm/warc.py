@@ -35,8 +35,10 @@ from .common import checkpointed, map_batches, shared_dir
 LEAST_REVISIT = 100
 #: Ranges with at most this gap are read at once, up to this many bytes.
 GAP, MOST_RANGE = 64 << 10, 8 << 20
-#: Records of one archive that a reading task takes at a time.
-PER_TASK = 4096
+#: Compressed bytes that a reading task takes, ranges by which archives are dealt to tasks, and payload bytes of a batch it hands on.
+TASK_BYTES, DEALT, BATCH_BYTES = 32 << 20, 1 << 20, 8 << 20
+#: Ids of revisits, of about 60 bytes each with what they refer to, that may be broadcast.
+BROADCAST_IDS = 200_000
 VERSION = b"WARC/1.1\r\n"
 #: One fixed date, so that equal tables give equal archives.
 DATE = "2020-01-01T00:00:00Z"
@@ -105,8 +107,10 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"),
         F.encode(F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("for", F.sha2("payload", 256))
-    revisits = plan(pages, id_col, html_col).withColumn("for", F.lower("for"))
-    rows = rows.join(revisits, ["page_id", "for"], "left").select("page_id", "url", "payload", "for", "refers_to")
+    revisits = checkpointed(plan(pages, id_col, html_col).withColumn("for", F.lower("for")))
+    # Few revisits go to every task, and no payload is shuffled.
+    few = revisits.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = rows.join(F.broadcast(revisits) if few else revisits, ["page_id", "for"], "left").select("page_id", "url", "payload", "for", "refers_to")
 
     def run(batches):
         system, path = _opened(folder)
@@ -146,7 +150,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     """The records of the index's rows: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
     A response's payload is checked against its digest; a revisit's payload is null."""
-    wanted = index.select("archive", "offset", "length").repartition("archive", F.expr(f"offset div {MOST_RANGE}")).sortWithinPartitions("archive", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // TASK_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, -(-size // DEALT)))
+    wanted = index.select("archive", "offset", "length").repartition(tasks, "archive", F.expr(f"offset div {DEALT}")).sortWithinPartitions("archive", "offset")
 
     def records(batch):
         system, path = _opened(folder)
@@ -170,19 +176,25 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, held = [], 0
             for head, payload in records(batch):
                 digest, revisit = head["WARC-Payload-Digest"].removeprefix("sha256:"), head["WARC-Type"] == "revisit"
                 if not revisit and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"the payload of {head['WARC-Record-ID']} does not fit its digest")
                 refers = number(head["WARC-Refers-To"]) if revisit else None
                 out.append((number(head["WARC-Record-ID"]), head["WARC-Target-URI"], int(head["WARC-Payload-Length"]), digest, head["WARC-Type"], refers, None if revisit else payload))
-            cols = list(zip(*out)) if out else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+                held += len(payload)
+                if held > BATCH_BYTES:
+                    yield rows(out)
+                    out, held = [], 0
+            yield rows(out)
+
+    def rows(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) if out else [()] * 7, types)], names=names)
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    return map_batches(wanted, run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary", rows=PER_TASK)
+    return map_batches(wanted, run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary", rows=8192)
 
 
 def new_folder(spark) -> str:
