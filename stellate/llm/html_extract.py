@@ -2,18 +2,27 @@
 
 A page is cut into blocks: runs of text between block-level tags. A linear classifier
 scores each block from its enclosing elements, their class and id words, its length,
-punctuation and share of link text. The scores become terminal capacities of a graph:
-what it costs to call the block boilerplate, and content. Blocks that follow each other,
-and those with the same parent element, are joined by smoothness edges that grow weaker
-with their distance in the document tree. The minimum cut, found by maximum flow, is the
-labelling of least total cost. Blocks whose own cost outweighs all their edges are
-labelled at once, which leaves the cut as it is and the graph small.
+punctuation and share of link text. Its weights are fitted by logistic regression to the
+blocks of at most FIT_PAGES pages, those of least hash of their id among pages that mark
+their main text with an `article` or `main` element: blocks in it are content but for those
+in navigation, asides, forms and the like, all others are boilerplate. Whether a block lies
+in such an element is no feature of the fit, so pages without one are read alike; it adds a
+small fixed score. The listed weights are the mean of the fit's normal prior, and are used
+as they are where no page marks its text.
+
+Scores are held within MOST_SCORE and become terminal capacities of a graph: what it costs
+to call the block boilerplate, and content. Blocks that follow each other, and those with
+the same parent element, are joined by smoothness edges that grow weaker with their distance
+in the document tree. The minimum cut, found by maximum flow, is the labelling of least
+total cost. Blocks whose own cost outweighs all their edges are labelled at once, which
+leaves the cut as it is and the graph small.
 
 Character references are decoded, white space inside a block becomes one space, and the
 content blocks are joined by an empty line in page order.
 
 Defined cases: null or empty html gives the empty text; a page without any content
-block as well; malformed markup is read leniently and never raises; repeated rows are
+block as well; malformed markup is read leniently, in time that grows with its length, and
+never raises: markup that does not end is text; repeated rows are
 extracted each on its own; nothing is cut at any length.
 """
 
@@ -22,8 +31,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +56,7 @@ ENDS_P = BLOCK - frozenset("body html head option optgroup label button".split()
 ENDS_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset("ul ol menu dl table select article section div body nav aside footer header main".split())
 
-# The classifier: what enclosing elements, and words of their class, id and role, add to a block's score.
-TAG_SCORE = dict.fromkeys("nav aside form menu dialog select button textarea label legend fieldset".split(), -8.0) | {"footer": -8.0, "article": 4.0, "main": 2.5}
-OWN_TAG_SCORE = {"p": 1.0, "pre": 1.0, "blockquote": 1.0, "h1": 1.0, "h2": 0.5, "h3": 0.5, "li": -0.3, "td": -0.3, "th": -0.3, "figcaption": 0.2}
+# The classifier's prior weights: of enclosing elements, of words of their class, id and role, of a block's own element.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist reply replies respond disqus "
     "cookie cookies consent gdpr notice alert popup modal overlay toast copyright disclaimer legal footer foot header masthead topbar navbar nav "
@@ -56,49 +64,107 @@ BOILERPLATE_WORDS = frozenset(
     "newsletter signup login register search pagination pager toolbar tags outbrain taboola complementary contentinfo dialog".split()
 )
 CONTENT_WORDS = frozenset("article articlebody content post entry story main text body".split())
-BOILERPLATE_SCORE, CONTENT_SCORE, HIDDEN_SCORE = -8.0, 1.0, -12.0
-BIAS, PER_CHAR, MOST_CHARS, SENTENCE, LINKS = -1.2, 0.012, 200, 0.6, -4.0
+ASIDE = frozenset("nav aside form menu dialog select button textarea label legend fieldset footer".split())
+#: Elements that mark the main text, and what lying in one adds; not fitted.
+MARKS = {"article": 2.0, "main": 1.2}
+MOST_BIN = 11
+PRIOR = (
+    {f"in:{t}": -4.0 for t in [*ASIDE, "header"]}
+    | {f"word:{w}": -4.0 for w in BOILERPLATE_WORDS}
+    | {f"word:{w}": 0.5 for w in CONTENT_WORDS}
+    | {f"own:{t}": x for t, x in {"p": 1.0, "pre": 1.0, "blockquote": 1.0, "h1": 1.0, "h2": 0.5, "h3": 0.5, "li": -0.3, "td": -0.3, "th": -0.3, "figcaption": 0.2}.items()}
+    | {f"long:{k}": min(0.018 * 2**k, 2.4) for k in range(MOST_BIN + 1)}
+    | {f"links:{k}": -float(k) for k in range(5)}
+    | {"bias": -1.2, "sentence": 0.6, "hidden": -6.0}
+)
+#: Pages of the fit at most, the prior's precision, and the bound of a block's score.
+FIT_PAGES, PRECISION, MOST_SCORE = 300, 4.0, 5.0
 #: Smoothness: of blocks in page order, and of blocks with the same parent.
-NEXT_EDGE, SIBLING_EDGE = 0.8, 0.5
+NEXT_EDGE, SIBLING_EDGE = 1.5, 0.75
+#: Inline elements that take less from the score are not told apart from the text around.
+LEAST_SAY = -3.0
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))|\b(hidden)\b""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def own_features(tag: str, attributes: str, in_article: bool) -> list[str]:
+    """What an element says of the blocks in it."""
+    found = []
+    if tag in ASIDE or (tag == "header" and not in_article):
+        found.append(f"in:{tag}")
+    if attributes:
+        for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), a or b or c
+            if hidden or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN_STYLE.search(value)):
+                found.append("hidden")
+            elif name in ("class", "id", "role", "itemprop") and tag not in ("body", "html"):
+                found += {f"word:{w.lower()}" for w in WORD.findall(value)}
+    return found
+
+
 class Element:
-    __slots__ = ("tag", "parent", "depth", "score", "unseen", "in_article")
+    __slots__ = ("tag", "parent", "depth", "score", "own", "unseen", "in_article", "aside")
 
-    def __init__(self, tag: str, attributes: str, parent: Element | None):
+    def __init__(self, tag: str, attributes: str, parent: Element | None, weights: dict[str, float]):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.unseen = tag in UNSEEN or (parent is not None and parent.unseen)
-        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
-        score = TAG_SCORE.get(tag, 0.0)
-        if tag == "header" and not self.in_article:
-            score -= 8.0
-        if attributes:
-            for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), a or b or c
-                if hidden or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN_STYLE.search(value)):
-                    score += HIDDEN_SCORE
-                elif name in ("class", "id", "role", "itemprop") and tag not in ("body", "html"):
-                    words = {w.lower() for w in WORD.findall(value)}
-                    if words & BOILERPLATE_WORDS:
-                        score += BOILERPLATE_SCORE
-                    elif words & CONTENT_WORDS:
-                        score += CONTENT_SCORE
-        self.score = score + (parent.score if parent else 0.0)
-
-
-def blocks(page: str) -> list[tuple[str, int, Element]]:
+        above = parent is not None and parent.in_article
+        self.in_article = tag in MARKS or above
+        self.aside = tag in ASIDE or (parent is not None and parent.aside)
+        self.own = own_features(tag, attributes, above)
+        self.score = sum(weights.get(f, 0.0) for f in self.own) + (0.0 if above else MARKS.get(tag, 0.0)) + (parent.score if parent else 0.0)
+
+
+class Markup:
+    """Finds the markup of a page one after the other, each character being looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.gone = {"'": len(page), '"': len(page)}  # from where on a quote does not occur
+
+    def after(self, at: int):
+        """(start, end, is an end tag, name, attributes) of the first markup from `at` on, or None."""
+        page = self.page
+        while 0 <= (at := page.find("<", at)) < self.last:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, False, "", ""
+            closing = page.startswith("/", at + 1)
+            name = NAME.match(page, at + 1 + closing)
+            if name:
+                end = self._end(name.end())
+                return at, end, closing, name[0].lower(), page[name.end() : end - 1]
+            if page[at + 1] in "!?/":
+                return at, page.find(">", at) + 1, False, "", ""
+            at += 1
+        if page.startswith("<!--", at) if at >= 0 else False:
+            return at, len(page), False, "", ""
+        return None
+
+    def _end(self, at: int) -> int:
+        """Past the first > that is not quoted; past the first of all where quotes don't end."""
+        page, i = self.page, at
+        while m := STOP.search(page, i):
+            c, i = m[0], m.end()
+            if c == ">":
+                return i
+            close = page.find(c, i) if i < self.gone[c] else -1
+            if close < 0:
+                self.gone[c] = min(self.gone[c], i)
+                break
+            i = close + 1
+        return page.find(">", at) + 1
+
+
+def blocks(page: str, weights: dict[str, float] = PRIOR) -> list[tuple[str, int, Element]]:
     """The blocks of a page: text, characters of it in links, and the element that holds it."""
-    found, top, parts, linked, in_link, at = [], Element("", "", None), [], 0, False, 0
+    found, top, parts, linked, in_link, at = [], Element("", "", None, weights), [], 0, False, 0
+    open_, markup = Counter(), Markup(page)
 
     def flush():
         nonlocal parts, linked
@@ -119,27 +185,31 @@ def blocks(page: str) -> list[tuple[str, int, Element]]:
     def close(tags, barrier=frozenset()):
         """Ends the innermost open element of `tags`, and all in it."""
         nonlocal top
+        if not any(open_[t] for t in tags):
+            return False
         x = top
         while x.parent is not None and x.tag not in tags and x.tag not in barrier:
             x = x.parent
-        if x.parent is not None and x.tag in tags:
-            top = x.parent
-            return True
-        return False
+        if x.parent is None or x.tag not in tags:
+            return False
+        while top is not x.parent:
+            open_[top.tag] -= 1
+            top = top.parent
+        return True
 
     size = len(page)
     while at < size:
-        m = MARKUP.search(page, at)
+        m = markup.after(at)
         if m is None:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
+        start, end, closing, tag, attributes = m
+        say(page[at:start])
+        at = end
         if not tag:
             continue
         block = tag in BLOCK
-        if m["end"] or m["end2"]:
+        if closing:
             if tag == "a":
                 in_link = False
             if block or tag in UNSEEN:
@@ -167,17 +237,19 @@ def blocks(page: str) -> list[tuple[str, int, Element]]:
             in_link = True
         if tag in VOID:
             continue
-        attributes = m["rest"] or m["rest2"] or ""
         if block or tag in UNSEEN or "class" in attributes or "id=" in attributes or "hidden" in attributes or "style" in attributes:
-            if not (block or tag in UNSEEN) and Element(tag, attributes, None).score > BOILERPLATE_SCORE:
+            inner = Element(tag, attributes, top, weights)
+            if not (block or tag in UNSEEN) and inner.score - top.score > LEAST_SAY:
                 continue  # inline markup without a say
             if not block:
                 flush()
-            top = Element(tag, attributes, top)
+            top = inner
+            open_[tag] += 1
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
             body = page[at : end.start() if end else size]
-            at = end.end() if end else size
+            at = page.find(">", end.end()) + 1 if end else 0
+            at = at or size
             if tag == "textarea":
                 say(body)
             flush()
@@ -186,11 +258,73 @@ def blocks(page: str) -> list[tuple[str, int, Element]]:
     return found
 
 
-def score(text: str, linked: int, holder: Element) -> float:
-    """How much a block looks like content: the log-odds of the classifier."""
-    total = BIAS + holder.score + OWN_TAG_SCORE.get(holder.tag, 0.0) + PER_CHAR * min(len(text), MOST_CHARS)
-    total += SENTENCE * (text[-1] in ".!?:;\"'»”…")
-    return total + LINKS * linked / len(text)
+def text_features(text: str, linked: int, holder: Element) -> list[str]:
+    """What a block's own text and element say of it."""
+    found = ["bias", f"own:{holder.tag}", f"long:{min(MOST_BIN, len(text).bit_length())}", f"links:{round(4 * linked / len(text))}"]
+    return [*found, "sentence"] if text[-1] in ".!?:;\"'»”…" else found
+
+
+def score(text: str, linked: int, holder: Element, weights: dict[str, float] = PRIOR) -> float:
+    """How much a block looks like content: the log-odds of the classifier, within its bound."""
+    total = holder.score + sum(weights.get(f, 0.0) for f in text_features(text, linked, holder))
+    return max(-MOST_SCORE, min(MOST_SCORE, total))
+
+
+def labelled(page: str) -> list[tuple[list[str], int]]:
+    """Features of a page's blocks, and whether they are content by the page's own marks; none if it has no marks.
+
+    Each block counts a second time without what encloses it, so that its own text is learnt from as well."""
+    found = blocks(page)
+    if not any(holder.in_article for _, _, holder in found):
+        return []
+    out = []
+    for text, linked, holder in found:
+        features, x = text_features(text, linked, holder), holder
+        while x is not None:
+            features += x.own
+            x = x.parent
+        label = int(holder.in_article and not holder.aside)
+        out += [(features, label), ([f for f in features if not f.startswith(("word:", "in:"))], label)]
+    return out
+
+
+def fit_rows(rows: list[tuple[list[str], int]], precision: float = PRECISION, steps: int = 300) -> dict[str, float]:
+    """Weights of greatest posterior density under the prior: logistic regression by gradient steps
+    of the bound on its curvature, with momentum."""
+    names = {f: k for k, f in enumerate(dict.fromkeys(f for features, _ in rows for f in features))}
+    if not rows:
+        return PRIOR
+    at = np.concatenate([[names[f] for f in features] for features, _ in rows])
+    of = np.repeat(np.arange(len(rows)), [len(features) for features, _ in rows])
+    y, mean = np.array([label for _, label in rows], float), np.array([PRIOR.get(f, 0.0) for f in names])
+    uses, sizes = np.bincount(at, minlength=len(names)), np.bincount(of)
+    # Each weight's step is bounded by what its rows can bend: the sum of their features' numbers, a quarter each.
+    bend = 0.25 * np.bincount(at, weights=sizes[of], minlength=len(names)) + precision
+    w = before = mean.copy()
+    for k in range(steps if uses.size else 0):
+        ahead = w + k / (k + 3) * (w - before)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(of, weights=ahead[at], minlength=len(y)), -30, 30)))
+        slope = np.bincount(at, weights=(p - y)[of], minlength=len(names)) + precision * (ahead - mean)
+        before, w = w, ahead - slope / bend
+    return PRIOR | {f: float(w[k]) for f, k in names.items()}
+
+
+def fit(pages: DataFrame, most: int = FIT_PAGES, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:
+    """Weights fitted to at most `most` pages that mark their main text; the same for the same pages."""
+    rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    marked = rows.where(F.lower("html").rlike("<(article|main)\\b")).select("page_id").where("page_id is not null").distinct()
+    chosen = marked.orderBy(F.xxhash64("page_id"), "page_id").limit(most)  # bounded, so it may be broadcast
+
+    def run(batches):
+        for batch in batches:
+            for page_id, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = labelled(page or "")
+                if found:
+                    cols = [pa.array([page_id] * len(found), pa.int64()), pa.array([f for f, _ in found], pa.list_(pa.string())), pa.array([y for _, y in found], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["page_id", "features", "label"])
+
+    found = map_batches(rows.join(F.broadcast(chosen), "page_id"), run, "page_id bigint, features array<string>, label int").distinct().collect()
+    return fit_rows(sorted((r["features"], r["label"]) for r in found))
 
 
 def _distance(a: Element, b: Element) -> int:
@@ -284,20 +418,26 @@ def _cost(x: float) -> float:
     return x if x > 30 else math.log1p(math.exp(x))
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+def labels(found: list[tuple[str, int, Element]], weights: dict[str, float] = PRIOR) -> tuple[list[bool], list[float]]:
+    """For each block whether the cut calls it content, and its score."""
+    scores = [score(*b, weights) for b in found]
     # Leaving the source is to call a block boilerplate.
-    unary = [_cost(s) - _cost(-s) for s in (score(*b) for b in found)]
-    return "\n\n".join(b[0] for b, content in zip(found, minimum_cut(unary, edges(found))) if content)
+    return minimum_cut([_cost(s) - _cost(-s) for s in scores], edges(found)), scores
+
+
+def main_text(page: str | None, weights: dict[str, float] = PRIOR) -> str:
+    found = blocks(page or "", weights)
+    return "\n\n".join(b[0] for b, content in zip(found, labels(found, weights)[0]) if content)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url and text of every row of `pages`; no shuffle."""
+def extract(pages: DataFrame, weights: dict[str, float] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url and text of every row of `pages`; no shuffle. Without `weights` they are fitted to `pages`."""
+    weights = fit(pages, id_col=id_col, html_col=html_col) if weights is None else weights
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
 
     def run(batches):
         for batch in batches:
-            texts = pa.array([main_text(p) for p in batch.column(2).to_pylist()], pa.string())
+            texts = pa.array([main_text(p, weights) for p in batch.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["page_id", "url", "text"])
 
     return map_batches(rows, run, "page_id bigint, url string, text string")
