@@ -67,6 +67,23 @@ OPERATORS = {
 }
 
 
+def test_slices_and_settings(spark):
+    """Plans have batches of their own sizes, whenever they run, and no session setting changes."""
+    import pyarrow as pa
+
+    from stellate.llm import common
+
+    sizes = lambda rows: common.map_batches(spark.range(0, 1000, 1, 1), lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n bigint", rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    small, large = sizes(100), sizes(400)
+    assert [r.n for r in small.collect()] == [100] * 10 and [r.n for r in large.collect()] == [400, 400, 200]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    kept = common.Kept(1000)
+    for k in range(50):
+        kept.keep(k, k, 8)
+    assert 0 < len(kept) < 5
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(docs, name):
     assert OPERATORS[name](docs.limit(0)).count() == 0
@@ -114,7 +131,7 @@ def test_token_counts_equal_a_unigram_tokenizer(docs):
         assert counter.count(t) == want(t), repr(t)
 
 
-def test_exact_dedup_against_brute_force(docs):
+def test_exact_dedup_against_brute_force(docs, monkeypatch):
     for least, capacity in ((2, 1024), (2, 1), (10**9, 4)):  # frequent texts split off, few of them, none
         got = docs.sparkSession.createDataFrame(exact_dedup.decide(docs, least=least, capacity=capacity).collect())
         groups = {}
@@ -126,9 +143,11 @@ def test_exact_dedup_against_brute_force(docs):
             first = min(rows, key=lambda x: (x[0], x[1], x[2] or 0))
             want += [(i, first[2], len(rows), i == first[2] and n == first[0], hashlib.sha256(t.encode()).hexdigest()) for n, _, i in rows]
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
-    left = exact_dedup.drop_copies(docs, least=2)
-    assert left.columns == docs.columns and left.count() == len(groups)
-    assert {r.doc_id for r in left.collect()} >= {2, 4, 5, 9}
+    want = sorted(str(min(rows, key=lambda x: (x[0], x[1], x[2] or 0))[2]) for rows in groups.values())
+    for few in (exact_dedup.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", few)
+        left = exact_dedup.drop_copies(docs, least=2)
+        assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == want
 
 
 def test_misra_gries_names_every_frequent_digest(spark):
@@ -159,7 +178,7 @@ def crowd():
     return out
 
 
-@pytest.mark.parametrize("n, percent, settings", [(4, 85, {}), (5, 80, {}), (4, 85, {"MANY_PAIRS": 0, "FEW_LINKS": 1}), (3, 60, {"LONG_LIST": 2}), (4, 50, {"SKETCH_BITS": 8, "BROADCAST_IDS": 0})])
+@pytest.mark.parametrize("n, percent, settings", [(4, 85, {}), (5, 80, {}), (4, 85, {"MANY_PAIRS": 0, "FEW_LINKS": 1}), (3, 60, {"LONG_LIST": 2}), (4, 50, {"MOST_BITS": 8, "BROADCAST_IDS": 0}), (4, 85, {"LIST_BLOCK": 3, "MANY_PAIRS": 0, "LONG_LIST": 9})])
 def test_jaccard_components_against_brute_force(spark, docs, monkeypatch, n, percent, settings):
     for k, v in settings.items():
         monkeypatch.setattr(jaccard_join, k, v)
@@ -227,8 +246,36 @@ def test_novel_strings_are_added_and_known_ones_are_not():
     assert scan("the bearer of credentials_default_credentials went") == []
     assert scan("key 0123456789abcdefghijklmnopqrstuvwxyz") == []
     assert scan("The quick q8Zr2LmX0vTn5KdY7WbE3h stands near no such word") == []
-    repeated = "x1y2z3w4v5u6t7s8 " * 3
-    assert scan(f"{repeated} token x1y2z3w4v5u6t7s8") == []
+    again = "Bearer q8Zr2LmX0vTn5KdY7WbE3h\n"
+    assert [(k, a) for k, a, _, _ in scan(again * 2)] == [("novel", 7), ("novel", 7 + len(again))]
+    far = "token " + "- " * 22 + "q8Zr2LmX0vTn5KdY7WbE3h"
+    assert len(scan(far)) == 1 and scan("token " + "- " * 30 + "q8Zr2LmX0vTn5KdY7WbE3h") == []
+    late = "auth " + "- " * 20 + "QwErTyUiOpAsDfGhJkLzXcVb93718264"
+    assert [late[a:b] for _, a, b, _ in scan(late)] == ["QwErTyUiOpAsDfGhJkLzXcVb93718264"]
+
+
+def test_recall_and_false_alarms_of_novel_strings(spark):
+    """Random strings after a sensitive word are found, identifiers of the corpus are not."""
+    import string
+
+    r = random.Random(21)
+    names = [f"{r.choice(['user', 'order', 'batch'])}_{r.choice(['session', 'refresh', 'config'])}_{r.choice(['manager', 'handler', 'factory'])}{r.randrange(10)}" for _ in range(60)]
+    texts = [" ".join(r.choices(["the", "service", "reads", "values", *names], k=80)) for _ in range(300)]
+    dictionary = secrets.learn_dictionary(spark.createDataFrame(list(enumerate(texts)) + [(None, None)], "doc_id bigint, text string"))
+    assert b"_session_" in dictionary and dictionary.endswith(secrets.DICTIONARY)
+    scan = secrets.Scanner(dictionary=dictionary).scan
+    for size, alphabet in ((16, string.ascii_letters + string.digits), (24, string.ascii_letters + string.digits), (40, string.ascii_letters + string.digits + "+/"), (32, string.ascii_lowercase + string.digits)):
+        found = 0
+        for k in range(200):
+            secret = "".join(r.choices(alphabet, k=size - 2)) + "a1"
+            text = f"{texts[k][:200]} Bearer {secret} {texts[k][200:]}"
+            found += any(text[a:b] == secret for _, a, b, _ in scan(text))
+        print(size, found)
+        assert found >= (176 if size == 16 else 190), (size, found)  # the shortest are told apart the worst
+    alarms = sum(len(scan(f"{t[:100]} the token {r.choice(names)} and key {r.choice(names)} {t[100:]}")) for t in texts)
+    print('false alarms', alarms)
+    assert alarms <= 6, alarms  # of 600 identifiers
+    assert secrets.learn_dictionary(spark.createDataFrame([], "doc_id bigint, text string")) == b" " + secrets.DICTIONARY
 
 
 def test_redaction_takes_only_secrets(docs):
@@ -271,6 +318,46 @@ def test_packing_respects_all_three_limits():
         assert len(p) <= 5 and sum(n for n, _ in p) <= 256 and sum(k for _, k in p) <= 150
 
 
+def test_packing_instruction_data(spark):
+    """Prompts bear no loss; all three limits bind, and fewer sequences are needed than first fit needs."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["a", "house", "green", "12"]) for _ in range(r.choice([2, 30, 150, 400]))), None if i % 7 == 0 else i % 2 == 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, answer boolean").coalesce(1)
+    got = packing.pack(df, BYTE_BPE, 1, tokens=1024, segments=6, loss_tokens=512, loss_col="answer").collect()
+    bears, sequences, size = {i: b is not False for i, _, b in rows}, {}, {}
+    for p in got:
+        sequences.setdefault(p.sequence_id, []).append((p.length, bears[p.doc_id]))
+        size[p.doc_id] = p.doc_tokens
+    assert sum(n for s in sequences.values() for n, _ in s) == sum(size.values())
+    for s in sequences.values():
+        assert len(s) <= 6 and sum(n for n, _ in s) <= 1024 and sum(n for n, b in s if b) <= 512
+    assert any(len(s) == 6 for s in sequences.values()) and any(sum(n for n, b in s if b) == 512 for s in sequences.values())
+    bins = []
+    for i in sorted(size):
+        n, loss = size[i], size[i] if bears[i] else 0
+        for b in bins:
+            if b[0] + n <= 1024 and b[1] < 6 and b[2] + loss <= 512:
+                b[:] = [b[0] + n, b[1] + 1, b[2] + loss]
+                break
+        else:
+            bins.append([n, 1, loss])
+    assert len(sequences) <= len(bins)
+
+
+def test_scores_against_brute_force(spark):
+    """Scores of the operator equal those of a plain loop over feature sets and the model's weights."""
+    rows = quality_rows()
+    model = quality.fit_rows([quality.features(t) for _, t, _ in rows], [q for *_, q in rows])
+    odd = [(900, None), (901, ""), (902, "x" * 50_000), (903, words(4, 30_000)), (904, "!?!? ÄÖ 12 12 12")]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + odd + odd, "doc_id bigint, text string")
+    got = by_id(quality.score(docs, model))
+    for i, t in [(i, t) for i, t, _ in rows] + odd:
+        found = set(quality.features(t or "").tolist())
+        m = sum(float(model.weights[k]) for k in sorted(found)) / max(sum(float(model.squares[k]) for k in sorted(found)) ** 0.5, 1e-9) + model.bias
+        assert abs(got[i][0] - 1 / (1 + np.exp(-np.clip(model.slope * m + model.offset, -30, 30)))) < 1e-4
+    assert quality.shape("Abc-12-Def-34-Ghi") == "Aa-9-Aa-9-Aa" and len(quality.shape("-a" * 40)) == 80
+
+
 def quality_rows():
     r = random.Random(11)
     good = lambda: " ".join(r.choice(["the", "and", "river", "stone", "light", "house", "green"]) + r.choice(["", "", ",", "."]) for _ in range(60))
@@ -335,7 +422,7 @@ def test_embeddings_against_brute_force(spark):
     pairs = [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b]
     home = components.brute_force(pairs)
     got = by_id(embed_dedup.near_duplicates(df))
-    assert sum(n for n, _, _ in got.values()) >= 0.99 * 2 * len(pairs)
+    assert sum(n for n, _, _ in got.values()) >= 0.995 * 2 * len(pairs)
     assert all(got[i][0] <= near[i].sum() - 1 for i in got)
     assert sum(got[i][1] == home.get(i, i) for i in got) >= 0.99 * len(got)
 
@@ -353,7 +440,26 @@ def test_embeddings_count_every_link(spark):
     near = u @ u.T >= 0.95
     home = components.brute_force([(int(a) + 7000, int(b) + 7000) for a, b in zip(*np.nonzero(near)) if a < b])
     assert 2000 < near.sum() - 6000 < 20000
-    assert all(got[i + 7000][:2] == (near[i].sum() - 1, home.get(i + 7000, i + 7000)) for i in range(6000))
+    right = sum(got[i + 7000][:2] == (near[i].sum() - 1, home.get(i + 7000, i + 7000)) for i in range(6000))
+    assert right >= 5970 and all(got[i + 7000][0] <= near[i].sum() - 1 for i in range(6000))
+
+
+@pytest.mark.parametrize("task_rows", [1 << 18, 900])
+def test_passes_meet_sparse_links_without_tiles(spark, monkeypatch, task_rows):
+    """Links of vectors that lie in no crowd come from the windows alone, over partitions' borders as well."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((4000, 64))
+    x[2000:] = x[:2000] + 0.2 * r.standard_normal((2000, 64))
+    df = spark.createDataFrame([(i, v.tolist(), int(i)) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, n int")
+    monkeypatch.setattr(embed_dedup, "TASK_ROWS", task_rows)
+    found, kind = embed_dedup.usable(df, "vec_id", "embedding")
+    nodes = found.select("digest", F.col("vec_id").alias("node"), F.lit(1).cast("bigint").alias("copies"), "v")
+    pairs, crowd = embed_dedup.met(nodes, kind, 0.95, 4000)
+    got = {(p.a, p.b) for p in embed_dedup.verified(pairs, nodes, kind, 0.95).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(u @ u.T >= 0.95)) if a < b}
+    assert got <= want and len(got) >= 0.999 * len(want) and len(want) > 1900
+    assert task_rows < 1000 or crowd.count() < 400
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "</p>";</script></head><body>
@@ -382,6 +488,54 @@ def test_main_text_of_a_page(spark):
     assert html_extract.main_text(f"<article>{long}</article>").count("\n\n") == 2999
 
 
+def test_weights_fitted_to_marked_pages(spark):
+    """A fit to pages that mark their text reads pages without any mark, class or id."""
+    r = random.Random(12)
+    say = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n)).capitalize() + "."
+
+    def page(marked):
+        body, links = [say(r.randrange(12, 60)) for _ in range(5)], "".join(f"<li><a href=/{k}>{say(2)}</a></li>" for k in range(6))
+        a, b, c = ("<article>", "</article>", ' class="qx"') if marked else ("<span>", "</span>", "")
+        head = f"<h1>{say(4)}</h1>" if marked else ""
+        return f"<body><ul>{links}</ul><div{c}>{say(9)}</div>{a}{head}{''.join(f'<p>{t}</p>' for t in body)}{b}<div{c}>{say(8)}</div></body>", "\n\n".join(body)
+
+    rows = [(i, "u", page(True)[0]) for i in range(80)]
+    weights = html_extract.fit(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert weights["own:div"] < -1 < 1 < weights["own:p"] and weights["word:qx"] < -0.5
+    plain = [page(False) for _ in range(40)]
+    assert [html_extract.main_text(p, weights) for p, _ in plain] == [t for _, t in plain]
+    assert html_extract.fit(spark.createDataFrame([(1, "u", "<p>x"), (2, "u", None)], "page_id bigint, url string, html string")) == html_extract.PRIOR
+
+
+def test_neighbours_overturn_weak_scores():
+    """The cut, not each block's own score, decides on short blocks between long ones; labels are those of least total cost."""
+    long = "This sentence is long enough to be part of an article, as everybody can see who reads it to its end."
+    for inner, content in (("<div>so it</div>", True), ('<div class="ad">so it</div>', False)):
+        page = f"<body><p>{long}</p><p>{long}</p>{inner}<p>{long}</p><p>{long}</p></body>"
+        found = html_extract.blocks(page)
+        got, scores = html_extract.labels(found)
+        assert scores[2] < 0 and got == [True, True, content, True, True]
+        joined = html_extract.edges(found)
+        unary = [html_extract._cost(s) - html_extract._cost(-s) for s in scores]
+        cost = lambda ls: sum(max(u, 0) if not k else max(-u, 0) for u, k in zip(unary, ls)) + sum(w for (a, b), w in joined.items() if ls[a] != ls[b])  # noqa: B023, E731
+        assert abs(cost(got) - min(cost([k >> i & 1 == 1 for i in range(5)]) for k in range(32))) < 1e-9
+
+
+HOSTILE = [
+    lambda n: "<a" * n, lambda n: "x <b" + "y" * n, lambda n: "<b " + "y" * n + ">", lambda n: "<a '>" * n, lambda n: "<a \"'>" * n, lambda n: "<div>" * n + "</section>" * n + "x",
+    lambda n: "<script>" + "</script" * n, lambda n: "<!--" * n, lambda n: "<" * n + ">", lambda n: "<p>" * n, lambda n: "<b class=ad>" * n + "x>", lambda n: "<div class=c>x" * n,
+]
+
+
+@pytest.mark.parametrize("kind", range(len(HOSTILE)))
+def test_hostile_markup_takes_linear_time(kind):
+    import time
+
+    began = time.perf_counter()
+    html_extract.main_text(HOSTILE[kind](20_000))
+    assert time.perf_counter() - began < 5
+
+
 @pytest.mark.parametrize("page", ["<", "<a", "<!--", "</", "<p", "<div class=\"", "<script>x", '<a href="x>y</a>', "<<<p>>x", "</p></div>", "&#xfffffff;&", "<table><tr><td>x<td>y"])
 def test_malformed_pages_do_not_raise(page):
     html_extract.main_text(page)
