@@ -46,6 +46,7 @@ WORD_BYTES, PIECE_BYTES = 64 << 20, 8 << 20
 LAST_AGREED = "\u0530"
 
 NONE = 1 << 60
+PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -70,20 +71,21 @@ class Words(Kept):
     def __missing__(self, word: str) -> bytes:
         if not word or self.tokenizer.starts_with_space(word):
             raise Irregular
-        ids = self.tokenizer.encode_chunk(self.before + word)
+        piece = self.before + word
+        # Letters alone are one piece, which need not be kept a second time.
+        ids = self.tokenizer.merged_bytes(piece) if word.isalpha() and (word.isascii() or max(word) < LAST_AGREED) else self.tokenizer.encode_chunk(piece)
         return self.keep(word, ids, len(word) + len(ids)) if len(word) <= SHORT_WORD else ids
 
 
 class Pieces(Kept):
     """The ids, as little-endian bytes, of the pieces that the pattern finds."""
 
-    def __init__(self, merge):
+    def __init__(self, tokenizer: ByteBpe):
         super().__init__(PIECE_BYTES)
-        self.merge = merge
+        self.tokenizer = tokenizer
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.merge(piece)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.tokenizer.merged_bytes(piece)
         return self.keep(piece, packed, len(piece) + len(packed)) if len(piece) <= SHORT_WORD else packed
 
 
@@ -113,7 +115,7 @@ class ByteBpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.latin_pieces = regex.compile(PATTERN).findall
         self.library_pieces = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.piece_ids = Pieces(lambda piece: self.merge(piece.encode()))
+        self.piece_ids, self.merge_piece = Pieces(self), lambda piece: self.merge(piece.encode())
         self.chunks = regex.compile(rf"{SPACE}*{NOT_SPACE}+|{SPACE}+").findall
         self.starts_with_space = regex.compile(SPACE).match
         self.after_space, self.whole = Words(self, " "), Words(self, "")
@@ -152,6 +154,11 @@ class ByteBpe:
                     heapq.heappush(heap, (r, a, ids[a], ids[b]))
         return [x for x, kept in zip(ids, alive) if kept]
 
+    def merged_bytes(self, piece: str) -> bytes:
+        """The ids of a piece as little-endian bytes."""
+        ids = self.merge_piece(piece)
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
     def pieces(self, chunk: str) -> list[str]:
         """The words of a chunk. Beyond Latin and Greek and Cyrillic letters, libraries' tables
         of letters differ with their Unicode versions; there the tokenizer's own split is asked."""

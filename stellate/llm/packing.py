@@ -154,7 +154,7 @@ def _encoder(tokenizer_json: str) -> ByteBpe:
     by_rank = [plain.bytes_of[i] for i in plain.merged]
     if sorted(plain.merged) != plain.merged or len(set(by_rank)) < len(by_rank):
         return plain
-    plain.piece_ids.merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    plain.merge_piece = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     return plain
 
 
