@@ -163,9 +163,11 @@ def gather_rows(spark, sf_dir):
     return _round(found.select("position", "vec_id", F.col("vector")[0].alias("first_value"), norm2.alias("norm2"), F.size("vector").alias("n")), "first_value", "norm2")
 
 
-@_query("select distinct c_custkey as vec_id from customer where c_custkey < 1000")
+@_query("select distinct c_custkey as vec_id from customer where c_custkey >= 0 and c_custkey < (select count(*) from customer)")
 def allow_list(spark, sf_dir):
-    return knn.allow_list(_table(spark, sf_dir, "customer").select("c_custkey"), 1000)
+    """The ids that are places of the searched table."""
+    customer = _table(spark, sf_dir, "customer")
+    return knn.allow_list(customer.select("c_custkey"), customer.count())
 
 
 # ---- quantizers and statistics -----------------------------------------------------------------
@@ -329,7 +331,7 @@ def _add_ivf_queries():
 
         def full(spark, sf_dir, kind=kind):
             data = _data(spark, sf_dir)
-            return ivf.search(_index(data, kind), _queries(data), K, nprobe=NLIST, krefine=1_000_000, original=data)
+            return ivf.search(_index(data, kind), _queries(data), K, nprobe=NLIST, krefine=data.count(), original=data)
 
         def some(spark, sf_dir, kind=kind):
             data = _data(spark, sf_dir)
@@ -347,7 +349,7 @@ _add_ivf_queries()
 def ivf_pq_search_filtered(spark, sf_dir):
     data = _data(spark, sf_dir)
     allow = data.where(F.col("label").isin(1, 3, 5)).select("vec_id")
-    return ivf.search(_index(data, "pq"), _queries(data), K, nprobe=NLIST, metric="cosine", krefine=1_000_000, allow=allow)
+    return ivf.search(_index(data, "pq"), _queries(data), K, nprobe=NLIST, metric="cosine", krefine=data.count(), allow=allow)
 
 
 @_query(f"""with {E}, {_kmeans_sql()}, r as (select vec_id, cluster, list_transform(list_zip(v, c), lambda x: x[1] - x[2]) as r from assigned join centres using (cluster))
@@ -429,11 +431,77 @@ def _add_graph_queries():
 _add_graph_queries()
 
 
-@_query()
+@_query(_search_sql(where="label in (1, 3)"))
+def cagra_search_filtered(spark, sf_dir):
+    """A filter that leaves few rows of a shard: all of them are measured, so k is filled and the result exact."""
+    data = _data(spark, sf_dir)
+    return walk.search(walk.build(data), _queries(data), K, 64, 2, allow=F.col("label").isin(1, 3), data=data)
+
+
+def _floors(spark, sf_dir, floor=0.9):
+    data = _data(spark, sf_dir)
+    q, truth = _queries(data), checkpointed(knn.brute_force(_queries(data), data, K))
+    found = {kind: ivf.search(_index(data, kind), q, K, nprobe=7, krefine=200, original=data) for kind in ivf.KINDS}
+    found |= {kind: walk.search(walk.build(data, kind), q, K, 128, 4) for kind in ("cagra", "hnsw", "vamana")}
+    return [(kind, evaluate.recall(rows, truth, K).agg(F.count("*").alias("n"), F.avg("recall").alias("r")).first()) for kind, rows in found.items()]
+
+
+@_query(f"select kind, (select count(*) from embeddings where vec_id % {STEP} = 0) as queries, true as reached from (values ('flat'), ('pq'), ('rabitq'), ('scann'), ('cagra'), ('hnsw'), ('vamana')) as t(kind)")
+def index_recall_floors(spark, sf_dir):
+    """Whether each index's mean recall against brute force reaches 0.9, at 7 of 8 lists and 200 rows refined, or 128 rows kept."""
+    return spark.createDataFrame([(kind, r["n"], r["r"] >= 0.9) for kind, r in _floors(spark, sf_dir)], "kind string, queries bigint, reached boolean")
+
+
+@_query(f"select count(*) as walks, 0::bigint as without_turns, true as within_rows from embeddings where vec_id % {STEP} = 0")
+def walk_counters(spark, sf_dir):
+    """Every walk takes turns, and sees no more rows than there are."""
+    data = _data(spark, sf_dir)
+    counted = walk.search(walk.build(data), _queries(data), K, 32, 2, counters=True)
+    return counted.agg(F.countDistinct("qid").alias("walks"), F.sum((F.col("turns") < 1).cast("bigint")).alias("without_turns"), (F.max("seen") <= data.count()).alias("within_rows"))
+
+
+@_query("""with recursive s as (select 0 as i, ((100::ubigint * 1664525 + 1013904223) % 4294967296)::ubigint as s union all select i + 1, ((s * 1664525 + 1013904223) % 4294967296)::ubigint from s where i < 319)
+ select (i // 8)::bigint as vec_id, (i % 8)::int as pos, round(((s // 65536) % 2000)::double / 1000 - 1, 5) + 0.0::double as value from s""")
+def fixture_vectors(spark, sf_dir):
+    made = store.from_numpy(spark, store.lcg_matrix(40, 8, 100))
+    return _round(made.select("vec_id", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.col("value").cast("double")), "value", digits=5)
+
+
+@_query(f"with {E} select vec_id, (i - 1)::int as pos, floor(least(greatest(v[i] * 50, -128.0), 127.0))::double as value from (select vec_id, v, unnest(range(1, len(v) + 1)) as i from e)")
+def typed_int8(spark, sf_dir):
+    """Vectors stored as 8-bit integers, read as floats."""
+    code = lambda x: F.floor(F.least(F.greatest(x.cast("double") * 50, F.lit(-128.0)), F.lit(127.0))).cast("tinyint")
+    stored = _data(spark, sf_dir).select("vec_id", F.transform("embedding", code).alias("embedding"))
+    return store.typed(stored, "i8").select("vec_id", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+@_query("select vec_id, true as lossless from embeddings where embedding is not null")
+def half_precision_lossless(spark, sf_dir):
+    """Multiples of 1/64 within -1 .. 1 keep their bits as 16-bit floats."""
+    data = _data(spark, sf_dir).where("embedding is not null")
+    return store.lossless_half(data.select("vec_id", F.transform("embedding", lambda x: F.round(x * 64) / 64).alias("embedding")))
+
+
+@_query("select event_type, count(value) as n, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as deviation from events group by event_type")
+def sample_percentiles(spark, sf_dir):
+    return _round(evaluate.percentiles(_table(spark, sf_dir, "events"), "event_type", "value"), "p50", "p95", "p99", "mean", "deviation")
+
+
+@_query("select 1000::bigint as n, 8::int as positions, true as centred, true as repeated")
+def gaussian_source(spark, sf_dir):
+    """Normal values around zero, and the same ones however the rows are dealt."""
+    made = store.gaussian(spark, 1000, 8, 7)
+    long = made.select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    told = long.agg(F.countDistinct("vec_id").alias("n"), F.countDistinct("pos").cast("int").alias("positions"), (F.abs(F.avg("x")) < 0.05).alias("centred"))
+    again = store.gaussian(spark, 1000, 8, 7).repartition(5).exceptAll(made).isEmpty()
+    return told.withColumn("repeated", F.lit(again))
+
+
+@_query(_search_sql(where="label <> 2"))
 def cagra_search_live(spark, sf_dir):
-    """A walk that goes through deleted rows and returns none of them."""
+    """Deleted rows are never returned; where few others are left they are all measured."""
     data = _data(spark, sf_dir)
-    return walk.search(walk.build(data), _queries(data), K, 64, 2, tombstones=data.where("label = 2"))
+    return walk.search(walk.build(data), _queries(data), K, 256, 4, tombstones=data.where("label = 2"))
 
 
 @_query()

@@ -99,4 +99,7 @@ def seed_ids(query: np.ndarray, n: int, count: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for word in query.astype("<f4").view("<u4"):
             h = ((h ^ np.uint64(word)) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+        # The shifts and factors that spread the hash's bits.
+        for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1)):
+            h = ((h ^ (h >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(0xFFFFFFFF)
     return np.unique((np.arange(count, dtype=np.uint64) * np.uint64(9973) + h * np.uint64(13)) % np.uint64(max(n, 1))).astype(np.int64)

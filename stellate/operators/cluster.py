@@ -45,6 +45,7 @@ def lloyd(rows: DataFrame, books: np.ndarray, iterations: int) -> np.ndarray:
     An empty cluster keeps its centroid. Each task sends one sum per cluster."""
     spark = rows.sparkSession
     parts, k, width = books.shape
+    rows = rows.select("v").persist()  # each iteration reads them again; what memory doesn't hold goes to disk
     for _ in range(iterations):
         shipped = spark.sparkContext.broadcast(books)
 
@@ -69,6 +70,7 @@ def lloyd(rows: DataFrame, books: np.ndarray, iterations: int) -> np.ndarray:
         books = books.copy()
         for row in means:
             books[row["cluster"] // k, row["cluster"] % k] = [e["m"] for e in row["c"]]
+    rows.unpersist()
     return books
 
 

@@ -35,19 +35,28 @@ def validity(found: DataFrame, data: DataFrame, k: int) -> DataFrame:
     )
 
 
-def calibrate(index: DataFrame, data: DataFrame, target: float, k: int = 10, samples: int = 64, metric: str = "l2") -> tuple[int, int, float]:
+def calibrate(index: DataFrame, data: DataFrame, target: float, k: int = 10, samples: int = 256, metric: str = "l2") -> tuple[int, int, float]:
     """The cheapest (keep, width) on the ladder whose recall over sample rows reaches the target, else
-    the one of best recall; with that recall. Samples are rows by hash, whose truth is measured exactly."""
+    the one of best recall; with that recall. Samples are rows by hash, which don't count among their own
+    neighbours, neither in the truth, which is measured exactly, nor in what is found."""
     from stellate.operators.knn import brute_force
     from stellate.operators.walk import search
 
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(samples)
-    truth = brute_force(sample, data, k, metric).persist()
+    truth = brute_force(sample, data, k, metric, without_self=True).persist()
     tried = []
     for keep, width in sorted(LADDER, key=lambda e: (e[0] * e[1], e)):
-        tried.append((mean_recall(search(index, sample, k, keep, width, metric), truth, k), keep, width))
+        tried.append((mean_recall(search(index, sample, k + 1, keep, width, metric).where("qid <> vec_id"), truth, k), keep, width))
         if tried[-1][0] >= target:
             break
     truth.unpersist()
     best = tried[-1] if tried[-1][0] >= target else max(tried, key=lambda t: t[0])
     return best[1], best[2], best[0]
+
+
+def percentiles(samples: DataFrame, by: str, value: str) -> DataFrame:
+    """Of each group: n, the median and the 95th and 99th percentile by linear interpolation, mean and sample deviation."""
+    at = lambda p: F.percentile(value, p)
+    return samples.groupBy(by).agg(
+        F.count(value).alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation")
+    )

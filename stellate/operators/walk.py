@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from stellate.functions.metrics import InvalidArgument, check_metric, exact, rough, seed_ids
 from stellate.operators.blocks import check_k, matrix, pack, ranked, unpack, vectors
 from stellate.operators.graph import robust_prune
-from stellate.operators.knn import allowed, shown
+from stellate.operators.knn import shown
 
 #: Vectors of a shard, in the mean.
 SHARD_ROWS = 20_000
@@ -125,25 +125,71 @@ def walk(q: np.ndarray, x: np.ndarray, graph: np.ndarray, metric: str, keep: int
     return seen, turns
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, keep: int = 32, width: int = 2, metric: str = "l2", allow=None, tombstones: DataFrame | None = None) -> DataFrame:
-    """qid, rank, vec_id, distance of the best k rows that walks find. `keep` and `width` are the effort."""
+#: Rows that a filter leaves of a shard, up to which they are all measured in place of a walk.
+SCAN_ROWS = 512
+COUNTED = "qid bigint, shard bigint, turns int, seen int"
+
+
+def _masks(index: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The index with the ids of a frame that belong to each shard; shards are bounded, so are these lists."""
+    shards = max(1, (index.agg(F.max("shard")).first()[0] or 0) + 1)
+    listed = ids.select(F.col(ids.columns[0]).cast("bigint").alias("id")).where("id is not null").distinct()
+    listed = listed.groupBy(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).agg(F.collect_list("id").alias(name))
+    return index.join(listed, "shard", "left")
+
+
+def _best(metric: str, v, ids, x, graph, keep: int, width: int, mine, k: int):
+    """Places and distances of the best k rows that may be returned, and the walk's turns and rows seen.
+    Where a filter leaves few rows, or the walk met too few of them, they are all measured."""
+    if mine is None or mine.sum() > SCAN_ROWS:
+        seen, turns = walk(v, x, graph, metric, keep, width)
+        at, d = np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), float, len(seen))
+        if mine is not None:
+            at, d = at[mine[at]], d[mine[at]]
+        if mine is None or len(at) >= min(k, mine.sum()):
+            best = np.lexsort((ids[at], np.round(d, 9)))[:k]
+            return at[best], d[best], turns, len(seen)
+    at = np.flatnonzero(mine)
+    d = exact(metric, v, x[at]) if len(at) else np.empty(0)
+    best = np.lexsort((ids[at], np.round(d, 9)))[:k]
+    return at[best], d[best], 0, len(at)
+
+
+def search(
+    index: DataFrame, queries: DataFrame, k: int = 10, keep: int = 32, width: int = 2, metric: str = "l2", allow=None, tombstones: DataFrame | None = None, data: DataFrame | None = None,
+    counters: bool = False,
+) -> DataFrame:
+    """qid, rank, vec_id, distance of the best k rows that walks find. `keep` and `width` are the effort.
+
+    A filter is a frame of ids, or a predicate over `data`, which must then be given. Rows that may not be
+    returned are walked through. With `counters`, instead qid, shard, turns and rows seen of each walk."""
     check_metric(metric), check_k(k)
     keep = max(keep, k)
+    if allow is not None and not isinstance(allow, DataFrame):
+        if data is None:
+            raise InvalidArgument("a predicate needs the rows it is about")
+        allow = data.where(allow).select("vec_id")
+    plain = allow is None and tombstones is None
+    index = index if allow is None else _masks(index, allow, "only")
+    index = index if tombstones is None else _masks(index, tombstones.select("vec_id"), "gone")
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 qids, q = unpack(r["q_ids"], r["q_matrix"], r["q_dim"])
                 ids, x = unpack(r["ids"], r["matrix"], r["dim"])
-                graph, out = np.frombuffer(r["graph"], np.int32).reshape(len(ids), -1), []
+                graph, out, mine = np.frombuffer(r["graph"], np.int32).reshape(len(ids), -1), [], None
+                if not plain:
+                    mine = np.isin(ids, r["only"] or []) if "only" in r else np.ones(len(ids), bool)
+                    mine &= ~np.isin(ids, r.get("gone") or [])
                 for qid, v in zip(qids, q):
-                    seen, _ = walk(v, x, graph, metric, keep, width)
-                    at = np.fromiter(seen, np.int64, len(seen))
-                    out.append((np.full(len(at), qid), ids[at], np.fromiter(seen.values(), float, len(seen))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["qid", "vec_id", "d"])
+                    at, d, turns, seen = _best(metric, v, ids, x, graph, keep, width, mine, k)
+                    out.append(((qid,), (r["shard"],), np.int32([turns]), np.int32([seen])) if counters else (np.full(len(at), qid), ids[at], d))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
+    names = ["qid", "shard", "turns", "seen"] if counters else ["qid", "vec_id", "d"]
     blocks = pack(vectors(queries), size=64).select(*(F.col(c).alias(f"q_{c}") for c in ("dim", "ids", "matrix")))
-    found = blocks.crossJoin(index).select("q_dim", "q_ids", "q_matrix", "dim", "ids", "matrix", "graph").mapInArrow(run, "qid bigint, vec_id bigint, d double")
-    if tombstones is not None:
-        found = found.join(tombstones.select("vec_id").distinct(), "vec_id", "left_anti")
-    return shown(ranked(allowed(found, allow), k), metric)
+    masks = [c for c in ("only", "gone") if c in index.columns]
+    pairs = blocks.crossJoin(index).select("q_dim", "q_ids", "q_matrix", "shard", "dim", "ids", "matrix", "graph", *masks)
+    found = pairs.mapInArrow(run, COUNTED if counters else "qid bigint, vec_id bigint, d double")
+    return found if counters else shown(ranked(found, k), metric)

@@ -60,7 +60,8 @@ class IndexTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self) -> list[int]:
+    def _versions(self, whole: bool = True) -> list[int]:
+        """The versions that were written to their end; or all that were begun."""
         jvm = self.spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -68,7 +69,7 @@ class IndexTable:
             return []
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
         done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
-        return sorted(v for v in done if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}/manifest/_SUCCESS")))
+        return sorted(v for v in done if not whole or fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}/manifest/_SUCCESS")))
 
     def version(self) -> int:
         found = self._versions()
@@ -91,8 +92,9 @@ class IndexTable:
         return self.rows(version).where(F.col("state") == LIVE).select(packed_id(F.col("slot"), F.col("generation")).alias("vec_id"), "embedding")
 
     def _commit(self, rows: DataFrame, seq: int) -> int:
-        found = self._versions()
-        at = found[-1] + 1 if found else 0
+        # A writer that ended early has left a number behind; of two at once, the second finds the folder there and fails.
+        begun = self._versions(whole=False)
+        at = begun[-1] + 1 if begun else 0
         rows.select("slot", "generation", "state", "seq", "embedding").write.parquet(f"{self.path}/v{at}/rows")
         line = json.dumps({"format": FORMAT, "seq": seq, "version": at})
         self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{self.path}/v{at}/manifest")
@@ -213,6 +215,30 @@ def typed(data: DataFrame, dtype: str) -> DataFrame:
     return data.withColumn("embedding", half("embedding"))
 
 
+def lossless_half(data: DataFrame) -> DataFrame:
+    """vec_id and whether all of a vector's values keep their bits as 16-bit floats."""
+
+    @F.pandas_udf("boolean")
+    def same(vectors):
+        return vectors.map(lambda v: bool((np.asarray(v, "<f4").astype("<f2").astype("<f4") == np.asarray(v, "<f4")).all()))
+
+    return data.select("vec_id", same(F.col("embedding").cast("array<float>")).alias("lossless"))
+
+
+def gaussian(spark: SparkSession, n: int, dim: int, seed: int) -> DataFrame:
+    """n vectors of standard normal values, made where they are used; a row depends on seed and id alone."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            x = [np.random.default_rng([seed, i]).standard_normal(dim).astype(np.float32) for i in ids.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+
+    return spark.range(n).mapInArrow(run, "vec_id bigint, embedding array<float>")
+
+
 def lcg_matrix(n: int, dim: int, seed: int) -> np.ndarray:
     """A fixture's matrix: the high bits of a linear congruential sequence, scaled to -1 .. 0.999."""
     out, s = np.empty(n * dim, np.float32), seed & 0xFFFFFFFF

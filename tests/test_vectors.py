@@ -205,7 +205,7 @@ def test_walks_find_neighbours(spark, kind, least):
     assert ok.n_rows == 32 and not any((ok.beyond_k, ok.unknown_ids, ok.repeated, ok.not_finite, ok.out_of_order))
     one = walk.search(index, queries.where("vec_id = 3"), 4, 16, 2)
     assert sorted(one.collect()) == sorted(found.where("qid = 3").collect())  # batches don't matter
-    dead = walk.search(index, queries, 4, 16, 2, allow=F.col("vec_id") % 2 == 0, tombstones=data.where("vec_id % 3 = 0"))
+    dead = walk.search(index, queries, 4, 16, 2, allow=F.col("vec_id") % 2 == 0, tombstones=data.where("vec_id % 3 = 0"), data=data)
     assert dead.where("vec_id % 2 = 1 or vec_id % 3 = 0").count() == 0
 
 
@@ -315,3 +315,32 @@ def test_sql_functions(spark):
 def test_product_in_half_precision(spark):
     a = frame(spark, [[1.0, 2049.0]])
     assert knn.gemm(a, a, half=True).first().value == 1.0 + 2048.0**2
+
+
+def test_filtered_walks_fill_k(spark, monkeypatch):
+    """A selective filter on any column gives the exact best k, by a scan; a wide one walks and returns allowed rows only."""
+    data = store.from_numpy(spark, store.lcg_matrix(500, 8, 40)).withColumn("label", F.col("vec_id") % 50).repartition(3)
+    queries = data.where("vec_id < 5")
+    index = walk.build(data, shard_rows=200)
+    best = lambda where: [(r.qid, r.rank, r.vec_id) for r in knn.brute_force(queries, data.where(where), 10).orderBy("qid", "rank").collect()]
+    got = walk.search(index, queries, 10, 16, 1, allow=F.col("label") == 1, data=data)
+    assert [(r.qid, r.rank, r.vec_id) for r in got.orderBy("qid", "rank").collect()] == best("label = 1")
+    monkeypatch.setattr(walk, "SCAN_ROWS", 20)
+    wide = walk.search(index, queries, 10, 64, 4, tombstones=data.where("label = 2")).collect()
+    assert len(wide) == 50 and all(r.vec_id % 50 != 2 for r in wide)
+    assert len({(r.qid, r.rank, r.vec_id) for r in wide} & set(best("label <> 2"))) >= 40
+    assert walk.search(index, queries, 10, allow=data.limit(0).select("vec_id")).count() == 0
+    with pytest.raises(metrics.InvalidArgument):
+        walk.search(index, queries, allow=F.col("label") == 1)
+    counted = walk.search(index, queries, 10, 16, 1, counters=True).collect()
+    assert len(counted) == 5 * index.count() and all(r.turns > 0 and 16 <= r.seen <= 500 for r in counted)
+
+
+def test_writes_go_on_after_a_dead_writer(spark):
+    table = store.IndexTable(spark, store.new_path(spark, "index"))
+    data = store.from_numpy(spark, store.lcg_matrix(20, 4, 1))
+    table.create(data)
+    data.write.parquet(f"{table.path}/v1/rows")  # a writer that ended before its manifest
+    assert table.version() == 0
+    table.delete(data.where("vec_id < 3").select("vec_id"))
+    assert table.version() == 2 and tuple(table.counts().first()) == (17, 3)
