@@ -58,6 +58,13 @@ def trimmed() -> None:
         pass
 
 
+def freed(spark: SparkSession) -> None:
+    """Frees the driver of plans that are done with. Operators that make many would else fill its memory;
+    nothing depends on it but that memory, as shuffles are removed when their results are written."""
+    trimmed()
+    spark._jvm.System.gc()
+
+
 _held: list = [None, None]
 
 

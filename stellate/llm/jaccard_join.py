@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, held, map_batches, text_rows
+from .common import checkpointed, freed, held, map_batches, text_rows
 from .components import components
 
 #: Counters of the sketch: a power of two near the bytes of text / 128, of which one byte each is broadcast.
@@ -262,6 +262,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("parity").alias("parity"))
 
     lists = checkpointed(shared_postings(prefixes(texts, words, percent, levels).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")))
+    freed(docs.sparkSession)
     # Of a set, the shingles before the first one that another prefix has are in no set it links with.
     about = lists.groupBy("doc").agg(F.first("n").alias("n"), (F.first("n") - F.min("place")).alias("most"), F.first("centre").alias("centre"))
     about = about.join(nodes.withColumnRenamed("node", "doc").drop("digest"), "doc")
@@ -273,7 +274,9 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     most = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     links = verify(most.select("a", "b"), texts, words, percent)
     rest = checkpointed(_apart(near.select("a", "b").join(most, ["a", "b"], "left_anti"), components(links)))
+    freed(docs.sparkSession)
     links = links.unionByName(verify(rest, texts, words, percent))
+    freed(docs.sparkSession)
 
     # A list's first document has met all others of its list; one of a split list has not.
     lists, turn, parts = lists.where("doc <> pivot or salt > 0").drop("salt", "pivot"), 0, components(links)
