@@ -358,6 +358,26 @@ def rabitq_encode(spark, sf_dir):
     return _round(ivf.codes(_index(_data(spark, sf_dir), "rabitq")), "scale")
 
 
+@_query(f"with {E}, {_kmeans_sql()}, {PROBE}, n as (select cluster, count(*) as n from assigned group by cluster) select qid, count(*) as lists, sum(n)::bigint as candidate_rows from pr join n using (cluster) group by qid")
+def ivf_search_counters(spark, sf_dir):
+    """The lists that a search probes for each query and the rows that it scores."""
+    data = _data(spark, sf_dir)
+    return ivf.candidates(_index(data, "flat"), _queries(data), 2)
+
+
+@_query("select kind, true as same from (values ('pq'), ('rabitq'), ('scann')) as t(kind)")
+def ivf_saved_codes(spark, sf_dir):
+    """Whether searches by codes that were written and read again give the same rows."""
+    data, told = _data(spark, sf_dir), []
+    for kind in ivf.KINDS[1:]:
+        index, path = _index(data, kind), store.new_path(spark, "ivf")
+        store.save_index(index, path)
+        again = store.load_index(spark, path)
+        found = [checkpointed(ivf.search(i, _queries(data), K, nprobe=4, krefine=64, original=data)) for i in (index, again)]
+        told.append((kind, not found[0].isEmpty() and found[0].exceptAll(found[1]).isEmpty() and found[1].exceptAll(found[0]).isEmpty()))
+    return spark.createDataFrame(told, "kind string, same boolean")
+
+
 @_query(f"with {LONG} select pos, round(sqrt(var_pop(x) + 1e-6), 6) as weight from l group by pos")
 def scann_weights(spark, sf_dir):
     return _round(quantize.dim_stats(_data(spark, sf_dir)).select("pos", "weight"), "weight")
@@ -452,6 +472,45 @@ def index_recall_floors(spark, sf_dir):
     return spark.createDataFrame([(kind, r["n"], r["r"] >= 0.9) for kind, r in _floors(spark, sf_dir)], "kind string, queries bigint, reached boolean")
 
 
+def _reached(spark, found, data, floor=0.9):
+    truth = knn.brute_force(_queries(data), data, K)
+    told = evaluate.recall(found, truth, K).agg(F.count("*").alias("n"), F.avg("recall").alias("r")).first()
+    return spark.createDataFrame([(told["n"], told["r"] >= floor)], "queries bigint, reached boolean")
+
+
+REACHED = f"select count(*) as queries, true as reached from embeddings where vec_id % {STEP} = 0"
+
+
+@_query(REACHED)
+def cagra_extended_recall(spark, sf_dir):
+    """A graph of four fifths of the rows, of which some get their vector only later, with the rest linked in."""
+    data = _data(spark, sf_dir)
+    first = data.where("vec_id % 5 <> 0").withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")))
+    index = walk.extend(checkpointed(walk.build(first)), data.where("vec_id % 5 = 0 or vec_id % 7 = 0"))
+    return _reached(spark, walk.search(index, _queries(data), K, 128, 4), data)
+
+
+@_query(REACHED)
+def cagra_quantized_recall(spark, sf_dir):
+    """Walks by product codes; the best 128 rows are measured again."""
+    data = _data(spark, sf_dir)
+    index, books = walk.quantize(walk.build(data), data)
+    return _reached(spark, walk.search(index, _queries(data), K, 128, 4, books=books), data)
+
+
+@_query("select kind, true as same from (values ('cagra'), ('hnsw'), ('vamana')) as t(kind)")
+def graph_saved_search(spark, sf_dir):
+    """Whether graphs that were written without vectors, read again and given them back find the same rows."""
+    data, told = _data(spark, sf_dir), []
+    for kind in ("cagra", "hnsw", "vamana"):
+        index, path = checkpointed(walk.build(data, kind)), store.new_path(spark, "graph")
+        store.save_graph(walk.detach(index), path)
+        again = walk.attach(store.load_graph(spark, path), data)
+        found = [checkpointed(walk.search(i, _queries(data), K, 32, 2)) for i in (index, again)]
+        told.append((kind, not found[0].isEmpty() and found[0].exceptAll(found[1]).isEmpty() and found[1].exceptAll(found[0]).isEmpty()))
+    return spark.createDataFrame(told, "kind string, same boolean")
+
+
 @_query(f"select count(*) as walks, 0::bigint as without_turns, true as within_rows from embeddings where vec_id % {STEP} = 0")
 def walk_counters(spark, sf_dir):
     """Every walk takes turns, and sees no more rows than there are."""

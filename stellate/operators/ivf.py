@@ -1,15 +1,17 @@
 """Inverted-list indexes: flat, product-quantized, sign-quantized, and with weighted positions.
 
-An index is a frame of rows (id, v, list_id) with a small model. A search finds each
-query's `nprobe` nearest lists by squared distance, whatever the metric, packs the
-queries of a list and the rows of a list into blocks, and joins blocks by list. Codes
-give a shortlist of `krefine` rows, whose vectors are then measured by the real metric.
+An index is a frame of rows (vec_id, embedding, list_id, and in the compressed kinds scale
+and code) with a small model. A search finds each query's `nprobe` nearest lists by squared
+distance, whatever the metric, packs the queries of a list and the rows of a list into
+blocks, and joins blocks by list. Compressed kinds are encoded once, when rows come in: a
+search moves their codes alone, which give a shortlist of `krefine` rows, and measures the
+vectors of those by the real metric.
 With all lists and a shortlist of all rows a search is exact.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,24 +19,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellate.functions.metrics import InvalidArgument, check_metric, column
-from stellate.operators.blocks import check_k, matrix, nearest, pack, paired, ranked, unpack, vectors
+from stellate.operators.blocks import ROWS, check_k, matrix, nearest, pack, paired, ranked, unpack, vectors
 from stellate.operators.cluster import kmeans_fit, kmeans_predict, nearest_centre
 from stellate.operators.knn import allowed, shown
 from stellate.operators.quantize import adc, adc_table, dim_stats, pq_codes, pq_fit
+from stellate.sources.shared import checkpointed
 
 KINDS = ("flat", "pq", "rabitq", "scann")
+CODED = "vec_id bigint, embedding array<double>, list_id int, scale double, code binary"
 
 
 @dataclass
 class IvfIndex:
-    """kind, the rows (vec_id, embedding, list_id), and the model."""
+    """kind, the rows (vec_id, embedding, list_id, maybe scale and code), and the model."""
 
     kind: str
     rows: DataFrame
     centres: np.ndarray
     books: np.ndarray | None = None
     weights: np.ndarray | None = None
-    counters: dict = field(default_factory=dict)
 
 
 def _weighted(data: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -68,6 +71,28 @@ def _residuals(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     return rows.select("vec_id", "embedding", "list_id").mapInArrow(run, "vec_id bigint, embedding array<double>")
 
 
+def _encoded(rows: DataFrame, kind: str, centres: np.ndarray, books: np.ndarray | None) -> DataFrame:
+    """Rows of lists with what the kind keeps of their residuals: product codes as bytes, one a part, or
+    the norm and the signs as bits, the first position in the lowest."""
+    if kind == "flat":
+        return rows
+    shipped = rows.sparkSession.sparkContext.broadcast((centres, books))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                centres, books = shipped.value
+                r = matrix(batch.column(1)) - centres[batch.column(2).to_numpy()]
+                if kind == "rabitq":
+                    scale, code = np.sqrt(np.maximum((r**2).sum(1), 1e-12)), np.packbits(r >= 0, axis=1, bitorder="little")
+                else:
+                    scale, code = np.ones(len(r)), pq_codes(r, books).astype(np.uint8)
+                kept = [pa.array(scale), pa.array([c.tobytes() for c in code], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *kept], names=["vec_id", "embedding", "list_id", "scale", "code"])
+
+    return rows.select("vec_id", "embedding", "list_id").mapInArrow(run, CODED)
+
+
 def build(data: DataFrame, kind: str = "flat", nlist: int = 8, iterations: int = 12, pq_m: int = 8, pq_bits: int = 8) -> IvfIndex:
     """An index of `data` (vec_id, embedding)."""
     if kind not in KINDS:
@@ -79,13 +104,15 @@ def build(data: DataFrame, kind: str = "flat", nlist: int = 8, iterations: int =
     centres = kmeans_fit(space, nlist, iterations)
     rows = assign(space, centres)
     books = pq_fit(_residuals(rows, centres), pq_m, pq_bits) if kind in ("pq", "scann") else None
-    return IvfIndex(kind, rows, centres, books, weights)
+    return IvfIndex(kind, checkpointed(_encoded(rows, kind, centres, books)), centres, books, weights)
 
 
 def extend(index: IvfIndex, data: DataFrame) -> IvfIndex:
-    """The index with more rows, which take the lists and codes of the model it has. The old one stays as it is."""
+    """The index with more rows, which take the lists and codes of the model it has; only they are encoded.
+    The old one stays as it is."""
     space = data if index.weights is None else _weighted(data, index.weights)
-    return IvfIndex(index.kind, index.rows.unionByName(assign(space, index.centres)), index.centres, index.books, index.weights)
+    new = checkpointed(_encoded(assign(space, index.centres), index.kind, index.centres, index.books))
+    return IvfIndex(index.kind, index.rows.unionByName(new), index.centres, index.books, index.weights)
 
 
 def lists(index: IvfIndex) -> DataFrame:
@@ -110,22 +137,47 @@ def probe(queries: DataFrame, centres: np.ndarray, nprobe: int) -> DataFrame:
     return queries.mapInArrow(run, "id bigint, v array<double>, list_id int")
 
 
-def _estimates(index: IvfIndex, pairs: DataFrame, krefine: int) -> DataFrame:
-    """qid, vec_id and d of the shortlists of every pair of blocks, by codes."""
-    shipped = pairs.sparkSession.sparkContext.broadcast((index.kind, index.centres, index.books))
+def candidates(index: IvfIndex, queries: DataFrame, nprobe: int) -> DataFrame:
+    """qid, the lists that a search probes for it, and the rows of those, which it scores."""
+    found = probe(vectors(queries), index.centres, nprobe).select(F.col("id").alias("qid"), "list_id")
+    sized = found.join(F.broadcast(lists(index)), "list_id", "left")  # one row per list
+    return sized.groupBy("qid").agg(F.count("*").alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidate_rows"))
+
+
+def _pack_codes(rows: DataFrame, size: int = ROWS) -> DataFrame:
+    """Blocks of coded rows (vec_id, list_id, scale, code) of one list, packed where they lie."""
+
+    def block(grp, ids, scales, codes):
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((grp, np.array(ids).tobytes(), np.array(scales).tobytes(), b"".join(codes)), types)], names=["grp", "ids", "scales", "codes"])
+
+    def run(batches):
+        waiting: dict[int, tuple[list, list, list]] = {}
+        for batch in batches:
+            for vec_id, grp, scale, code in zip(*(c.to_pylist() for c in batch.columns)):
+                own = waiting.setdefault(grp, ([], [], []))
+                for part, value in zip(own, (vec_id, scale, code)):
+                    part.append(value)
+                if len(own[0]) == size:
+                    yield block(grp, *waiting.pop(grp))
+        for grp, own in waiting.items():
+            yield block(grp, *own)
+
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return rows.select("vec_id", "list_id", "scale", "code").mapInArrow(run, "grp bigint, ids binary, scales binary, codes binary")
+
+
+def _estimates(index: IvfIndex, found: DataFrame, rows: DataFrame, krefine: int) -> DataFrame:
+    """qid, vec_id and d of the shortlists of every pair of a block of probing queries and one of codes."""
+    shipped = rows.sparkSession.sparkContext.broadcast((index.kind, index.centres, index.books))
 
     def run(batches):
         kind, centres, books = shipped.value
         for batch in batches:
             for r in batch.to_pylist():
-                (qids, x), (ids, y) = unpack(r["q_ids"], r["q_matrix"], r["q_dim"]), unpack(r["d_ids"], r["d_matrix"], r["d_dim"])
-                centre, out = centres[r["d_grp"]], []
-                residual = y - centre
+                (qids, x), ids, centre, out = unpack(r["q_ids"], r["q_matrix"], r["q_dim"]), np.frombuffer(r["ids"], np.int64), centres[r["grp"]], []
+                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
                 if kind == "rabitq":
-                    norm = np.sqrt(np.maximum((residual**2).sum(1), 1e-12))
-                    signs = np.where(residual >= 0, 1.0, -1.0)
-                else:
-                    codes = pq_codes(residual, books)
+                    norm, signs = np.frombuffer(r["scales"]), np.unpackbits(codes, axis=1, count=len(centre), bitorder="little") * 2.0 - 1.0
                 for qid, q in zip(qids, x):
                     if kind == "rabitq":
                         d = ((q - centre) ** 2).sum() + norm**2 - 2 * norm * (signs @ (q - centre)) / np.sqrt(len(q))
@@ -135,7 +187,8 @@ def _estimates(index: IvfIndex, pairs: DataFrame, krefine: int) -> DataFrame:
                     out.append((np.full(len(order), qid), ids[order], d[order]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["qid", "vec_id", "d"])
 
-    return pairs.mapInArrow(run, "qid bigint, vec_id bigint, d double")
+    left = pack(found, "list_id").select("grp", *(F.col(c).alias(f"q_{c}") for c in ("dim", "ids", "matrix")))
+    return left.join(_pack_codes(rows), "grp").mapInArrow(run, "qid bigint, vec_id bigint, d double")
 
 
 def search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 8, metric: str = "l2", krefine: int = 32, allow=None, original: DataFrame | None = None) -> DataFrame:
@@ -151,21 +204,26 @@ def search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 8, me
         w = F.array(*(F.lit(float(x)) for x in index.weights))
         coarse = q.withColumn("v", F.zip_with("v", w, lambda x, y: x * y))
     found = probe(coarse, index.centres, nprobe)
-    pairs = paired(pack(found, "list_id"), pack(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "list_id"), "list_id"), by_group=True)
     if index.kind == "flat":
+        pairs = paired(pack(found, "list_id"), pack(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "list_id"), "list_id"), by_group=True)
         return shown(ranked(nearest(pairs, metric, k), k), metric)
-    short = ranked(_estimates(index, pairs, max(krefine, k)), max(krefine, k)).select("qid", "vec_id")
+    short = ranked(_estimates(index, found, rows, max(krefine, k)), max(krefine, k)).select("qid", "vec_id")
     kept = vectors(original) if original is not None else vectors(rows)
     refined = short.join(kept.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(q.select(F.col("id").alias("qid"), F.col("v").alias("q")), "qid")
     return shown(ranked(refined.select("qid", "vec_id", column(metric, F.col("q"), F.col("v")).alias("d")), k), metric)
 
 
 def codes(index: IvfIndex) -> DataFrame:
-    """vec_id, list_id and the sign code of the residual: its norm and the number of its signs that are positive."""
-    r = _residuals(index.rows, index.centres)
-    norm = F.sqrt(F.greatest(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), F.lit(1e-12)))
-    signs = F.size(F.filter("embedding", lambda x: x >= 0))
-    return r.select("vec_id", norm.alias("scale"), signs.alias("positive")).join(index.rows.select("vec_id", "list_id"), "vec_id")
+    """vec_id, list_id and the sign code that the index keeps of each residual: its norm and the number of its
+    signs that are positive."""
+    if index.kind != "rabitq":
+        raise InvalidArgument("the index keeps no signs")
+
+    @F.pandas_udf("int")
+    def positive(code):
+        return code.map(lambda c: int.from_bytes(c, "little").bit_count())
+
+    return index.rows.select("vec_id", "list_id", "scale", positive("code").alias("positive"))
 
 
-__all__ = ["IvfIndex", "assign", "build", "codes", "extend", "kmeans_predict", "lists", "probe", "search"]
+__all__ = ["IvfIndex", "assign", "build", "candidates", "codes", "extend", "kmeans_predict", "lists", "probe", "search"]

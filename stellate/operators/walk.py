@@ -6,7 +6,10 @@ shard for each query, and merges the best k. So a task holds one shard, whatever
 size of the data; nothing is broadcast. Walks begin at places that follow from a query's
 bits alone, so results don't depend on batches.
 
-Tombstoned and filtered rows are walked through, but never returned.
+Tombstoned and filtered rows are walked through, but never returned. A graph may hold
+product codes of its vectors, and may then do without the vectors: walks measure what the
+codes stand for, and the best rows are measured again where vectors are there. Rows that
+come in or change are linked into the graph of their shard, which keeps its size in shards.
 """
 
 from __future__ import annotations
@@ -22,10 +25,14 @@ from stellate.functions.metrics import InvalidArgument, check_metric, exact, rou
 from stellate.operators.blocks import check_k, matrix, pack, ranked, unpack, vectors
 from stellate.operators.graph import robust_prune
 from stellate.operators.knn import shown
+from stellate.operators.quantize import check_codes, pq_codes, pq_fit
 
 #: Vectors of a shard, in the mean.
 SHARD_ROWS = 20_000
-SCHEMA = "shard bigint, dim int, degree int, ids binary, matrix binary, graph binary"
+#: `shards` is the number that ids are dealt over, some of which may be empty.
+SCHEMA = "shard bigint, shards bigint, dim int, degree int, ids binary, matrix binary, graph binary"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def neighbours(x: np.ndarray, degree: int) -> np.ndarray:
@@ -73,6 +80,11 @@ def prune_robustly(x: np.ndarray, graph: np.ndarray, degree: int, alpha: float)
     return out
 
 
+def _row(shard: int, shards: int, degree: int, ids: np.ndarray, x: np.ndarray, graph: np.ndarray) -> pa.Table:
+    row = (shard, shards, x.shape[1], degree, ids.tobytes(), x.tobytes(), graph.tobytes())
+    return pa.table([pa.array([c], t) for c, t in zip(row, TYPES)], names=NAMES)
+
+
 def build(data: DataFrame, kind: str = "cagra", degree: int = 16, first_degree: int = 32, alpha: float = 1.2, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A graph index of `data`: detour pruning (cagra, and hnsw's base layer) or robust pruning (vamana)."""
     if kind not in ("cagra", "hnsw", "vamana"):
@@ -89,10 +101,8 @@ def build(data: DataFrame, kind: str = "cagra", degree: int = 16, first_degree:
             raise InvalidArgument("a graph takes finite vectors only")
         graph = neighbours(x, min(2 * degree if kind == "vamana" else first_degree, max(len(x) - 1, 1)))
         graph = prune_robustly(x, graph, degree, alpha) if kind == "vamana" else prune_detours(graph, degree)
-        row = (key[0].as_py(), x.shape[1], degree, ids.tobytes(), x.tobytes(), graph.tobytes())
-        return pa.table([pa.array([c], t) for c, t in zip(row, types)], names=["shard", "dim", "degree", "ids", "matrix", "graph"])
+        return _row(key[0].as_py(), shards, degree, ids, x, graph)
 
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return rows.groupBy("shard").applyInArrow(shard, SCHEMA)
 
 
@@ -125,6 +135,118 @@ def walk(q: np.ndarray, x: np.ndarray, graph: np.ndarray, metric: str, keep: int
     return seen, turns
 
 
+def _shards(index: DataFrame) -> int:
+    return index.agg(F.max("shards")).first()[0] or 1
+
+
+def relink(x: np.ndarray, graph: np.ndarray, touched: np.ndarray, alpha: float = 1.2) -> np.ndarray:
+    """The graph with new edges for the rows `touched`, whose vectors are new: each points to the nearest rows
+    that a walk finds, and every row that any of them points to is pruned anew among its edges and them.
+    Rows go in chunks, so that later ones can find earlier ones."""
+    graph, (n, degree) = graph.copy(), graph.shape
+    step = min(max(n // 64, 256), 4096)
+    for i in range(0, len(touched), step):
+        chunk, named = touched[i : i + step], {}
+        for t in chunk.tolist():
+            seen, _ = walk(x[t], x, graph, "l2", degree + 1, 1)
+            seen.pop(t, None)
+            at, d = np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), float, len(seen))
+            near = at[np.lexsort((at, np.round(d, 9)))[:degree]]
+            graph[t, : len(near)], graph[t, len(near) :] = near, -1
+            for y in near.tolist():
+                named.setdefault(y, []).append(t)
+        for y, new in sorted(named.items()):
+            near = np.unique(np.r_[graph[y][graph[y] >= 0], new])
+            kept = near if len(near) <= degree else near[robust_prune(x[y], x[near], near, degree, alpha)]
+            graph[y, : len(kept)], graph[y, len(kept) :] = kept, -1
+    return graph
+
+
+def extend(index: DataFrame, data: DataFrame) -> DataFrame:
+    """The index with the rows of `data` (vec_id, embedding): unknown ids come in, known ones get a new vector,
+    and the graphs of their shards are mended around them. Of an id that comes twice one vector is taken, the
+    greatest. The number of shards stays; an index that has grown much is better built anew. Codes are left
+    out, to be made again by quantize."""
+    if "matrix" not in index.columns:
+        raise InvalidArgument("a graph without vectors can't be extended; attach them first")
+    told = index.agg(F.max("shards").alias("shards"), F.max("degree").alias("degree")).first()
+    if told["shards"] is None:
+        return build(data)
+    shards, degree = told
+    rows = vectors(data).groupBy("id").agg(F.max("v").alias("v"))
+    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v")
+
+    def mend(key, old, new):
+        if not new.num_rows:
+            return old
+        x_new, ids_new = matrix(new["v"]), new["id"].to_numpy()
+        if not np.isfinite(x_new).all():
+            raise InvalidArgument("a graph takes finite vectors only")
+        if old.num_rows:
+            r = old.to_pylist()[0]
+            ids, x = unpack(r["ids"], r["matrix"], r["dim"])
+            graph = np.frombuffer(r["graph"], np.int32).reshape(len(ids), -1)
+            if x.shape[1] != x_new.shape[1]:
+                raise InvalidArgument("new rows differ in length")
+        else:
+            ids, x, graph = np.empty(0, np.int64), np.empty((0, x_new.shape[1])), np.empty((0, degree), np.int32)
+        place = {i: n for n, i in enumerate(ids.tolist())}
+        fresh = np.array([i not in place for i in ids_new.tolist()])
+        x = np.vstack([x, x_new[fresh]])
+        ids = np.r_[ids, ids_new[fresh]]
+        graph = np.vstack([graph, np.full((fresh.sum(), degree), -1, np.int32)])
+        place = {i: n for n, i in enumerate(ids.tolist())}
+        touched = np.array(sorted(place[i] for i in ids_new.tolist()))
+        for i, v in zip(ids_new.tolist(), x_new):
+            x[place[i]] = v
+        graph = relink(x, graph, touched)
+        return _row(key[0].as_py(), shards, degree, ids, x, graph)
+
+    return index.select(*NAMES).groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(mend, SCHEMA)
+
+
+def quantize(index: DataFrame, data: DataFrame, parts: int = 8, bits: int = 8) -> tuple[DataFrame, np.ndarray]:
+    """The index with product codes of its vectors, and the codebooks, which are fitted to `data` as it is."""
+    books = pq_fit(data, parts, bits)
+    shipped = index.sparkSession.sparkContext.broadcast(books)
+
+    @F.pandas_udf("binary")
+    def coded(dim, m):
+        return m.combine(dim, lambda raw, d: pq_codes(np.frombuffer(raw, float).reshape(-1, d), shipped.value).astype(np.uint8).tobytes())
+
+    return index.withColumn("codes", coded("dim", "matrix")), books
+
+
+def detach(index: DataFrame) -> DataFrame:
+    """The index without vectors."""
+    return index.drop("matrix")
+
+
+def attach(index: DataFrame, data: DataFrame) -> DataFrame:
+    """The index with its vectors, taken from `data` by id; rows that it doesn't hold are left out, and a row
+    without a vector is an error."""
+    shards = _shards(index)
+    rows = vectors(data).select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v")
+
+    def meet(key, old, new):
+        if not old.num_rows:
+            return pa.table([pa.array([], t) for t in types], names=["shard", "m"])
+        ids = np.frombuffer(old["ids"][0].as_py(), np.int64)
+        new = new.sort_by("id")
+        have = new["id"].to_numpy()
+        at = np.searchsorted(have, ids)
+        if len(have) == 0 or not np.array_equal(have[np.minimum(at, len(have) - 1)], ids):
+            raise InvalidArgument("a row of the graph has no vector")
+        x = matrix(new["v"])[at]
+        if x.shape[1] != old["dim"][0].as_py():
+            raise InvalidArgument("vectors differ in length from the graph's")
+        return pa.table([pa.array([key[0].as_py()], types[0]), pa.array([x.tobytes()], types[1])], names=["shard", "m"])
+
+    types = [pa.int64(), pa.binary()]
+    found = index.select("shard", "dim", "ids").groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(meet, "shard bigint, m binary")
+    return index.drop("matrix").join(found.withColumnRenamed("m", "matrix"), "shard")
+
+
 #: Rows that a filter leaves of a shard, up to which they are all measured in place of a walk.
 SCAN_ROWS = 512
 COUNTED = "qid bigint, shard bigint, turns int, seen int"
@@ -132,7 +254,7 @@ COUNTED = "qid bigint, shard bigint, turns int, seen int"
 
 def _masks(index: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """The index with the ids of a frame that belong to each shard; shards are bounded, so are these lists."""
-    shards = max(1, (index.agg(F.max("shard")).first()[0] or 0) + 1)
+    shards = _shards(index)
     listed = ids.select(F.col(ids.columns[0]).cast("bigint").alias("id")).where("id is not null").distinct()
     listed = listed.groupBy(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).agg(F.collect_list("id").alias(name))
     return index.join(listed, "shard", "left")
@@ -155,15 +277,30 @@ def _best(metric: str, v, ids, x, graph, keep: int, width: int, mine, k: int):
     return at[best], d[best], 0, len(at)
 
 
+def _seen_vectors(r: dict, shipped):
+    """ids, the vectors that a walk measures, and those to measure its best rows by, if these are others."""
+    ids = np.frombuffer(r["ids"], np.int64)
+    y = np.frombuffer(r["matrix"], float).reshape(-1, r["dim"]) if "matrix" in r else None
+    if shipped is None:
+        return ids, y, None
+    codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
+    check_codes(codes, shipped.value.shape[1])
+    return ids, np.concatenate([book[codes[:, m]] for m, book in enumerate(shipped.value)], axis=1), y
+
+
 def search(
     index: DataFrame, queries: DataFrame, k: int = 10, keep: int = 32, width: int = 2, metric: str = "l2", allow=None, tombstones: DataFrame | None = None, data: DataFrame | None = None,
-    counters: bool = False,
+    counters: bool = False, books: np.ndarray | None = None,
 ) -> DataFrame:
     """qid, rank, vec_id, distance of the best k rows that walks find. `keep` and `width` are the effort.
 
     A filter is a frame of ids, or a predicate over `data`, which must then be given. Rows that may not be
-    returned are walked through. With `counters`, instead qid, shard, turns and rows seen of each walk."""
+    returned are walked through. With `counters`, instead qid, shard, turns and rows seen of each walk.
+    With the `books` of a quantized index walks go by codes, and the best `keep` rows that may be returned are
+    measured again by their vectors where the index holds them."""
     check_metric(metric), check_k(k)
+    if books is None and "matrix" not in index.columns or books is not None and "codes" not in index.columns:
+        raise InvalidArgument("the index holds neither vectors nor codes for this search")
     keep = max(keep, k)
     if allow is not None and not isinstance(allow, DataFrame):
         if data is None:
@@ -177,19 +314,25 @@ def search(
         for batch in batches:
             for r in batch.to_pylist():
                 qids, q = unpack(r["q_ids"], r["q_matrix"], r["q_dim"])
-                ids, x = unpack(r["ids"], r["matrix"], r["dim"])
+                ids, x, y = _seen_vectors(r, shipped)
                 graph, out, mine = np.frombuffer(r["graph"], np.int32).reshape(len(ids), -1), [], None
                 if not plain:
                     mine = np.isin(ids, r["only"] or []) if "only" in r else np.ones(len(ids), bool)
                     mine &= ~np.isin(ids, r.get("gone") or [])
                 for qid, v in zip(qids, q):
-                    at, d, turns, seen = _best(metric, v, ids, x, graph, keep, width, mine, k)
+                    at, d, turns, seen = _best(metric, v, ids, x, graph, keep, width, mine, k if y is None else keep)
+                    if y is not None:
+                        d = exact(metric, v, y[at])
+                        order = np.lexsort((ids[at], np.round(d, 9)))[:k]
+                        at, d = at[order], d[order]
                     out.append(((qid,), (r["shard"],), np.int32([turns]), np.int32([seen])) if counters else (np.full(len(at), qid), ids[at], d))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
+    shipped = None if books is None else index.sparkSession.sparkContext.broadcast(books)
     names = ["qid", "shard", "turns", "seen"] if counters else ["qid", "vec_id", "d"]
     blocks = pack(vectors(queries), size=64).select(*(F.col(c).alias(f"q_{c}") for c in ("dim", "ids", "matrix")))
     masks = [c for c in ("only", "gone") if c in index.columns]
-    pairs = blocks.crossJoin(index).select("q_dim", "q_ids", "q_matrix", "shard", "dim", "ids", "matrix", "graph", *masks)
+    held = [c for c in ("matrix", "codes") if c in index.columns and (c == "matrix" or books is not None)]
+    pairs = blocks.crossJoin(index).select("q_dim", "q_ids", "q_matrix", "shard", "dim", "ids", "graph", *held, *masks)
     found = pairs.mapInArrow(run, COUNTED if counters else "qid bigint, vec_id bigint, d double")
     return found if counters else shown(ranked(found, k), metric)

@@ -78,11 +78,7 @@ class IndexTable:
         return found[-1]
 
     def manifest(self, version: int | None = None) -> dict:
-        at = self.version() if version is None else version
-        found = json.loads(self.spark.read.text(f"{self.path}/v{at}/manifest").first()[0])
-        if found["format"] != FORMAT:
-            raise InvalidArgument(f"format {found['format']} is not {FORMAT}")
-        return found
+        return _read_line(self.spark, f"{self.path}/v{self.version() if version is None else version}/manifest")
 
     def rows(self, version: int | None = None) -> DataFrame:
         return self.spark.read.schema(ROWS).parquet(f"{self.path}/v{self.version() if version is None else version}/rows")
@@ -96,8 +92,7 @@ class IndexTable:
         begun = self._versions(whole=False)
         at = begun[-1] + 1 if begun else 0
         rows.select("slot", "generation", "state", "seq", "embedding").write.parquet(f"{self.path}/v{at}/rows")
-        line = json.dumps({"format": FORMAT, "seq": seq, "version": at})
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{self.path}/v{at}/manifest")
+        _write_line(self.spark, {"format": FORMAT, "seq": seq, "version": at}, f"{self.path}/v{at}/manifest")
         return at
 
     def create(self, data: DataFrame) -> int:
@@ -248,26 +243,71 @@ def lcg_matrix(n: int, dim: int, seed: int) -> np.ndarray:
     return out.reshape(n, dim)
 
 
+def _write_line(spark: SparkSession, told: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.text(path)
+
+
+def _read_line(spark: SparkSession, path: str) -> dict:
+    told = json.loads(spark.read.text(path).first()[0])
+    if told["format"] != FORMAT:
+        raise InvalidArgument(f"format {told['format']} is not {FORMAT}")
+    return told
+
+
 def save_index(index, path: str) -> None:
-    """Writes an inverted-list index: its rows by list, and its model as one row."""
+    """Writes an inverted-list index: its rows and codes by list, and its model, written last, as one row."""
     spark = index.rows.sparkSession
     index.rows.write.partitionBy("list_id").parquet(f"{path}/rows")
-    model = {k: None if (v := getattr(index, k)) is None else v.tolist() for k in ("centres", "books", "weights")} | {"kind": index.kind, "format": FORMAT, "rows": index.rows.count()}
-    spark.createDataFrame([(json.dumps(model),)], "value string").coalesce(1).write.text(f"{path}/model")
+    model = {k: None if (v := getattr(index, k)) is None else v.tolist() for k in ("centres", "books", "weights")}
+    rows = spark.read.parquet(f"{path}/rows").count()
+    _write_line(spark, model | {"kind": index.kind, "format": FORMAT, "rows": rows}, f"{path}/model")
 
 
 def load_index(spark: SparkSession, path: str):
-    """Reads what save_index wrote, and checks its format and number of rows."""
-    from stellate.operators.ivf import IvfIndex
-
-    model = json.loads(spark.read.text(f"{path}/model").first()[0])
-    if model["format"] != FORMAT:
-        raise InvalidArgument(f"format {model['format']} is not {FORMAT}")
-    rows = spark.read.schema("vec_id bigint, embedding array<double>, list_id int").parquet(f"{path}/rows")
-    if rows.count() != model["rows"]:
-        raise InvalidArgument("the index's rows are not complete")
+    """Reads what save_index wrote; its format, number of rows and the sizes and range of its codes must be right."""
+    from stellate.operators.ivf import CODED, IvfIndex
+
+    model = _read_line(spark, f"{path}/model")
     part = lambda k: None if model[k] is None else np.array(model[k], float)
-    return IvfIndex(model["kind"], rows, part("centres"), part("books"), part("weights"))
+    kind, centres, books = model["kind"], part("centres"), part("books")
+    rows = spark.read.schema("vec_id bigint, embedding array<double>, list_id int" if kind == "flat" else CODED).parquet(f"{path}/rows")
+    bad = (F.col("list_id") < 0) | (F.col("list_id") >= len(centres))
+    if kind != "flat":
+        size = -(-centres.shape[1] // 8) if books is None else len(books)
+        bad |= F.col("code").isNull() | F.col("scale").isNull() | (F.length("code") != size)
+        if books is not None and books.shape[1] < 256:
+            # Hexadecimal digits in pairs: of a code within the book, none is beyond its last.
+            beyond = F.transform(F.sequence(F.lit(1), F.lit(2 * size), F.lit(2)), lambda i: F.substring(F.hex("code"), i, F.lit(2)) >= f"{books.shape[1]:02X}")
+            bad |= F.exists(beyond, lambda x: x)
+    found = rows.agg(F.count("*").alias("n"), F.max(bad).alias("bad")).first()
+    if found["n"] != model["rows"] or found["bad"]:
+        raise InvalidArgument("the index's rows are not complete")
+    return IvfIndex(kind, rows, centres, books, part("weights"))
+
+
+def save_graph(index: DataFrame, path: str) -> None:
+    """Writes a graph index, one row per shard, whatever it holds of vectors and codes; its manifest comes last."""
+    spark = index.sparkSession
+    index.write.parquet(f"{path}/shards")
+    sizes = F.sum(F.length("ids") / 8).cast("bigint")
+    told = spark.read.parquet(f"{path}/shards").agg(F.count("*").alias("shards"), F.coalesce(sizes, F.lit(0)).alias("rows")).first()
+    _write_line(spark, {"format": FORMAT, "shards": told["shards"], "rows": told["rows"], "columns": index.columns}, f"{path}/manifest")
+
+
+def load_graph(spark: SparkSession, path: str) -> DataFrame:
+    """Reads what save_graph wrote, shard by shard when it is searched; sizes must fit each other and the manifest."""
+    told = _read_line(spark, f"{path}/manifest")
+    index = spark.read.parquet(f"{path}/shards")
+    if sorted(index.columns) != sorted(told["columns"]):
+        raise InvalidArgument("the graph lacks columns")
+    n = F.length("ids") / 8
+    bad = F.length("graph") != n * F.col("degree") * 4
+    if "matrix" in index.columns:
+        bad |= F.length("matrix") != n * F.col("dim") * 8
+    found = index.agg(F.count("*").alias("shards"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("rows"), F.max(F.coalesce(bad, F.lit(True))).alias("bad")).first()
+    if (found["shards"], found["rows"]) != (told["shards"], told["rows"]) or found["bad"]:
+        raise InvalidArgument("the graph's shards are not complete")
+    return index.select(*told["columns"])
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -98,10 +98,47 @@ def lists_total(index):
 
 def test_index_round_trip(spark, small, tmp_path):
     x, q, data, queries = small
-    index = ivf.build(data, "rabitq", nlist=4, iterations=4)
-    store.save_index(index, str(tmp_path / "i"))
-    again = store.load_index(spark, str(tmp_path / "i"))
-    assert {(r.qid, r.rank, r.vec_id) for r in ivf.search(again, queries, 5, nprobe=4, krefine=1000).collect()} == truth(x, q, 5)
+    for kind, width in (("flat", None), ("rabitq", 1), ("pq", 4)):
+        index, path = ivf.build(data, kind, nlist=4, iterations=4, pq_m=4, pq_bits=4), str(tmp_path / kind)
+        store.save_index(index, path)
+        again = store.load_index(spark, path)
+        assert {(r.qid, r.rank, r.vec_id) for r in ivf.search(again, queries, 5, nprobe=4, krefine=1000).collect()} == truth(x, q, 5)
+        if width:
+            kept = {r.vec_id: bytes(r.code) for r in again.rows.collect()}
+            assert kept == {r.vec_id: bytes(r.code) for r in index.rows.collect()} and {len(c) for c in kept.values()} == {width}
+
+
+@pytest.mark.parametrize("spoil", ["code", "lost"])
+def test_damaged_codes_are_refused(spark, small, tmp_path, spoil):
+    index = ivf.build(small[2], "pq", nlist=4, iterations=2, pq_m=4, pq_bits=4)
+    path = str(tmp_path / "i")
+    store.save_index(index, path)
+    rows = spark.read.schema(ivf.CODED).parquet(f"{path}/rows").collect()
+    bad = [r.asDict() | ({"code": b"\x00\x10\x00\x00"} if spoil == "code" and r.vec_id == 3 else {}) for r in rows if spoil == "code" or r.vec_id != 3]
+    spark.createDataFrame([tuple(r[c] for c in index.rows.columns) for r in bad], ivf.CODED).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/rows")
+    with pytest.raises(InvalidArgument):
+        store.load_index(spark, path)
+
+
+def test_codes_are_those_of_the_residuals(small):
+    x, _, data, _ = small
+    for kind in ("rabitq", "pq"):
+        index = ivf.build(data, kind, nlist=4, iterations=4, pq_m=4, pq_bits=4)
+        more = ivf.extend(index, data.select((F.col("vec_id") + 100).alias("vec_id"), "embedding"))
+        found = {r.vec_id: r for r in more.rows.collect()}
+        for i, v in enumerate(x):
+            residual = v - index.centres[found[i].list_id]
+            want = np.packbits(residual >= 0, bitorder="little") if kind == "rabitq" else quantize.pq_codes(residual[None], index.books)[0].astype(np.uint8)
+            assert bytes(found[i].code) == bytes(found[i + 100].code) == want.tobytes()
+            assert kind == "pq" or np.isclose(found[i].scale, np.sqrt((residual**2).sum()))
+
+
+def test_probed_candidates(small):
+    x, q, data, queries = small
+    index = ivf.build(data, "flat", nlist=4, iterations=4)
+    sizes = dict(rows(ivf.lists(index), "list_id", "n"))
+    near = [np.argsort(np.round(((v - index.centres) ** 2).sum(1), 9), kind="stable")[:2] for v in q]
+    assert rows(ivf.candidates(index, queries, 2), "qid", "lists", "candidate_rows") == [(i, 2, sum(sizes[c] for c in at.tolist())) for i, at in enumerate(near)]
 
 
 def test_quantizers(spark, small):
@@ -344,3 +381,69 @@ def test_writes_go_on_after_a_dead_writer(spark):
     assert table.version() == 0
     table.delete(data.where("vec_id < 3").select("vec_id"))
     assert table.version() == 2 and tuple(table.counts().first()) == (17, 3)
+
+
+@pytest.fixture(scope="module")
+def graphed(spark):
+    data = store.from_numpy(spark, store.lcg_matrix(600, 8, 77)).cache()
+    return data, data.where("vec_id < 10").cache(), knn.brute_force(data.where("vec_id < 10"), data, 10).cache()
+
+
+def hits(found, best):
+    return evaluate.mean_recall(found, best, 10)
+
+
+def test_extended_graphs_hold_recall(spark, graphed):
+    """Half the rows come in later, over several shards, and some old rows get their vector later."""
+    data, queries, best = graphed
+    first = data.where("vec_id >= 300").withColumn("embedding", F.when(F.col("vec_id") < 350, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")))
+    index = walk.build(first, shard_rows=150).cache()
+    more = walk.extend(index, data.where("vec_id < 350").unionByName(data.where("vec_id = 5"))).cache()
+    shards = [r.asDict() for r in more.collect()]
+    held = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in shards])
+    assert sorted(held.tolist()) == list(range(600))
+    wanted = store.lcg_matrix(600, 8, 77)
+    for r in shards:
+        ids, graph = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["graph"], np.int32).reshape(-1, r["degree"])
+        assert np.allclose(np.frombuffer(r["matrix"]).reshape(len(ids), -1), wanted[ids]) and len(graph) == len(ids)
+        for n, row in enumerate(graph):
+            row = row[row >= 0]
+            assert n not in row and len(set(row.tolist())) == len(row) > 0 and row.max() < len(ids)
+    assert hits(walk.search(more, queries, 10, 64, 2), best) >= 0.95
+    assert walk.extend(index, data.limit(0)).count() == index.count()
+    with pytest.raises(InvalidArgument):
+        walk.extend(walk.detach(index), data)
+
+
+def test_extending_an_empty_graph_builds_one(spark, graphed):
+    data, queries, best = graphed
+    assert hits(walk.search(walk.extend(walk.build(data.limit(0)), data), queries, 10, 64, 2), best) >= 0.9
+
+
+def test_quantized_walks(spark, graphed):
+    data, queries, best = graphed
+    index, books = walk.quantize(walk.build(data, shard_rows=300).cache(), data, 4, 8)
+    exact_again = walk.search(index, queries, 10, 128, 4, books=books)
+    assert hits(exact_again, best) >= 0.9
+    bare = walk.search(walk.detach(index), queries, 10, 128, 4, books=books)
+    assert 0.5 <= hits(bare, best) <= hits(exact_again, best)
+    few = walk.search(index, queries, 10, 32, 1, books=books, allow=data.where("vec_id % 3 = 0").select("vec_id")).collect()
+    assert len(few) == 100 and all(r.vec_id % 3 == 0 for r in few)
+    with pytest.raises(InvalidArgument):
+        walk.search(walk.detach(index), queries)
+
+
+def test_saved_graphs(spark, graphed, tmp_path):
+    data, queries, _ = graphed
+    index = walk.build(data, "vamana", shard_rows=200).cache()
+    found = rows(walk.search(index, queries, 10, 32, 2), "qid", "rank", "vec_id", "distance")
+    for n, kept in enumerate((index, walk.detach(index))):
+        store.save_graph(kept, str(tmp_path / str(n)))
+        again = store.load_graph(spark, str(tmp_path / str(n)))
+        again = again if n == 0 else walk.attach(again, data)
+        assert rows(walk.search(again, queries, 10, 32, 2), "qid", "rank", "vec_id", "distance") == found
+    with pytest.raises(Exception, match="no vector"):
+        walk.attach(walk.detach(index), data.where("vec_id <> 17")).collect()
+    index.where("shard <> 0").write.mode("overwrite").parquet(str(tmp_path / "0" / "shards"))
+    with pytest.raises(InvalidArgument):
+        store.load_graph(spark, str(tmp_path / "0"))
