@@ -261,7 +261,18 @@ def slink_edges(spark, sf_dir):
     return cluster.slink_edges(_data(spark, sf_dir))
 
 
-@_query()
+#: The links in their order, each of which joins two parts until ten are left; a part is named by its first place.
+LINKAGE = f"""with recursive {E}, {_knn_sql(k=8, queries='true', where='qid <> vec_id')},
+ n as materialized (select vec_id, row_number() over (order by vec_id) as place from e),
+ ed as materialized (select row_number() over (order by round(d, 6), qid, r.vec_id) as step, x.place as a, y.place as b from r join n x on x.vec_id = qid join n y on y.vec_id = r.vec_id where r.vec_id > qid),
+ joined as (select 0::bigint as step, list(place order by place) as parts, count(*) as more from n
+  union all select step + 1, case when p = q then parts else list_transform(parts, lambda x: case when x = greatest(p, q) then least(p, q) else x end) end, more - (p <> q)::int
+  from (select joined.step, parts, more, parts[a] as p, parts[b] as q from joined join ed on ed.step = joined.step + 1 where more > 10)),
+ last as (select parts from joined order by step desc limit 1)
+ select vec_id, (dense_rank() over (order by parts[place]) - 1)::int as label from n, last"""
+
+
+@_query(LINKAGE)
 def slink_labels(spark, sf_dir):
     return cluster.slink_labels(_data(spark, sf_dir), 10)
 
@@ -365,6 +376,38 @@ def ivf_search_counters(spark, sf_dir):
     return ivf.candidates(_index(data, "flat"), _queries(data), 2)
 
 
+@_query("select first, true as reached from (values ('exact'), ('nn_descent'), ('ivf_pq'), ('iterative')) as t(first)")
+def cagra_first_graphs(spark, sf_dir):
+    """Whether searches of graphs that began in each way reach a mean recall of 0.9."""
+    data, told = _data(spark, sf_dir), []
+    truth = checkpointed(knn.brute_force(_queries(data), data, K))
+    for first in walk.FIRST:
+        told.append((first, evaluate.mean_recall(walk.search(walk.build(data, first=first), _queries(data), K, 128, 4), truth, K) >= 0.9))
+    return spark.createDataFrame(told, "first string, reached boolean")
+
+
+@_query("select count(*) as n_rows, count(*) * 16 * 4 as graph_bytes, sum(len(embedding))::bigint * 8 as vector_bytes, 0::bigint as code_bytes from embeddings where embedding is not null")
+def graph_build_report(spark, sf_dir):
+    return walk.report(walk.build(_data(spark, sf_dir))).drop("shards")
+
+
+@_query("""with c as (select label, count(*) as n from embeddings group by label), n as (select
+  (select count(*) from embeddings) as base, coalesce((select n from c where label = 2), 0) as gone1, coalesce((select n from c where label = 4), 0) as new1,
+  coalesce((select n from c where label = 5), 0) as gone2, coalesce((select n from c where label = 7), 0) as new2),
+ r as (select *, greatest(gone1 - new1, 0) as left1 from n)
+ select 0 as round, base as live, 0::bigint as deleted, true as reached from r
+ union all select 1, base - gone1 + new1, left1, true from r
+ union all select 2, base - gone1 + new1 - gone2 + new2, greatest(left1 + gone2 - new2, 0), true from r""")
+def churn_recall(spark, sf_dir):
+    """Two rounds of deleting, updating and inserting rows; whether recall against the live rows stays at 0.9 or more."""
+    data = _data(spark, sf_dir)
+    turned = data.select("label", "vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: -x).alias("embedding"))
+    of = lambda label: turned.where(F.col("label") == label).drop("label")
+    rounds = [(of(gone).select("vec_id"), of(changed), of(new)) for gone, changed, new in ((2, 3, 4), (5, 6, 7))]
+    told = evaluate.churn(_living(spark, sf_dir), _queries(data), rounds, K, 128)
+    return told.select("round", "live", "deleted", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @_query("select kind, true as same from (values ('pq'), ('rabitq'), ('scann')) as t(kind)")
 def ivf_saved_codes(spark, sf_dir):
     """Whether searches by codes that were written and read again give the same rows."""

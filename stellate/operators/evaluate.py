@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,25 +37,69 @@ def validity(found: DataFrame, data: DataFrame, k: int) -> DataFrame:
     )
 
 
+def displaced(sample: DataFrame, near: DataFrame) -> DataFrame:
+    """The sample rows (vec_id, embedding), each moved by the root of its `distance` in `near` (qid, distance), in a
+    direction that follows from its id. So a query lies about as far from its nearest row as rows do from each other."""
+    u = lambda x, i: F.pmod(F.xxhash64("vec_id", i), F.lit(1 << 24)) / float(1 << 24) - 0.5
+    step = F.when((F.col("distance") > 0) & (F.col("distance") < float("inf")), F.sqrt("distance")).otherwise(0.0)
+    rows = sample.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).join(near.select(F.col("qid").alias("vec_id"), "distance"), "vec_id", "left")
+    rows = rows.withColumn("way", F.transform("embedding", u))
+    rows = rows.withColumn("scale", step / F.sqrt(F.greatest(F.aggregate("way", F.lit(0.0), lambda s, x: s + x * x), F.lit(1e-12))))
+    return rows.select("vec_id", F.zip_with("embedding", "way", lambda x, w: x + w * F.col("scale")).alias("embedding"))
+
+
 def calibrate(index: DataFrame, data: DataFrame, target: float, k: int = 10, samples: int = 256, metric: str = "l2") -> tuple[int, int, float]:
     """The cheapest (keep, width) on the ladder whose recall over sample rows reaches the target, else
-    the one of best recall; with that recall. Samples are rows by hash, which don't count among their own
-    neighbours, neither in the truth, which is measured exactly, nor in what is found."""
+    the one of best recall; with that recall. Samples are rows by hash. They don't count among their own
+    neighbours, neither in the truth, which is measured exactly, nor in what is found; and under l2 and l2sqrt
+    they are displaced first, as a row's own edges would make it too easy a query."""
     from stellate.operators.knn import brute_force
     from stellate.operators.walk import search
 
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(samples)
+    if metric in ("l2", "l2sqrt"):
+        sample = displaced(sample, brute_force(sample, data, 1, "l2", without_self=True))
+    sample = sample.persist()
     truth = brute_force(sample, data, k, metric, without_self=True).persist()
     tried = []
     for keep, width in sorted(LADDER, key=lambda e: (e[0] * e[1], e)):
         tried.append((mean_recall(search(index, sample, k + 1, keep, width, metric).where("qid <> vec_id"), truth, k), keep, width))
         if tried[-1][0] >= target:
             break
-    truth.unpersist()
+    truth.unpersist(), sample.unpersist()
     best = tried[-1] if tried[-1][0] >= target else max(tried, key=lambda t: t[0])
     return best[1], best[2], best[0]
 
 
+def churn(table, queries: DataFrame, rounds, k: int = 10, keep: int = 64, width: int = 4, shard_rows: int = 20_000) -> DataFrame:
+    """Recall of a graph over a living index (sources.store.IndexTable) while that changes. Each round is three frames:
+    vec_id to delete, (vec_id, embedding) to update, and the same to insert under new ids; any may be None. After
+    each, and before the first, a row: round, live, deleted, and the mean recall against the rows that then live."""
+    from stellate.operators import walk
+    from stellate.operators.knn import brute_force
+    from stellate.sources.shared import checkpointed
+
+    index = checkpointed(walk.build(table.live(), shard_rows=shard_rows))
+    ever, told = table.live().select("vec_id"), []
+    for n, (gone, changed, new) in enumerate([(None, None, None), *rounds]):
+        if gone is not None:
+            table.delete(gone)
+        if changed is not None:
+            table.update(changed)
+        added = None if new is None else table.extend(new)
+        if added is not None:
+            ever = ever.unionByName(added.select(F.col("packed_id").alias("vec_id")))
+        live = table.live()
+        touched = [f.select(F.col(c).alias("vec_id")) for f, c in ((changed, "vec_id"), (added, "packed_id")) if f is not None]
+        if touched:
+            ids = reduce(DataFrame.unionByName, touched)
+            index = checkpointed(walk.extend(index, live.join(ids.distinct(), "vec_id", "left_semi")))
+        dead = ever.join(live, "vec_id", "left_anti")
+        found = walk.search(index, queries, k, keep, width, tombstones=dead)
+        told.append((n, *table.counts().first(), mean_recall(found, brute_force(queries, live, k), k)))
+    return queries.sparkSession.createDataFrame(told, "round int, live bigint, deleted bigint, recall double")
+
+
 def percentiles(samples: DataFrame, by: str, value: str) -> DataFrame:
     """Of each group: n, the median and the 95th and 99th percentile by linear interpolation, mean and sample deviation."""
     at = lambda p: F.percentile(value, p)

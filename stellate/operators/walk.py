@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from stellate.functions.metrics import InvalidArgument, check_metric, exact, rough, seed_ids
 from stellate.operators.blocks import check_k, matrix, pack, ranked, unpack, vectors
-from stellate.operators.graph import robust_prune
+from stellate.operators.cluster import nearest_centre
+from stellate.operators.graph import EXACT_ROWS, robust_prune
 from stellate.operators.knn import shown
 from stellate.operators.quantize import check_codes, pq_codes, pq_fit
 
@@ -46,6 +47,96 @@ def neighbours(x: np.ndarray, degree: int) -> np.ndarray:
     return out
 
 
+def _nearest_of(x: np.ndarray, near: np.ndarray, degree: int) -> np.ndarray:
+    """Of the candidates of each row, which may repeat and hold the row itself or -1, the nearest others."""
+    out = np.full((len(x), degree), -1, np.int32)
+    for i in range(0, len(x), 64):
+        c = np.sort(near[i : i + 64], axis=1)
+        d = np.round(((x[c] - x[i : i + 64, None]) ** 2).sum(2), 9)
+        d[:, 1:][c[:, 1:] == c[:, :-1]] = np.inf
+        d[(c == np.arange(i, i + len(c))[:, None]) | (c < 0)] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :degree]
+        found = np.where(np.isfinite(np.take_along_axis(d, order, 1)), np.take_along_axis(c, order, 1), -1)
+        out[i : i + 64, : found.shape[1]] = found
+    return out
+
+
+def _pointing(graph: np.ndarray, most: int) -> np.ndarray:
+    """The first `most` rows that point to each row; -1 where there are fewer."""
+    src, dst = np.repeat(np.arange(len(graph)), graph.shape[1]), graph.ravel()
+    src, dst = src[dst >= 0], dst[dst >= 0]
+    order = np.argsort(dst, kind="stable")
+    src, dst = src[order], dst[order]
+    place = np.arange(len(dst)) - np.searchsorted(dst, dst)
+    out = np.full((len(graph), most), -1, np.int32)
+    out[dst[place < most], place[place < most]] = src[place < most]
+    return out
+
+
+def descended(x: np.ndarray, degree: int, turns: int = 6, exact_rows: int = EXACT_ROWS, least_change: float = 1e-4) -> np.ndarray:
+    """neighbours() by descent: few rows are compared exactly, else a random start meets neighbours' neighbours."""
+    n = len(x)
+    if n <= max(exact_rows, degree + 1):
+        return neighbours(x, degree)
+    rng = np.random.default_rng(n)
+    deal, ahead = rng.permutation(n), rng.choice(n - 1, degree, replace=False) + 1
+    graph = np.empty((n, degree), np.int32)
+    graph[deal] = deal[(np.arange(n)[:, None] + ahead) % n]
+    for _ in range(turns):
+        around = np.hstack([graph, _pointing(graph, degree)])
+        met = np.where(around[:, :, None] >= 0, graph[around], -1).reshape(n, -1)
+        new = _nearest_of(x, np.hstack([around, met]), degree)
+        changed = (~(new[:, :, None] == graph[:, None, :]).any(2)).mean()
+        graph = new
+        if changed < least_change:
+            break
+    return graph
+
+
+def searched(x: np.ndarray, degree: int, exact_rows: int = EXACT_ROWS, rounds: int = 2) -> np.ndarray:
+    """neighbours() by descent, then by walks for every row in the graph so far."""
+    graph = descended(x, degree, 4, exact_rows)
+    for _ in range(rounds):
+        near = np.full((len(x), degree), -1, np.int32)
+        for i in range(len(x)):
+            seen, _ = walk(x[i], x, graph, "l2", 2 * degree, 2)
+            seen.pop(i, None)
+            at, d = np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), float, len(seen))
+            best = at[np.lexsort((at, np.round(d, 9)))[:degree]]
+            near[i, : len(best)] = best
+        graph = near
+    return graph
+
+
+def _means(x: np.ndarray, k: int, turns: int) -> np.ndarray:
+    centres = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
+    for _ in range(turns):
+        at = nearest_centre(x, centres)[0]
+        for c in np.unique(at):
+            centres[c] = x[at == c].mean(0)
+    return centres
+
+
+def coded(x: np.ndarray, degree: int) -> np.ndarray:
+    """neighbours() by product codes of the residuals to a few centres, with the nearest found put in exact order."""
+    n, dim = x.shape
+    parts = max(c for c in range(1, 5) if dim % c == 0)
+    centres = _means(x, max(2, min(8, n // 4)), 12)
+    y = centres[nearest_centre(x, centres)[0]]
+    rest = x - y
+    for sub in np.split(np.arange(dim), parts):
+        book = _means(rest[:, sub], 256, 8)
+        y[:, sub] += book[nearest_centre(rest[:, sub], book)[0]]
+    near = np.full((n, min(degree + 1, n)), -1, np.int32)
+    for i in range(0, n, 512):
+        near[i : i + 512] = np.argsort(np.round(rough("l2", x[i : i + 512], y), 9), axis=1, kind="stable")[:, : near.shape[1]]
+    return _nearest_of(x, near, degree)
+
+
+#: How the graph that is pruned comes about. A shard is small enough for the exact one, which is the usual.
+FIRST = {"exact": neighbours, "nn_descent": descended, "ivf_pq": coded, "iterative": searched}
+
+
 def prune_detours(graph: np.ndarray, degree: int) -> np.ndarray:
     """Detour pruning with reverse edges of one shard's graph, as operators.graph.optimize does it for edges."""
     n, first = graph.shape
@@ -85,10 +176,11 @@ def _row(shard: int, shards: int, degree: int, ids: np.ndarray, x: np.ndarray, g
     return pa.table([pa.array([c], t) for c, t in zip(row, TYPES)], names=NAMES)
 
 
-def build(data: DataFrame, kind: str = "cagra", degree: int = 16, first_degree: int = 32, alpha: float = 1.2, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """A graph index of `data`: detour pruning (cagra, and hnsw's base layer) or robust pruning (vamana)."""
-    if kind not in ("cagra", "hnsw", "vamana"):
-        raise InvalidArgument(f"unknown kind {kind!r}")
+def build(data: DataFrame, kind: str = "cagra", degree: int = 16, first_degree: int = 32, alpha: float = 1.2, shard_rows: int = SHARD_ROWS, first: str = "exact") -> DataFrame:
+    """A graph index of `data`: detour pruning (cagra, and hnsw's base layer) or robust pruning (vamana),
+    of a `first` graph that is exact or found in another way."""
+    if kind not in ("cagra", "hnsw", "vamana") or first not in FIRST:
+        raise InvalidArgument(f"unknown kind {kind!r} or first graph {first!r}")
     rows = vectors(data)
     shards = max(1, -(-rows.count() // shard_rows))
     rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v")
@@ -99,7 +191,7 @@ def build(data: DataFrame, kind: str = "cagra", degree: int = 16, first_degree:
         ids, x = table["id"].to_numpy(), matrix(table["v"])
         if not np.isfinite(x).all():
             raise InvalidArgument("a graph takes finite vectors only")
-        graph = neighbours(x, min(2 * degree if kind == "vamana" else first_degree, max(len(x) - 1, 1)))
+        graph = FIRST[first](x, min(2 * degree if kind == "vamana" else first_degree, max(len(x) - 1, 1)))
         graph = prune_robustly(x, graph, degree, alpha) if kind == "vamana" else prune_detours(graph, degree)
         return _row(key[0].as_py(), shards, degree, ids, x, graph)
 
@@ -162,6 +254,13 @@ def relink(x: np.ndarray, graph: np.ndarray, touched: np.ndarray, alpha: float =
     return graph
 
 
+def report(index: DataFrame) -> DataFrame:
+    """What a build made, one row: its shards, rows, and bytes of edges, vectors and codes."""
+    size = lambda c: F.coalesce(F.sum(F.length(c)), F.lit(0)).cast("bigint") if c in index.columns else F.lit(0).cast("bigint")
+    rows = F.coalesce(F.sum(F.length("ids") / 8), F.lit(0)).cast("bigint")
+    return index.agg(F.count("*").alias("shards"), rows.alias("n_rows"), size("graph").alias("graph_bytes"), size("matrix").alias("vector_bytes"), size("codes").alias("code_bytes"))
+
+
 def extend(index: DataFrame, data: DataFrame) -> DataFrame:
     """The index with the rows of `data` (vec_id, embedding): unknown ids come in, known ones get a new vector,
     and the graphs of their shards are mended around them. Of an id that comes twice one vector is taken, the

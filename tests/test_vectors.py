@@ -447,3 +447,51 @@ def test_saved_graphs(spark, graphed, tmp_path):
     index.where("shard <> 0").write.mode("overwrite").parquet(str(tmp_path / "0" / "shards"))
     with pytest.raises(InvalidArgument):
         store.load_graph(spark, str(tmp_path / "0"))
+
+
+def test_first_graphs(spark, graphed):
+    """Every way to the first graph gives full rows of others without repeats, near the exact ones."""
+    x = store.lcg_matrix(500, 8, 91).astype(float)
+    best = walk.neighbours(x, 12)
+    for name, least in (("nn_descent", 0.9), ("iterative", 0.9), ("ivf_pq", 0.3)):
+        found = walk.FIRST[name](x, 12) if name == "ivf_pq" else walk.FIRST[name](x, 12, exact_rows=10)
+        assert all(len(set(row) - {i, -1}) == 12 for i, row in enumerate(found.tolist())) or name == "ivf_pq"
+        assert all(i not in row for i, row in enumerate(found.tolist()))
+        assert np.mean([len(set(a) & set(b)) / 12 for a, b in zip(found.tolist(), best.tolist())]) >= least, name
+    for tiny in (1, 2, 5):
+        for make in walk.FIRST.values():
+            assert make(x[:tiny], 4).shape == (tiny, 4)
+    same = np.repeat(x[:1], 30, axis=0)
+    assert all((make(same, 4) >= -1).all() for make in walk.FIRST.values())
+    data, queries, best = graphed
+    for first in walk.FIRST:
+        assert hits(walk.search(walk.build(data, first=first, shard_rows=300), queries, 10, 64, 4), best) >= 0.9
+    with pytest.raises(InvalidArgument):
+        walk.build(data, first="other")
+
+
+def test_build_report(spark, graphed):
+    told = walk.report(walk.build(graphed[0], degree=8, shard_rows=300)).first()
+    assert (told.shards, told.n_rows, told.graph_bytes, told.vector_bytes, told.code_bytes) == (2, 600, 600 * 8 * 4, 600 * 8 * 8, 0)
+
+
+def test_calibration_displaces_its_samples(spark, graphed):
+    data = graphed[0]
+    near = knn.brute_force(data, data, 1, without_self=True)
+    moved = evaluate.displaced(data, near).join(data.withColumnRenamed("embedding", "old"), "vec_id").join(near.select(near["qid"].alias("vec_id"), "distance"), "vec_id")
+    for r in moved.collect():
+        assert abs(((np.array(r.embedding) - np.array(r.old)) ** 2).sum() - r.distance) < 1e-5
+    keep, width, found = evaluate.calibrate(walk.build(data, shard_rows=300).cache(), data, 0.9, samples=40)
+    assert (keep, width) in evaluate.LADDER and found >= 0.9
+
+
+def test_churn(spark, graphed, tmp_path):
+    """Recall is that of the rows which live after each round; deleted rows, also updated ones, come and go."""
+    data = graphed[0]
+    table = store.IndexTable(spark, str(tmp_path / "churn"))
+    table.create(data)
+    turned = data.select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    rounds = [(data.where("vec_id < 60").select("vec_id"), turned.where("vec_id between 50 and 99"), turned.where("vec_id >= 570")), (None, None, turned.where("vec_id < 40")), (None, None, None)]
+    told = evaluate.churn(table, graphed[1], rounds, 10, 64, shard_rows=300).orderBy("round").collect()
+    assert [(r.round, r.live, r.deleted) for r in told] == [(0, 600, 0), (1, 580, 20), (2, 620, 0), (3, 620, 0)]
+    assert all(r.recall >= 0.9 for r in told)
