@@ -165,7 +165,9 @@ def fit_rows(rows: list[np.ndarray], labels: list[int], bits: int = FEATURE_BITS
         if len(set(y[part])) < 2:
             own, part = rows, np.ones(len(rows), bool)
         r, w = _train(own, y[part], size)
-        margins[other] = [margin(rows[i], w[:-1] * r, r * r, w[-1]) for i in other]
+        weights, squares, bias = w[:-1] * r, r * r, w[-1]
+        margins[other] = [margin(rows[i], weights, squares, bias) for i in other]
+        del r, w, weights, squares
     slope, offset = _curve(margins, y)
     r, w = _train(rows, y, size)
     return Model((w[:-1] * r).astype(np.float32), (r * r).astype(np.float32), float(w[-1]), slope, offset)
