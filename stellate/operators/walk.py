@@ -376,6 +376,22 @@ def _best(metric: str, v, ids, x, graph, keep: int, width: int, mine, k: int):
     return at[best], d[best], 0, len(at)
 
 
+def _checked(metric: str, q: np.ndarray, ids: np.ndarray, x: np.ndarray, mine, found: list, k: int) -> list:
+    """The exact best k for each of the queries `q`: what walks found bounds how far they lie, and every row that
+    may be returned and lies within that bound is measured."""
+    open_ = np.arange(len(ids)) if mine is None else np.flatnonzero(mine)
+    y, out = x[open_], []
+    rough_d = rough(metric, q, y)
+    for v, far, (_, d, *told) in zip(q, rough_d, found):
+        # The bound holds only where k rows were found. Rough distances have rounding errors.
+        limit = d.max() if len(d) >= k else np.inf
+        at = open_[far <= limit + 1e-7 * (1.0 + abs(limit))] if len(d) >= k else open_
+        d = exact(metric, v, x[at]) if len(at) else np.empty(0)
+        best = np.lexsort((ids[at], np.round(d, 9)))[:k]
+        out.append((at[best], d[best], *told))
+    return out
+
+
 def _seen_vectors(r: dict, shipped):
     """ids, the vectors that a walk measures, and those to measure its best rows by, if these are others."""
     ids = np.frombuffer(r["ids"], np.int64)
@@ -389,15 +405,18 @@ def _seen_vectors(r: dict, shipped):
 
 def search(
     index: DataFrame, queries: DataFrame, k: int = 10, keep: int = 32, width: int = 2, metric: str = "l2", allow=None, tombstones: DataFrame | None = None, data: DataFrame | None = None,
-    counters: bool = False, books: np.ndarray | None = None,
+    counters: bool = False, books: np.ndarray | None = None, check: bool = False,
 ) -> DataFrame:
     """qid, rank, vec_id, distance of the best k rows that walks find. `keep` and `width` are the effort.
 
     A filter is a frame of ids, or a predicate over `data`, which must then be given. Rows that may not be
     returned are walked through. With `counters`, instead qid, shard, turns and rows seen of each walk.
     With the `books` of a quantized index walks go by codes, and the best `keep` rows that may be returned are
-    measured again by their vectors where the index holds them."""
+    measured again by their vectors where the index holds them. With `check` an exact check follows: all rows of a
+    shard that may be returned and lie no farther than the kth that its walk found are measured, so none is missed."""
     check_metric(metric), check_k(k)
+    if check and (books is not None or "matrix" not in index.columns):
+        raise InvalidArgument("an exact check goes by walks over vectors")
     if books is None and "matrix" not in index.columns or books is not None and "codes" not in index.columns:
         raise InvalidArgument("the index holds neither vectors nor codes for this search")
     keep = max(keep, k)
@@ -418,8 +437,8 @@ def search(
                 if not plain:
                     mine = np.isin(ids, r["only"] or []) if "only" in r else np.ones(len(ids), bool)
                     mine &= ~np.isin(ids, r.get("gone") or [])
-                for qid, v in zip(qids, q):
-                    at, d, turns, seen = _best(metric, v, ids, x, graph, keep, width, mine, k if y is None else keep)
+                met = [_best(metric, v, ids, x, graph, keep, width, mine, k if y is None else keep) for v in q]
+                for qid, v, (at, d, turns, seen) in zip(qids, q, _checked(metric, q, ids, x, mine, met, k) if check else met):
                     if y is not None:
                         d = exact(metric, v, y[at])
                         order = np.lexsort((ids[at], np.round(d, 9)))[:k]
