@@ -232,25 +232,29 @@ def _shards(index: DataFrame) -> int:
 
 
 def relink(x: np.ndarray, graph: np.ndarray, touched: np.ndarray, alpha: float = 1.2) -> np.ndarray:
-    """The graph with new edges for the rows `touched`, whose vectors are new: each points to the nearest rows
-    that a walk finds, and every row that any of them points to is pruned anew among its edges and them.
-    Rows go in chunks, so that later ones can find earlier ones."""
+    """The graph with new edges for the rows `touched`, whose vectors are new. Edges to them, which told where they
+    lay before, go, and rows that lose most of theirs so are linked anew as well. Each row linked anew points to the
+    robustly pruned ones of its nearest rows in the shard, which are found exactly, and every row among those is
+    pruned anew among its own edges and the rows it is near to."""
     graph, (n, degree) = graph.copy(), graph.shape
-    step = min(max(n // 64, 256), 4096)
-    for i in range(0, len(touched), step):
-        chunk, named = touched[i : i + step], {}
-        for t in chunk.tolist():
-            seen, _ = walk(x[t], x, graph, "l2", degree + 1, 1)
-            seen.pop(t, None)
-            at, d = np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), float, len(seen))
-            near = at[np.lexsort((at, np.round(d, 9)))[:degree]]
-            graph[t, : len(near)], graph[t, len(near) :] = near, -1
-            for y in near.tolist():
+    stale = np.isin(graph, touched)
+    before = (graph >= 0).sum(1)
+    graph[stale] = -1
+    again = np.union1d(touched, np.flatnonzero((graph >= 0).sum(1) < (before + 1) // 2))
+    named: dict[int, list[int]] = {}
+    for i in range(0, len(again), 512):
+        chunk = again[i : i + 512]
+        d = np.round(rough("l2", x[chunk], x), 9)
+        d[np.arange(len(chunk)), chunk] = np.inf
+        for t, row in zip(chunk.tolist(), np.argsort(d, axis=1, kind="stable")[:, : min(2 * degree, n - 1)]):
+            kept = row[robust_prune(x[t], x[row], row, degree, alpha)]
+            graph[t, : len(kept)], graph[t, len(kept) :] = kept, -1
+            for y in row.tolist():
                 named.setdefault(y, []).append(t)
-        for y, new in sorted(named.items()):
-            near = np.unique(np.r_[graph[y][graph[y] >= 0], new])
-            kept = near if len(near) <= degree else near[robust_prune(x[y], x[near], near, degree, alpha)]
-            graph[y, : len(kept)], graph[y, len(kept) :] = kept, -1
+    for y, new in sorted(named.items()):
+        near = np.unique(np.r_[graph[y][graph[y] >= 0], new])
+        kept = near if len(near) <= degree else near[robust_prune(x[y], x[near], near, degree, alpha)]
+        graph[y, : len(kept)], graph[y, len(kept) :] = kept, -1
     return graph
 
 

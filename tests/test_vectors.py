@@ -510,3 +510,21 @@ def test_checked_walks_are_exact(spark, metric):
         assert rows(walk.search(index, queries, 10, 10, 1, metric, check=True, **more), "qid", "rank", "vec_id", "distance") == best(where)
     with pytest.raises(InvalidArgument):
         walk.search(walk.detach(index), queries, check=True)
+
+
+def test_relinked_graphs_are_as_good_as_new_ones():
+    """In data without structure, rows that come in and rows that move are found, and no edge tells of an old place."""
+    x = np.random.default_rng(6).normal(size=(2500, 64))
+    moved = np.arange(len(x)) % 7 == 0
+    old = np.where(moved[:, None], -x, x)
+    graph = np.full((2500, 16), -1, np.int32)
+    graph[:2000] = walk.prune_detours(walk.neighbours(old[:2000], 32), 16)
+    touched = np.flatnonzero(moved | (np.arange(2500) >= 2000))
+    after, hit = walk.relink(x, graph, touched), 0
+    for i in range(0, 2500, 25):
+        seen, _ = walk.walk(x[i], x, after, "l2", 48, 2)
+        d = ((x - x[i]) ** 2).sum(1)
+        hit += len(set(sorted(seen, key=seen.get)[:10]) & set(np.argsort(d)[:10].tolist()))
+    assert hit / 1000 >= 0.95
+    told = [row[row >= 0].tolist() for row in after]
+    assert all(i not in row and len(row) == len(set(row)) > 0 for i, row in enumerate(told))
