@@ -528,3 +528,17 @@ def test_relinked_graphs_are_as_good_as_new_ones():
     assert hit / 1000 >= 0.95
     told = [row[row >= 0].tolist() for row in after]
     assert all(i not in row and len(row) == len(set(row)) > 0 for i, row in enumerate(told))
+
+
+def test_graphs_hold_recall_over_rounds_of_moves():
+    """A graph that is mended again and again, as a living index is, in data without structure."""
+    x = np.random.default_rng(8).normal(size=(2000, 64))
+    graph = walk.prune_detours(walk.neighbours(x, 32), 16)
+    for turn in range(3):
+        touched, hit = np.arange(turn, 2000, 5), 0
+        x[touched] *= -1
+        graph = walk.relink(x, graph, touched)
+        for i in range(0, 2000, 25):
+            seen, _ = walk.walk(x[i], x, graph, "l2", 48, 2)
+            hit += len(set(sorted(seen, key=seen.get)[:10]) & set(np.argsort(((x - x[i]) ** 2).sum(1))[:10].tolist()))
+        assert hit / 800 >= 0.95, turn
