@@ -542,3 +542,20 @@ def test_graphs_hold_recall_over_rounds_of_moves():
             seen, _ = walk.walk(x[i], x, graph, "l2", 48, 2)
             hit += len(set(sorted(seen, key=seen.get)[:10]) & set(np.argsort(((x - x[i]) ** 2).sum(1))[:10].tolist()))
         assert hit / 800 >= 0.95, turn
+
+
+@pytest.mark.parametrize("kind", ["pq", "rabitq", "scann"])
+def test_shortlists_of_whole_blocks_are_not_listed(spark, kind):
+    """A shortlist that leaves nothing out is measured where its rows lie, exactly: no row for each pair comes out."""
+    x = np.random.default_rng(9).normal(size=(3000, 16)).round(3)
+    data = frame(spark, x).cache()
+    queries, index = data.where("vec_id % 100 = 0"), ivf.build(data, kind, 4, 3, pq_m=4, pq_bits=4)
+    for metric in ("l2", "cosine"):
+        got = ivf.search(index, queries, 10, nprobe=4, metric=metric, krefine=3000, original=data)
+        assert rows(got, "qid", "rank", "vec_id", "distance") == rows(knn.brute_force(queries, data, 10, metric), "qid", "rank", "vec_id", "distance")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 4  # probe, two sides packed, and blocks measured
+    found = index.rows.select("vec_id", "list_id", "scale", "code", F.concat("embedding", "embedding").alias("v"))
+    q = ivf.vectors(queries)
+    near = ivf._measured(index, ivf.probe(q, index.centres, 4), q, index.rows, ivf.vectors(data), "l2", 10)
+    assert near.count() <= 30 * 10 * ivf._pack_coded(found).count()
