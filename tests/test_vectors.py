@@ -559,3 +559,17 @@ def test_shortlists_of_whole_blocks_are_not_listed(spark, kind):
     q = ivf.vectors(queries)
     near = ivf._measured(index, ivf.probe(q, index.centres, 4), q, index.rows, ivf.vectors(data), "l2", 10)
     assert near.count() <= 30 * 10 * ivf._pack_coded(found).count()
+
+
+@pytest.mark.parametrize("kind", ["pq", "rabitq", "scann"])
+def test_shortlists_are_widened_by_the_codes_error(spark, kind):
+    """In data without structure a short shortlist misses rows that coarse codes can't tell; by their error they are found."""
+    data = frame(spark, np.random.default_rng(10).normal(size=(3000, 32)).round(3)).cache()
+    queries, index = data.where("vec_id % 60 = 0"), ivf.build(data, kind, 4, 3, pq_m=4, pq_bits=4)
+    best = knn.brute_force(queries, data, 10).cache()
+    assert hits(ivf.search(index, queries, 10, nprobe=4, krefine=20, original=data), best) < 0.8
+    found = ivf.search(index, queries, 10, nprobe=4, krefine=20, original=data, sure=3.0)
+    assert hits(found, best) >= 0.95
+    assert found.groupBy("qid").count().where("count <> 10").count() == 0 and found.select("qid", "vec_id").distinct().count() == 500
+    with pytest.raises(InvalidArgument):
+        ivf.search(index, queries, sure=-1.0, original=data)
