@@ -112,6 +112,30 @@ def nearest(pairs: DataFrame, metric: str, k: int, p: float = 2.0, without_self:
     return pairs.drop("d_grp").mapInArrow(run, "qid bigint, vec_id bigint, d double")
 
 
+def within(pairs: DataFrame, k: int) -> DataFrame:
+    """qid, vec_id, d: of every pair of blocks the rows but itself, k at most, that lie within a query's bound, which
+    is the last element of its vector."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                (qids, m), (ids, y) = unpack(row["q_ids"], row["q_matrix"], row["q_dim"]), unpack(row["d_ids"], row["d_matrix"], row["d_dim"])
+                x, bound, out = m[:, :-1], m[:, -1], []
+                if x.shape[1] != y.shape[1]:
+                    raise InvalidArgument("queries and data differ in length")
+                # Rough distances have rounding errors.
+                at, near = np.nonzero(rough("l2", x, y) <= (bound + 1e-7 * (1.0 + bound))[:, None])
+                ends = np.searchsorted(at, np.arange(len(qids) + 1))
+                for n in np.unique(at):
+                    own = near[ends[n] : ends[n + 1]]
+                    found, dist = best("l2", x[n], ids[own], y[own], k, own_id=qids[n])
+                    out.append((np.full(len(found), qids[n]), found, dist))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["qid", "vec_id", "d"])
+
+    return pairs.drop("d_grp").mapInArrow(run, "qid bigint, vec_id bigint, d double")
+
+
 def ranked(found: DataFrame, k: int, order: str = "d") -> DataFrame:
     """The best k of each query: qid, rank (from 1), vec_id and `order`; ties by id."""
     by = Window.partitionBy("qid").orderBy(F.round(order, RANK_DIGITS), "vec_id")
@@ -124,4 +148,4 @@ def check_k(k: int) -> int:
     return k
 
 
-__all__ = ["ROWS", "best", "check_k", "check_metric", "matrix", "nearest", "pack", "paired", "ranked", "unpack", "vectors"]
+__all__ = ["ROWS", "best", "check_k", "check_metric", "matrix", "nearest", "pack", "paired", "ranked", "unpack", "vectors", "within"]

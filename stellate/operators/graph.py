@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stellate.functions.metrics import InvalidArgument, column, rough
-from stellate.operators.blocks import vectors
+from stellate.operators.blocks import pack, paired, ranked, vectors, within
 from stellate.operators.knn import all_neighbors
 from stellate.sources.shared import checkpointed
 
@@ -54,6 +54,19 @@ def nn_descent(data: DataFrame, degree: int = 16, iterations: int = 6, least_cha
     return edges
 
 
+def completed(edges: DataFrame, data: DataFrame, degree: int = 16) -> DataFrame:
+    """A graph of `data` made exact: each row's farthest neighbour in `edges` bounds how far its nearest rows lie, and
+    all rows within that bound are measured, block by block. The nearer the graph was, the fewer these are."""
+    rows = vectors(data)
+    x = rows.select(F.col("id").alias("src"), F.col("v").alias("x"))
+    far = edges.join(x, "src").join(rows.select(F.col("id").alias("dst"), F.col("v").alias("y")), "dst").select("src", column("l2", F.col("x"), F.col("y")).alias("d"))
+    # A row with fewer edges than asked for has no bound.
+    bounds = far.groupBy("src").agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(F.lit(1e300)).alias("bound"))
+    asked = rows.join(bounds.withColumnRenamed("src", "id"), "id", "left").select("id", F.concat("v", F.array(F.coalesce("bound", F.lit(1e300)))).alias("v"))
+    found = ranked(within(paired(pack(asked), pack(rows)), degree), degree)
+    return found.select(F.col("qid").alias("src"), (F.col("rank") - 1).alias("rank"), F.col("vec_id").alias("dst"))
+
+
 def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
 

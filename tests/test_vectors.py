@@ -573,3 +573,14 @@ def test_shortlists_are_widened_by_the_codes_error(spark, kind):
     assert found.groupBy("qid").count().where("count <> 10").count() == 0 and found.select("qid", "vec_id").distinct().count() == 500
     with pytest.raises(InvalidArgument):
         ivf.search(index, queries, sure=-1.0, original=data)
+
+
+def test_a_descended_graph_is_completed(spark):
+    """Where descent misses neighbours, also of equal rows, the check finds them all; a row without edges is no exception."""
+    x = np.random.default_rng(12).normal(size=(1500, 32)).round(3)
+    data = frame(spark, np.vstack([x, x[:30], x[:30]])).repartition(3)
+    edges = graph.nn_descent(data, 8, 1, exact_rows=10).cache()
+    exact = rows(graph.knn_graph(data, 8), "src", "rank", "dst")
+    assert rows(edges, "src", "rank", "dst") != exact
+    assert rows(graph.completed(edges, data, 8), "src", "rank", "dst") == exact
+    assert rows(graph.completed(edges.where("src > 40 and rank < 5 or src > 700"), data, 8), "src", "rank", "dst") == exact
