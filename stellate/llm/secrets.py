@@ -6,8 +6,8 @@ and letters that stands near a sensitive word is a candidate. Its novelty is the
 of compressed bytes it adds to the text around it, under a zstandard dictionary of code
 and identifiers, for each of its characters: names made of known words compress well,
 random strings do not. The dictionary holds a short list of common code and the frequent
-words of the corpus itself, learnt from at most DICTIONARY_ROWS documents, those of least
-hash of their id; strings of 16 characters with two digits, which may be secrets, are left out of it. Copies of a
+words of the corpus itself, counted over all rows, of which those that stand under one id alone and
+strings of 16 characters with two digits, which may be secrets, are left out. Copies of a
 candidate in the text around it are taken out before measuring. Candidates of at least
 `novelty` are reported as novel. Spans of the fixed forms get a novelty too, and stay
 whatever it is. What is no candidate by design: strings under 16 characters, without digits
@@ -59,18 +59,19 @@ DICTIONARY = (
 ).encode()
 
 
-#: Documents that the corpus's part of the dictionary is learnt from at most, and words and bytes of it at most.
-DICTIONARY_ROWS, DICTIONARY_WORDS, DICTIONARY_BYTES = 2000, 8192, 48 << 10
+#: Words and bytes of the corpus's part of the dictionary at most.
+DICTIONARY_WORDS, DICTIONARY_BYTES = 8192, 48 << 10
 
 
-def learn_dictionary(docs: DataFrame, rows: int = DICTIONARY_ROWS, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """The frequent words of a sample of `docs`, the most frequent last, and the fixed list after them."""
-    texts = text_rows(docs, id_col, text_col).where("doc_id is not null")
-    chosen = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
+def learn_dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> bytes:
+    """The words that stand in most rows of `docs`, the most frequent last, and the fixed list after them. All rows
+    are read; words that stand under one id alone are left out, however often its row is repeated."""
     words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_.-]{4,39}"), F.lit(0)))).alias("word")
-    counts = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", words).groupBy("word").agg(F.countDistinct("doc_id").alias("n"))
+    # Tasks count before they shuffle, so what moves is words of a task, not of a text.
+    counts = text_rows(docs, id_col, text_col).select("doc_id", words).groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
     secret = (F.length("word") >= 16) & F.col("word").rlike("[0-9].*[0-9]")
-    found = counts.where((F.col("n") > 1) & ~secret).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()
+    # Each task sends its best words to the driver, so they are few.
+    found = counts.where((F.col("a") < F.col("z")) & ~secret).select("word", "n").repartition(8).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()
     kept, size = [], 0
     for row in found:
         size += len(row["word"]) + 1

@@ -278,6 +278,13 @@ def test_recall_and_false_alarms_of_novel_strings(spark):
     assert secrets.learn_dictionary(spark.createDataFrame([], "doc_id bigint, text string")) == b" " + secrets.DICTIONARY
 
 
+def test_dictionary_counts_every_row(spark):
+    """Words of two documents are learnt wherever these lie; those of one id are not, though its row be repeated."""
+    rows = [(i, f"common pair{i // 2}word") for i in range(5000)] + [(5001, "lonely")] * 5 + [(None, "nobody")] * 3
+    words = secrets.learn_dictionary(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).decode().removesuffix(" " + secrets.DICTIONARY.decode()).split()
+    assert words[-1] == "common" and sorted(words[:-1]) == sorted(f"pair{i}word" for i in range(2500))
+
+
 def test_redaction_takes_only_secrets(docs):
     got = by_id(secrets.redact(docs).select("doc_id", "text", "n_chars"))
     assert got[15] == ('x [SECRET]" y', 13) and got[5] == (BASE, len(BASE)) and got[0] == (None, None) and got[16] == ("[SECRET]", 8)
