@@ -221,7 +221,7 @@ def _pack_coded(rows: DataFrame, size: int = ROWS) -> DataFrame:
     return rows.select("vec_id", "list_id", "scale", "code", "v").mapInArrow(run, "grp bigint, ids binary, scales binary, codes binary, matrix binary")
 
 
-def _may_reach(kind: str, centre: np.ndarray, books, q: np.ndarray, x: np.ndarray, codes: np.ndarray, limits: np.ndarray, sure: float) -> np.ndarray:
+def may_reach(kind: str, centre: np.ndarray, books, q: np.ndarray, x: np.ndarray, codes: np.ndarray, limits: np.ndarray, sure: float) -> np.ndarray:
     """For each query which rows' distances, by their codes, may be within its limit: the estimate less `sure`
     standard deviations, as they would be if what a code leaves out had any direction."""
     dim = len(centre)
@@ -255,7 +255,7 @@ def _measured(index: IvfIndex, found: DataFrame, q: DataFrame, rows: DataFrame,
                 d, y = rough(metric, x, both[:, dim:]), both[:, dim:]
                 if np.isfinite(limits).all():
                     codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
-                    d = np.where(_may_reach(kind, centres[r["grp"]], books, space, both[:, :dim], codes, limits, sure), d, np.inf)
+                    d = np.where(may_reach(kind, centres[r["grp"]], books, space, both[:, :dim], codes, limits, sure), d, np.inf)
                 kth = min(k, len(ids)) - 1
                 # The rough distances choose; what lies within their error is measured again.
                 limit = np.partition(d, kth, axis=1)[:, kth]

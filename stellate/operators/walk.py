@@ -25,6 +25,7 @@ from stellate.functions.metrics import InvalidArgument, check_metric, exact, rou
 from stellate.operators.blocks import check_k, matrix, pack, ranked, unpack, vectors
 from stellate.operators.cluster import nearest_centre
 from stellate.operators.graph import EXACT_ROWS, robust_prune
+from stellate.operators.ivf import may_reach
 from stellate.operators.knn import shown
 from stellate.operators.quantize import check_codes, pq_codes, pq_fit
 
@@ -396,6 +397,25 @@ def _checked(metric: str, q: np.ndarray, ids: np.ndarray, x: np.ndarray, mine, f
     return out
 
 
+def _remeasured(metric: str, q: np.ndarray, ids: np.ndarray, y: np.ndarray, codes: np.ndarray, books, mine, found: list, k: int, sure: float | None) -> list:
+    """The best k by their vectors of what walks by codes found for each of the queries `q`; with `sure`, of all
+    rows as well that may be returned and that their codes' error leaves as near."""
+    def measured(v, at):
+        d = exact(metric, v, y[at]) if len(at) else np.empty(0)
+        best = np.lexsort((ids[at], np.round(d, 9)))[:k]
+        return at[best], d[best]
+
+    out = [(*measured(v, at), *told) for v, (at, _, *told) in zip(q, found)]
+    if sure is None:
+        return out
+    # Where fewer than k were found there is no limit.
+    limits = np.array([((y[at] - v) ** 2).sum(1).max() if len(at) >= k else 1e300 for v, (at, *_) in zip(q, out)])
+    near = may_reach("pq", np.zeros(y.shape[1]), books, q, y, codes, limits, sure)
+    if mine is not None:
+        near &= mine
+    return [(*measured(v, np.union1d(at, np.flatnonzero(row))), *told) for v, row, (at, _, *told) in zip(q, near, out)]
+
+
 def _seen_vectors(r: dict, shipped):
     """ids, the vectors that a walk measures, and those to measure its best rows by, if these are others."""
     ids = np.frombuffer(r["ids"], np.int64)
@@ -409,7 +429,7 @@ def _seen_vectors(r: dict, shipped):
 
 def search(
     index: DataFrame, queries: DataFrame, k: int = 10, keep: int = 32, width: int = 2, metric: str = "l2", allow=None, tombstones: DataFrame | None = None, data: DataFrame | None = None,
-    counters: bool = False, books: np.ndarray | None = None, check: bool = False,
+    counters: bool = False, books: np.ndarray | None = None, check: bool = False, sure: float | None = None,
 ) -> DataFrame:
     """qid, rank, vec_id, distance of the best k rows that walks find. `keep` and `width` are the effort.
 
@@ -417,8 +437,11 @@ def search(
     returned are walked through. With `counters`, instead qid, shard, turns and rows seen of each walk.
     With the `books` of a quantized index walks go by codes, and the best `keep` rows that may be returned are
     measured again by their vectors where the index holds them. With `check` an exact check follows: all rows of a
-    shard that may be returned and lie no farther than the kth that its walk found are measured, so none is missed."""
+    shard that may be returned and lie no farther than the kth that its walk found are measured, so none is missed. With `sure` and `books` so
+    are all rows that by their codes, allowing for that many standard deviations of the codes' error, are as near."""
     check_metric(metric), check_k(k)
+    if sure is not None and (books is None or "matrix" not in index.columns or not sure >= 0):
+        raise InvalidArgument("sure is a number of standard deviations of codes, beside vectors")
     if check and (books is not None or "matrix" not in index.columns):
         raise InvalidArgument("an exact check goes by walks over vectors")
     if books is None and "matrix" not in index.columns or books is not None and "codes" not in index.columns:
@@ -442,11 +465,9 @@ def search(
                     mine = np.isin(ids, r["only"] or []) if "only" in r else np.ones(len(ids), bool)
                     mine &= ~np.isin(ids, r.get("gone") or [])
                 met = [_best(metric, v, ids, x, graph, keep, width, mine, k if y is None else keep) for v in q]
-                for qid, v, (at, d, turns, seen) in zip(qids, q, _checked(metric, q, ids, x, mine, met, k) if check else met):
-                    if y is not None:
-                        d = exact(metric, v, y[at])
-                        order = np.lexsort((ids[at], np.round(d, 9)))[:k]
-                        at, d = at[order], d[order]
+                if y is not None:
+                    met = _remeasured(metric, q, ids, y, np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1), shipped.value, mine, met, k, sure)
+                for qid, (at, d, turns, seen) in zip(qids, _checked(metric, q, ids, x, mine, met, k) if check else met):
                     out.append(((qid,), (r["shard"],), np.int32([turns]), np.int32([seen])) if counters else (np.full(len(at), qid), ids[at], d))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 

@@ -584,3 +584,17 @@ def test_a_descended_graph_is_completed(spark):
     assert rows(edges, "src", "rank", "dst") != exact
     assert rows(graph.completed(edges, data, 8), "src", "rank", "dst") == exact
     assert rows(graph.completed(edges.where("src > 40 and rank < 5 or src > 700"), data, 8), "src", "rank", "dst") == exact
+
+
+def test_walks_by_codes_are_widened_by_the_codes_error(spark):
+    """In data without structure the best rows by coarse codes miss neighbours; by the codes' error they are found."""
+    data = frame(spark, np.random.default_rng(14).normal(size=(2000, 32)).round(3)).cache()
+    queries = data.where("vec_id % 50 = 0")
+    index, books = walk.quantize(walk.build(data, shard_rows=1100).cache(), data, 4, 4)
+    best = knn.brute_force(queries, data, 10).cache()
+    assert hits(walk.search(index, queries, 10, 32, 2, books=books), best) < 0.8
+    assert hits(walk.search(index, queries, 10, 32, 2, books=books, sure=3.0), best) >= 0.95
+    some = walk.search(index, queries, 10, 32, 2, books=books, sure=3.0, tombstones=data.where("vec_id % 4 = 1"))
+    assert hits(some, knn.brute_force(queries, data.where("vec_id % 4 <> 1"), 10)) >= 0.95 and some.where("vec_id % 4 = 1").count() == 0
+    with pytest.raises(InvalidArgument):
+        walk.search(index, queries, sure=3.0)
