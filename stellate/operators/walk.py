@@ -37,6 +37,17 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
+def _least(d: np.ndarray, m: int) -> np.ndarray:
+    """Places of the m least values of each row, by value, then place; rows are sorted no further than that."""
+    if not 0 < m < d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")[:, :m]
+    out, limit = np.empty((len(d), m), np.int64), np.partition(d, m - 1, axis=1)[:, m - 1]
+    for n, row in enumerate(d):
+        at = np.flatnonzero(row <= limit[n])
+        out[n] = at[np.argsort(row[at], kind="stable")[:m]]
+    return out
+
+
 def neighbours(x: np.ndarray, degree: int) -> np.ndarray:
     """The nearest other rows of each row, by distance, then place; -1 where there are too few."""
     n, out = len(x), np.full((len(x), degree), -1, np.int32)
@@ -44,19 +55,20 @@ def neighbours(x: np.ndarray, degree: int) -> np.ndarray:
     for i in range(0, n, 512):
         d = np.round(rough("l2", x[i : i + 512], x), 9)
         d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        out[i : i + 512, :m] = np.argsort(d, axis=1, kind="stable")[:, :m]
+        out[i : i + 512, :m] = _least(d, m)
     return out
 
 
 def _nearest_of(x: np.ndarray, near: np.ndarray, degree: int) -> np.ndarray:
     """Of the candidates of each row, which may repeat and hold the row itself or -1, the nearest others."""
-    out = np.full((len(x), degree), -1, np.int32)
+    out, norm = np.full((len(x), degree), -1, np.int32), (x * x).sum(1)
     for i in range(0, len(x), 64):
         c = np.sort(near[i : i + 64], axis=1)
-        d = np.round(((x[c] - x[i : i + 64, None]) ** 2).sum(2), 9)
+        own = x[i : i + 64]
+        d = np.round(np.maximum(norm[c] + norm[i : i + 64, None] - 2.0 * np.matmul(x[c], own[:, :, None])[:, :, 0], 0.0), 9)
         d[:, 1:][c[:, 1:] == c[:, :-1]] = np.inf
         d[(c == np.arange(i, i + len(c))[:, None]) | (c < 0)] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :degree]
+        order = _least(d, degree)
         found = np.where(np.isfinite(np.take_along_axis(d, order, 1)), np.take_along_axis(c, order, 1), -1)
         out[i : i + 64, : found.shape[1]] = found
     return out
@@ -130,7 +142,7 @@ def coded(x: np.ndarray, degree: int) -> np.ndarray:
         y[:, sub] += book[nearest_centre(rest[:, sub], book)[0]]
     near = np.full((n, min(degree + 1, n)), -1, np.int32)
     for i in range(0, n, 512):
-        near[i : i + 512] = np.argsort(np.round(rough("l2", x[i : i + 512], y), 9), axis=1, kind="stable")[:, : near.shape[1]]
+        near[i : i + 512] = _least(np.round(rough("l2", x[i : i + 512], y), 9), near.shape[1])
     return _nearest_of(x, near, degree)
 
 
@@ -247,7 +259,7 @@ def relink(x: np.ndarray, graph: np.ndarray, touched: np.ndarray, alpha: float =
         chunk = again[i : i + 512]
         d = np.round(rough("l2", x[chunk], x), 9)
         d[np.arange(len(chunk)), chunk] = np.inf
-        for t, row in zip(chunk.tolist(), np.argsort(d, axis=1, kind="stable")[:, : min(2 * degree, n - 1)]):
+        for t, row in zip(chunk.tolist(), _least(d, min(2 * degree, n - 1))):
             kept = row[robust_prune(x[t], x[row], row, degree, alpha)]
             graph[t, : len(kept)], graph[t, len(kept) :] = kept, -1
             for y in row.tolist():
