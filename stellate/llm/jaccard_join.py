@@ -55,6 +55,8 @@ LIST_BLOCK = 512
 PARITY_BITS, FOLDED_BITS = 2048, 512
 #: Ids that a semi-join may broadcast: 8 bytes each.
 BROADCAST_IDS = 200_000
+#: Pairs with the first documents of lists that are all verified at once, whether others join them or not.
+FEW_PAIRS = 100_000
 #: Pairs across parts beyond which another round of comparisons with centres pays, and links it must have found to pay again.
 MANY_PAIRS, MOST_ROUNDS, FEW_LINKS = 50_000_000, 3, 100
 
@@ -228,6 +230,7 @@ def shared_postings(marked: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked, checked exactly."""
     pairs = checkpointed(pairs.distinct())
+    freed(texts.sparkSession)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     named = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -272,12 +275,16 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     near = lists.where("doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"))
     near = checkpointed(_plausible(near, about, percent))
     freed(docs.sparkSession)
-    most = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    links = verify(most.select("a", "b"), texts, words, percent)
-    freed(docs.sparkSession)
-    rest = checkpointed(_apart(near.select("a", "b").join(most, ["a", "b"], "left_anti"), components(links)))
-    freed(docs.sparkSession)
-    links = links.unionByName(verify(rest, texts, words, percent))
+    if near.count() <= FEW_PAIRS:
+        # Choosing among few pairs takes more steps than it spares.
+        links = verify(near.select("a", "b"), texts, words, percent)
+    else:
+        most = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+        links = verify(most.select("a", "b"), texts, words, percent)
+        freed(docs.sparkSession)
+        rest = checkpointed(_apart(near.select("a", "b").join(most, ["a", "b"], "left_anti"), components(links)))
+        freed(docs.sparkSession)
+        links = links.unionByName(verify(rest, texts, words, percent))
     freed(docs.sparkSession)
 
     # A list's first document has met all others of its list; one of a split list has not.
@@ -355,14 +362,18 @@ def _told(lists: DataFrame, of_tokens: DataFrame) -> DataFrame:
 
 def _across(lists: DataFrame, about: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The lists that hold documents of more than one part, with what is known of each,
-    less the documents that can link with none of their list."""
+    less the documents that can link with none of their list. In steps, as one plan of them all fills the driver."""
     placed = about.join(parts.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
     placed = lists.join(placed.drop("parity", "folded"), "doc")
-    mixed = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("n").alias("least"), F.max("most").alias("top")).where("x <> y")
+    mixed = checkpointed(placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("n").alias("least"), F.max("most").alias("top")).where("x <> y"))
+    freed(lists.sparkSession)
     able = _told(placed, mixed.select("token", "least", "top"))
-    able = able.where(_fits(F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), F.col("most"), F.col("top"), percent)).drop("least", "top")
+    able = checkpointed(able.where(_fits(F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), F.col("most"), F.col("top"), percent)).drop("least", "top"))
+    freed(lists.sparkSession)
     still = able.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-    return checkpointed(_told(able, still).join(about.select("doc", "folded"), "doc"))
+    found = checkpointed(_told(able, still).join(about.select("doc", "folded"), "doc"))
+    freed(lists.sparkSession)
+    return found
 
 
 def _pairs_across(lists: DataFrame) -> int:
@@ -375,7 +386,8 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
     joined by themselves, unless both hold a single part, the same."""
     blocks = checkpointed(lists.groupBy("token", "block").agg(F.min("part").alias("x"), F.max("part").alias("y")))
     first, second = (blocks.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "x", "y"))) for k in "xy")
-    meet = first.join(second, "token").where("block_x <= block_y and (x_x <> y_x or x_y <> y_y or x_x <> x_y)").select("token", "block_x", "block_y")
+    meet = checkpointed(first.join(second, "token").where("block_x <= block_y and (x_x <> y_x or x_y <> y_y or x_x <> x_y)").select("token", "block_x", "block_y"))
+    freed(lists.sparkSession)
     x, y = (
         lists.select("token", F.col("block").alias(f"block_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "most", "place", "matches", "part", "folded"))).join(meet, ["token", f"block_{k}"])
         for k in "xy"

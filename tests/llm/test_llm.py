@@ -189,6 +189,27 @@ def test_jaccard_components_against_brute_force(spark, docs, monkeypatch, n, per
     assert {i: got[i] for i in want} == want and got[None] == (1, None)
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_jaccard_join_runs_no_plan_that_fills_the_driver(spark, monkeypatch, few):
+    """What the driver holds of a plan grows with its exchanges, times the tasks of each. Parts are exact whether pairs are few or not."""
+    exchanges, kept = [], jaccard_join.checkpointed
+
+    def counted(df):
+        exchanges.append(len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange (?:hash|single|round|range)", df._jdf.queryExecution().executedPlan().toString(), re.I)))
+        return kept(df)
+
+    monkeypatch.setattr(jaccard_join, "checkpointed", counted)
+    monkeypatch.setattr(jaccard_join, "FEW_PAIRS", few)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = by_id(jaccard_join.link(spark.createDataFrame(list(crowd().items()), "doc_id bigint, text string"), words=3, percent=60))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == brute_links(crowd(), 3, 60)
+    assert max(exchanges) <= 16
+
+
 def test_multi_match_prefixes_hold_every_link():
     r = random.Random(2)
     for _ in range(300):
