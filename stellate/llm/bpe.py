@@ -33,10 +33,11 @@ from .common import Kept, held, map_batches, text_rows
 #: White space is spelled out, since libraries differ on the control characters.
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 NOT_SPACE = SPACE.replace("[", "[^")
-PATTERN = (
+WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
-    rf"| ?{SPACE.replace('[', r'[^').replace(']', r'\p{L}\p{N}]')}+|{SPACE}+(?!{NOT_SPACE})|{SPACE}+"
+    rf"| ?{SPACE.replace('[', r'[^').replace(']', r'\p{L}\p{N}]')}+"
 )
+PATTERN = WORD_PATTERN + rf"|{SPACE}+(?!{NOT_SPACE})|{SPACE}+"
 #: Words of more bytes than this are merged with a heap.
 SHORT_WORD = 96
 #: Bytes of words, and of pieces of words, kept with their ids in each worker; beyond this it starts anew.

@@ -23,17 +23,24 @@ be a power of two, and a segment limit that binds leaves a sequence padded.
 
 from __future__ import annotations
 
+import re
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ByteBpe, read_tokenizer
+from .bpe import LAST_AGREED, NOT_SPACE, SPACE, WORD_PATTERN, ByteBpe, Irregular, read_tokenizer
 from .common import held, map_batches, text_rows
 
 #: Open items a partition holds at most; each is shorter than a sequence.
 POOL = 512
+#: Characters of a text that are encoded at once, to the end of their last word.
+BLOCK = 1 << 16
+#: The characters, as of a class, for which splits may differ between libraries: from LAST_AGREED on, without white space.
+BEYOND = LAST_AGREED + r"-\u167f\u1681-\u1fff\u200b-\u2027\u202a-\u202e\u2030-\u205e\u2060-\u2fff\u3001-\U0010ffff"
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -145,17 +152,61 @@ class Packer:
             self.limits = saved
 
 
+class StretchBpe(ByteBpe):
+    """An encoder that hands text to the tiktoken library in stretches of many words.
+
+    Most words of a large table are seen too seldom for kept ids to save work, and a call for
+    each of them costs more than its merges. Where a stretch has no run of white space before a
+    word, the pattern needs no look ahead, and the library finds words and merges in one pass.
+    """
+
+    def __init__(self, tokenizer_json: str):
+        super().__init__(tokenizer_json)
+        self.blocks = re.compile(rf"[\s\S]{{1,{BLOCK}}}{SPACE}*{NOT_SPACE}*").findall
+        self.runs = re.compile(rf"{SPACE}{{2,}}").finditer
+        narrow = SPACE.replace("[", f"[^{BEYOND}")
+        self.beyond = re.compile(f"[{BEYOND}]").search
+        self.parts = re.compile(
+            rf"((?:{SPACE}*+{narrow}++(?![{BEYOND}]))*+(?:{SPACE}++\Z)?)((?:{SPACE}*+{narrow}*+[{BEYOND}]{NOT_SPACE}*+)*+)"
+        ).findall
+
+    def _encode_plain(self, text: str) -> bytes:
+        # Blocks end where a word does; they bound what one call makes.
+        return b"".join(map(self._encode_block, self.blocks(text) if len(text) > BLOCK else [text]))
+
+    def _encode_block(self, block: str) -> bytes:
+        if block.isascii() or not self.beyond(block):
+            return self._encode_agreed(block)
+        # A boundary lies before every run of white space: only the words on which libraries may differ go apart.
+        return b"".join(self._encode_agreed(agreed) + self._encode_apart(apart) for agreed, apart in self.parts(block))
+
+    def _encode_apart(self, text: str) -> bytes:
+        if text.startswith(" "):
+            try:
+                return b"".join(map(self.after_space.__getitem__, text[1:].split(" ")))
+            except Irregular:
+                pass
+        return super()._encode_plain(text)
+
+    def _encode_agreed(self, text: str) -> bytes:
+        # Of a run of white space before a word, the last character goes with the word or is a piece of its own.
+        cuts = [0, *(run.end() - 1 for run in self.runs(text) if run.end() < len(text)), len(text)]
+        ids = self.merge_stretch(text) if len(cuts) == 2 else [i for a, b in zip(cuts, cuts[1:]) for i in self.merge_stretch(text[a:b])]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _encoder(tokenizer_json: str) -> ByteBpe:
     """The encoder, with merges by the tiktoken library where ids stand in the order of merges."""
     import tiktoken
 
-    plain = ByteBpe(tokenizer_json)
-    ranks = {b: i for i, b in enumerate(plain.bytes_of) if b and i not in plain.special.values()}
-    by_rank = [plain.bytes_of[i] for i in plain.merged]
-    if sorted(plain.merged) != plain.merged or len(set(by_rank)) < len(by_rank):
-        return plain
-    plain.merge_piece = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return plain
+    bpe = StretchBpe(tokenizer_json)
+    ranks = {b: i for i, b in enumerate(bpe.bytes_of) if b and i not in bpe.special.values()}
+    by_rank = [bpe.bytes_of[i] for i in bpe.merged]
+    if sorted(bpe.merged) != bpe.merged or len(set(by_rank)) < len(by_rank):
+        return ByteBpe(tokenizer_json)
+    merges = lambda pattern: tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    bpe.merge_piece, bpe.merge_stretch = merges(r"[\s\S]+"), merges(rf"{WORD_PATTERN}|{SPACE}+")
+    return bpe
 
 
 def pack(

@@ -329,6 +329,29 @@ def test_packing_holds_every_id_once(docs, library):
         assert at <= 2048 and at & (at - 1) == 0  # nothing is padded
 
 
+def test_packing_merges_new_words_in_one_call(library, monkeypatch):
+    import tiktoken
+
+    calls, plain = [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: calls.append(text) or plain(self, text))
+    coder, text = packing._encoder(bpe.read_tokenizer(BYTE_BPE)), words(5, 3000, 10**9)
+    assert coder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("block", [1 << 16, 9])
+def test_packing_encodes_odd_texts_as_the_library(library, monkeypatch, block):
+    monkeypatch.setattr(packing, "BLOCK", block)
+    coder, r = packing._encoder(bpe.read_tokenizer(BYTE_BPE)), random.Random(9)
+    spaces = [" ", " ", "  ", "\n", "\t", " \n", "\n ", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u3000", ""]
+    parts = ["a", "Bc", "'s", "don't", "'", "9", "½", "é", "Привет", "漢", "it’s", "!!", "<|endoftext|>", "\u200b", "\ufeff", "the", "🎉", "ԯ", "՘", "e\u0301", "\x00"]
+    texts = ["".join(r.choice(parts) + r.choice(spaces) for _ in range(r.randint(0, 16))) for _ in range(3000)]
+    texts += [r.choice(spaces) + t for t in texts[:500]] + [" " * 40 + "x", "x" + "\n " * 40, " " * 40]
+    texts += [f"a{c}b {c}1{c} {c}{c}!{c}'s x" for c in map(chr, range(0x600))]
+    for t in texts:
+        assert coder.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
 def test_packing_respects_all_three_limits():
     r = random.Random(8)
     loss = lambda ids: int((np.frombuffer(ids, "<u4") % 2).sum())
