@@ -93,13 +93,23 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"create or replace temporary function vec_{name}(a array<double>, b array<double>) returns double return {body}")
 
 
-def seed_ids(query: np.ndarray, n: int, count: int) -> np.ndarray:
-    """Where walks for a query begin: from a hash of its float32 bits alone, so batches don't matter."""
-    h = np.uint64(2166136261)
+def seed_hashes(queries: np.ndarray) -> np.ndarray:
+    """Of each row of `queries` a hash of its float32 bits."""
+    h = np.full(len(queries), 2166136261, np.uint64)
     with np.errstate(over="ignore"):
-        for word in query.astype("<f4").view("<u4"):
-            h = ((h ^ np.uint64(word)) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+        for word in np.ascontiguousarray(queries.astype("<f4")).view("<u4").T:
+            h = ((h ^ word.astype(np.uint64)) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
         # The shifts and factors that spread the hash's bits.
         for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1)):
             h = ((h ^ (h >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(0xFFFFFFFF)
-    return np.unique((np.arange(count, dtype=np.uint64) * np.uint64(9973) + h * np.uint64(13)) % np.uint64(max(n, 1))).astype(np.int64)
+    return h
+
+
+def seed_places(queries: np.ndarray, n: int, count: int) -> np.ndarray:
+    """Where walks for each row of `queries` begin: from its hash alone, so batches don't matter. Some may come twice."""
+    return ((np.arange(count, dtype=np.uint64) * np.uint64(9973) + seed_hashes(queries)[:, None] * np.uint64(13)) % np.uint64(max(n, 1))).astype(np.int64)
+
+
+def seed_ids(query: np.ndarray, n: int, count: int) -> np.ndarray:
+    """Where walks for a query begin."""
+    return np.unique(seed_places(query[None], n, count))

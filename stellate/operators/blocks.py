@@ -126,12 +126,18 @@ def within(pairs: DataFrame, k: int) -> DataFrame:
                 # Rough distances have rounding errors.
                 at, near = np.nonzero(rough("l2", x, y) <= (bound + 1e-7 * (1.0 + bound))[:, None])
                 ends = np.searchsorted(at, np.arange(len(qids) + 1))
-                for n in np.unique(at):
-                    own = near[ends[n] : ends[n + 1]]
-                    found, dist = best("l2", x[n], ids[own], y[own], k, own_id=qids[n])
-                    out.append((np.full(len(found), qids[n]), found, dist))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["qid", "vec_id", "d"])
+                # Few queries at a time where bounds leave many rows.
+                step = len(qids) if len(at) <= 100_000 else 64
+                for n in range(0, len(qids), step):
+                    part = slice(ends[n], ends[min(n + step, len(qids))])
+                    who, own = at[part], near[part]
+                    who, own = who[qids[who] != ids[own]], own[qids[who] != ids[own]]
+                    d = ((y[own] - x[who]) ** 2).sum(1)
+                    order = np.lexsort((ids[own], np.round(d, RANK_DIGITS), who))
+                    who, own, d = who[order], own[order], d[order]
+                    kept = np.arange(len(who)) - np.searchsorted(who, who) < k
+                    out.append((qids[who[kept]], ids[own[kept]], d[kept]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["qid", "vec_id", "d"])
 
     return pairs.drop("d_grp").mapInArrow(run, "qid bigint, vec_id bigint, d double")
 

@@ -6,11 +6,12 @@ Edges are rows (src, rank from 0, dst). Pruning by detours is joins and ranks al
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stellate.functions.metrics import InvalidArgument, column, rough
-from stellate.operators.blocks import pack, paired, ranked, vectors, within
+from stellate.functions.metrics import InvalidArgument, column, exact, rough
+from stellate.operators.blocks import pack, paired, ranked, unpack, vectors, within
 from stellate.operators.knn import all_neighbors
 from stellate.sources.shared import checkpointed
 
@@ -23,62 +24,73 @@ def knn_graph(data: DataFrame, degree: int = 16) -> DataFrame:
     return all_neighbors(data, degree, "l2").select(F.col("qid").alias("src"), (F.col("rank") - 1).alias("rank"), F.col("vec_id").alias("dst"))
 
 
-def nn_descent(data: DataFrame, degree: int = 16, iterations: int = 6, least_change: float = 1e-4, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """A neighbour graph as edges. Few rows are compared exactly. Else a start that is random by hash is
-    improved: each row meets its neighbours' neighbours, both ways, and keeps the nearest, until few edges change."""
+def nn_descent(data: DataFrame, degree: int = 16, iterations: int = 6, least_change: float = 1e-4, exact_rows: int = EXACT_ROWS, shard_rows: int = 20_000) -> DataFrame:
+    """A neighbour graph as edges. Few rows are compared exactly. Else a random start is improved within shards: each
+    row meets its neighbours' neighbours, both ways, and keeps the nearest, until few edges change. Each row then walks
+    the graphs of the other shards. Shards meet as wholes, so only edges are shuffled, which hold their distances as `d`."""
+    from stellate.operators import walk
+
     rows = vectors(data)
-    n = rows.count()
-    if n <= exact_rows:
+    if rows.count() <= exact_rows:
         return knn_graph(data, degree)
-    place = Window.partitionBy("part").orderBy("h", "id")
-    # Rows in the order of several hashes; each takes those next to it as first neighbours.
-    parts = max(1, n // 1024)
-    near = None
-    for turn in range(2):
-        at = rows.select("id", F.xxhash64("id", F.lit(turn)).alias("h")).withColumn("part", F.pmod("h", F.lit(parts))).withColumn("place", F.row_number().over(place))
-        ahead = at.select("part", F.col("id").alias("src"), F.explode(F.sequence(F.col("place") + 1, F.col("place") + degree // 2)).alias("place"))
-        pairs = ahead.join(at.select("part", "place", F.col("id").alias("dst")), ["part", "place"]).select("src", "dst")
-        near = pairs if near is None else near.unionByName(pairs)
-    edges = checkpointed(_nearest(_both(near), rows, degree))
-    for _ in range(iterations):
-        out = edges.select("src", "dst")
-        around = _both(out)
-        # A row that many point to would meet all of them: it takes its first links by hash.
-        few = around.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.xxhash64("src", "dst"), "dst"))).where(f"r <= {2 * degree}").drop("r")
-        met = few.select(F.col("src").alias("mid"), F.col("dst").alias("src")).join(few.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        new = checkpointed(_nearest(met.unionByName(around), rows, degree))
-        changed = new.select("src", "dst").join(out, ["src", "dst"], "left_anti").count()
-        edges = new
-        if changed < least_change * n * degree:
-            break
-    return edges
+    index = checkpointed(walk.sharded(rows, degree, shard_rows, lambda x: walk.descended(x, degree, iterations, exact_rows, least_change)))
+    edges = index.select("dim", "ids", "matrix", "graph").mapInArrow(_measured_edges, "src bigint, dst bigint, d double")
+    if index.count() > 1:
+        asking = index.select(*(F.col(c).alias(f"q_{c}") for c in ("shard", "dim", "ids", "matrix")))
+        pairs = asking.crossJoin(index).where("shard <> q_shard").select("q_dim", "q_ids", "q_matrix", "dim", "ids", "matrix", "graph")
+        edges = edges.unionByName(pairs.mapInArrow(lambda batches: _walked_edges(batches, degree), "src bigint, dst bigint, d double"))
+    by = Window.partitionBy("src").orderBy(F.round("d", 9), "dst")
+    return checkpointed(edges.withColumn("rank", F.row_number().over(by) - 1).where(f"rank < {degree}").select("src", "rank", "dst", "d"))
+
+
+def _sent(parts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["src", "dst", "d"])
+
+
+def _measured_edges(batches):
+    for batch in batches:
+        for r in batch.to_pylist():
+            ids, x = unpack(r["ids"], r["matrix"], r["dim"])
+            graph, out = np.frombuffer(r["graph"], np.int32).reshape(len(ids), -1), []
+            for n, row in enumerate(graph):
+                row = row[row >= 0]
+                out.append((np.full(len(row), ids[n]), ids[row], exact("l2", x[n], x[row])))
+            yield _sent(out)
+
+
+def _walked_edges(batches, degree: int):
+    """Of each row of a shard its nearest ones in another, as walks find them in that one's graph, taken both ways."""
+    from stellate.operators.walk import pointing, walks
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            (qids, q), (ids, x) = unpack(r["q_ids"], r["q_matrix"], r["q_dim"]), unpack(r["ids"], r["matrix"], r["dim"])
+            if q.shape[1] != x.shape[1]:
+                raise InvalidArgument("vectors differ in length")
+            graph, out = np.frombuffer(r["graph"], np.int32).reshape(len(ids), -1), []
+            for qid, (at, d, _) in zip(qids, walks(q, x, np.hstack([graph, pointing(graph, degree)]), "l2", 2 * degree, 2)):
+                near = np.lexsort((ids[at], np.round(d, 9)))[:degree]
+                out.append((np.full(len(near), qid), ids[at[near]], d[near]))
+            yield _sent(out)
 
 
 def completed(edges: DataFrame, data: DataFrame, degree: int = 16) -> DataFrame:
     """A graph of `data` made exact: each row's farthest neighbour in `edges` bounds how far its nearest rows lie, and
-    all rows within that bound are measured, block by block. The nearer the graph was, the fewer these are."""
+    all rows within that bound are measured, block by block. The nearer the graph was, the fewer these are. Edges may
+    hold their distances as `d`, which are else measured."""
     rows = vectors(data)
-    x = rows.select(F.col("id").alias("src"), F.col("v").alias("x"))
-    far = edges.join(x, "src").join(rows.select(F.col("id").alias("dst"), F.col("v").alias("y")), "dst").select("src", column("l2", F.col("x"), F.col("y")).alias("d"))
+    far = edges
+    if "d" not in edges.columns:
+        x = rows.select(F.col("id").alias("src"), F.col("v").alias("x"))
+        far = edges.join(x, "src").join(rows.select(F.col("id").alias("dst"), F.col("v").alias("y")), "dst").select("src", column("l2", F.col("x"), F.col("y")).alias("d"))
     # A row with fewer edges than asked for has no bound.
     bounds = far.groupBy("src").agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(F.lit(1e300)).alias("bound"))
     asked = rows.join(bounds.withColumnRenamed("src", "id"), "id", "left").select("id", F.concat("v", F.array(F.coalesce("bound", F.lit(1e300)))).alias("v"))
-    found = ranked(within(paired(pack(asked), pack(rows)), degree), degree)
+    # Pairs of partitions are computed one by one, and would compute their blocks each time.
+    found = ranked(within(paired(checkpointed(pack(asked)), checkpointed(pack(rows))), degree), degree)
     return found.select(F.col("qid").alias("src"), (F.col("rank") - 1).alias("rank"), F.col("vec_id").alias("dst"))
 
 
-def _both(pairs: DataFrame) -> DataFrame:
-    return pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-
-
-def _nearest(pairs: DataFrame, rows: DataFrame, degree: int) -> DataFrame:
-    pairs = pairs.where("src <> dst").distinct()
-    far = pairs.join(rows.select(F.col("id").alias("src"), F.col("v").alias("x")), "src").join(rows.select(F.col("id").alias("dst"), F.col("v").alias("y")), "dst")
-    d = far.select("src", "dst", F.round(column("l2", F.col("x"), F.col("y")), 9).alias("d"))
-    by = Window.partitionBy("src").orderBy("d", "dst")
-    return d.withColumn("rank", F.row_number().over(by) - 1).where(f"rank < {degree}").select("src", "rank", "dst")
-
-
 def check_full(edges: DataFrame) -> None:
     """Raises unless every row has as many distinct neighbours as the others, none of them itself."""
     per = edges.groupBy("src").agg(F.count("*").alias("n"), F.countDistinct("dst").alias("d"), F.countDistinct("rank").alias("r"), F.max(F.col("src") == F.col("dst")).alias("own"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.functions.metrics import InvalidArgument, check_metric, exact, rough, seed_ids
+from stellate.functions.metrics import InvalidArgument, check_metric, exact, rough, seed_ids, seed_places
 from stellate.operators.blocks import check_k, matrix, pack, ranked, unpack, vectors
 from stellate.operators.cluster import nearest_centre
 from stellate.operators.graph import EXACT_ROWS, robust_prune
@@ -74,7 +74,7 @@ def _nearest_of(x: np.ndarray, near: np.ndarray, degree: int) -> np.ndarray:
     return out
 
 
-def _pointing(graph: np.ndarray, most: int) -> np.ndarray:
+def pointing(graph: np.ndarray, most: int) -> np.ndarray:
     """The first `most` rows that point to each row; -1 where there are fewer."""
     src, dst = np.repeat(np.arange(len(graph)), graph.shape[1]), graph.ravel()
     src, dst = src[dst >= 0], dst[dst >= 0]
@@ -96,7 +96,7 @@ def descended(x: np.ndarray, degree: int, turns: int = 6, exact_rows: int = EXAC
     graph = np.empty((n, degree), np.int32)
     graph[deal] = deal[(np.arange(n)[:, None] + ahead) % n]
     for _ in range(turns):
-        around = np.hstack([graph, _pointing(graph, degree)])
+        around = np.hstack([graph, pointing(graph, degree)])
         met = np.where(around[:, :, None] >= 0, graph[around], -1).reshape(n, -1)
         new = _nearest_of(x, np.hstack([around, met]), degree)
         changed = (~(new[:, :, None] == graph[:, None, :]).any(2)).mean()
@@ -111,10 +111,8 @@ def searched(x: np.ndarray, degree: int, exact_rows: int = EXACT_ROWS, rounds: i
     graph = descended(x, degree, 4, exact_rows)
     for _ in range(rounds):
         near = np.full((len(x), degree), -1, np.int32)
-        for i in range(len(x)):
-            seen, _ = walk(x[i], x, graph, "l2", 2 * degree, 2)
-            seen.pop(i, None)
-            at, d = np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), float, len(seen))
+        for i, (at, d, _) in enumerate(walks(x, x, graph, "l2", 2 * degree, 2)):
+            at, d = at[at != i], d[at != i]
             best = at[np.lexsort((at, np.round(d, 9)))[:degree]]
             near[i, : len(best)] = best
         graph = near
@@ -189,28 +187,36 @@ def _row(shard: int, shards: int, degree: int, ids: np.ndarray, x: np.ndarray, g
     return pa.table([pa.array([c], t) for c, t in zip(row, TYPES)], names=NAMES)
 
 
-def build(data: DataFrame, kind: str = "cagra", degree: int = 16, first_degree: int = 32, alpha: float = 1.2, shard_rows: int = SHARD_ROWS, first: str = "exact") -> DataFrame:
-    """A graph index of `data`: detour pruning (cagra, and hnsw's base layer) or robust pruning (vamana),
-    of a `first` graph that is exact or found in another way."""
-    if kind not in ("cagra", "hnsw", "vamana") or first not in FIRST:
-        raise InvalidArgument(f"unknown kind {kind!r} or first graph {first!r}")
-    rows = vectors(data)
+def sharded(rows: DataFrame, degree: int, shard_rows: int, made) -> DataFrame:
+    """Shards of `rows` (id, v), each with the graph that `made` gives for its vectors, which are in the order of ids."""
     shards = max(1, -(-rows.count() // shard_rows))
-    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v")
-    alpha = alpha if alpha > 0 else 1.2
+    # Spark would join small partitions of its own choice, and one task would make all graphs; it keeps a number given.
+    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v").repartition(4 * shards if shards > 1 else 1, "shard")
 
     def shard(key, table):
         table = table.sort_by("id")
         ids, x = table["id"].to_numpy(), matrix(table["v"])
         if not np.isfinite(x).all():
             raise InvalidArgument("a graph takes finite vectors only")
-        graph = FIRST[first](x, min(2 * degree if kind == "vamana" else first_degree, max(len(x) - 1, 1)))
-        graph = prune_robustly(x, graph, degree, alpha) if kind == "vamana" else prune_detours(graph, degree)
-        return _row(key[0].as_py(), shards, degree, ids, x, graph)
+        return _row(key[0].as_py(), shards, degree, ids, x, made(x))
 
     return rows.groupBy("shard").applyInArrow(shard, SCHEMA)
 
 
+def build(data: DataFrame, kind: str = "cagra", degree: int = 16, first_degree: int = 32, alpha: float = 1.2, shard_rows: int = SHARD_ROWS, first: str = "exact") -> DataFrame:
+    """A graph index of `data`: detour pruning (cagra, and hnsw's base layer) or robust pruning (vamana),
+    of a `first` graph that is exact or found in another way."""
+    if kind not in ("cagra", "hnsw", "vamana") or first not in FIRST:
+        raise InvalidArgument(f"unknown kind {kind!r} or first graph {first!r}")
+    alpha = alpha if alpha > 0 else 1.2
+
+    def made(x):
+        graph = FIRST[first](x, min(2 * degree if kind == "vamana" else first_degree, max(len(x) - 1, 1)))
+        return prune_robustly(x, graph, degree, alpha) if kind == "vamana" else prune_detours(graph, degree)
+
+    return sharded(vectors(data), degree, shard_rows, made)
+
+
 def walk(q: np.ndarray, x: np.ndarray, graph: np.ndarray, metric: str, keep: int, width: int) -> tuple[dict[int, float], int]:
     """Distances of the rows that a greedy walk saw, and its turns: it expands the `width` best open rows
     of the best `keep` until none is open, for a bounded number of turns."""
@@ -240,6 +246,82 @@ def walk(q: np.ndarray, x: np.ndarray, graph: np.ndarray, metric: str, keep: int
     return seen, turns
 
 
+#: Queries that walk a shard together, and their seen rows' distances, are this many numbers at most.
+TOGETHER = 2_500_000
+
+
+def walks(q: np.ndarray, x: np.ndarray, graph: np.ndarray, metric: str, keep: int, width: int):
+    """walk() of each row of q: the places and distances of the rows it saw, and its turns. The walks of squared or plain
+    L2 distances take their turns together; one that has ended waits. Of equally far rows those seen before come first.
+    Rows that are too far for the best `keep` are told by rough products and have rough distances."""
+    n, step = len(x), max(1, TOGETHER // max(1, len(x)))
+    if metric not in ("l2", "l2sqrt"):
+        for v in q:
+            seen, turns = walk(v, x, graph, metric, keep, width)
+            yield np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), float, len(seen)), turns
+        return
+    short, norm = x.astype("f4"), (x * x).sum(1)
+    far = np.empty((min(step, len(q)), n))
+    for i in range(0, len(q), step):
+        v = q[i : i + step]
+        m, short_v, norm_v = len(v), v.astype("f4"), (v * v).sum(1)
+        met = np.zeros((m, n), bool)
+        # The best rows so far of each walk, by distance; n stands for none.
+        best_d, best, done, turns = np.full((m, keep), np.inf), np.full((m, keep), n), np.ones((m, keep), bool), np.zeros(m, int)
+
+        def distinct(keys):
+            keys = np.sort(keys, axis=None)
+            return np.divmod(keys[np.diff(keys, prepend=-1) > 0], n)
+
+        def see(row, at):
+            """Of each walk in `row`, which is in order, the rows `at`, which it has not met."""
+            total = norm[at] + norm_v[row]
+            d = np.maximum(total - 2.0 * np.einsum("ij,ij->i", short[at], short_v[row]), 0.0)
+            limit = best_d[row, -1] if metric == "l2" else best_d[row, -1] ** 2
+            near = ~(d > limit + 1e-5 * total)
+            far[row, at], met[row, at] = d if metric == "l2" else np.sqrt(d), True
+            row, at = row[near], at[near]
+            d = ((x[at] - v[row]) ** 2).sum(1)
+            d = d if metric == "l2" else np.sqrt(d)
+            far[row, at] = d
+            d = np.round(d, 9)
+            near = d < best_d[row, -1]
+            row, at, d = row[near], at[near], d[near]
+            if not len(row):
+                return
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            many = np.diff(np.r_[first, len(row)])
+            some, place = row[first], np.arange(len(row)) - np.repeat(first, many)
+            which = np.repeat(np.arange(len(some)), many)
+            new_d, new = np.full((len(some), many.max()), np.inf), np.full((len(some), many.max()), n)
+            new_d[which, place], new[which, place] = d, at
+            all_d = np.hstack([best_d[some], new_d])
+            order = np.argsort(all_d, axis=1, kind="stable")[:, :keep]
+            best_d[some] = np.take_along_axis(all_d, order, 1)
+            best[some] = np.take_along_axis(np.hstack([best[some], new]), order, 1)
+            done[some] = np.take_along_axis(np.hstack([done[some], new == n]), order, 1)
+
+        see(*distinct(np.arange(m)[:, None] * n + seed_places(v, n, max(32, width))))
+        going = np.arange(m)
+        for _ in range(max(24, 6 * keep)):
+            open_ = ~done[going]
+            going, open_ = going[open_.any(1)], open_[open_.any(1)]
+            if not len(going):
+                break
+            turns[going] += 1
+            row, at = np.nonzero(open_ & (np.cumsum(open_, axis=1) <= width))
+            row = going[row]
+            done[row, at] = True
+            new = graph[best[row, at]]
+            row, at = distinct((row[:, None] * n + new)[new >= 0])
+            fresh = ~met[row, at]
+            if fresh.any():
+                see(row[fresh], at[fresh])
+        for w in range(m):
+            at = np.flatnonzero(met[w])
+            yield at, far[w, at], int(turns[w])
+
+
 def _shards(index: DataFrame) -> int:
     return index.agg(F.max("shards")).first()[0] or 1
 
@@ -376,21 +458,25 @@ def _masks(index: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return index.join(listed, "shard", "left")
 
 
-def _best(metric: str, v, ids, x, graph, keep: int, width: int, mine, k: int):
-    """Places and distances of the best k rows that may be returned, and the walk's turns and rows seen.
-    Where a filter leaves few rows, or the walk met too few of them, they are all measured."""
+def _best(metric: str, q: np.ndarray, ids, x, graph, keep: int, width: int, mine, k: int):
+    """For each of the queries `q`, places and distances of the best k rows that may be returned, and the walk's turns
+    and rows seen. Where a filter leaves few rows, or the walk met too few of them, they are all measured."""
     if mine is None or mine.sum() > SCAN_ROWS:
-        seen, turns = walk(v, x, graph, metric, keep, width)
-        at, d = np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), float, len(seen))
-        if mine is not None:
-            at, d = at[mine[at]], d[mine[at]]
-        if mine is None or len(at) >= min(k, mine.sum()):
+        for v, (at, d, turns) in zip(q, walks(q, x, graph, metric, keep, width)):
+            seen = len(at)
+            if mine is not None:
+                at = at[mine[at]]
+                if len(at) < min(k, mine.sum()):
+                    at, turns, seen = np.flatnonzero(mine), 0, int(mine.sum())
+                d = exact(metric, v, x[at])
             best = np.lexsort((ids[at], np.round(d, 9)))[:k]
-            return at[best], d[best], turns, len(seen)
+            yield at[best], d[best], turns, seen
+        return
     at = np.flatnonzero(mine)
-    d = exact(metric, v, x[at]) if len(at) else np.empty(0)
-    best = np.lexsort((ids[at], np.round(d, 9)))[:k]
-    return at[best], d[best], 0, len(at)
+    for v in q:
+        d = exact(metric, v, x[at]) if len(at) else np.empty(0)
+        best = np.lexsort((ids[at], np.round(d, 9)))[:k]
+        yield at[best], d[best], 0, len(at)
 
 
 def _checked(metric: str, q: np.ndarray, ids: np.ndarray, x: np.ndarray, mine, found: list, k: int) -> list:
@@ -476,7 +562,7 @@ def search(
                 if not plain:
                     mine = np.isin(ids, r["only"] or []) if "only" in r else np.ones(len(ids), bool)
                     mine &= ~np.isin(ids, r.get("gone") or [])
-                met = [_best(metric, v, ids, x, graph, keep, width, mine, k if y is None else keep) for v in q]
+                met = list(_best(metric, q, ids, x, graph, keep, width, mine, k if y is None else keep))
                 if y is not None:
                     met = _remeasured(metric, q, ids, y, np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1), shipped.value, mine, met, k, sure)
                 for qid, (at, d, turns, seen) in zip(qids, _checked(metric, q, ids, x, mine, met, k) if check else met):
@@ -485,7 +571,7 @@ def search(
 
     shipped = None if books is None else index.sparkSession.sparkContext.broadcast(books)
     names = ["qid", "shard", "turns", "seen"] if counters else ["qid", "vec_id", "d"]
-    blocks = pack(vectors(queries), size=64).select(*(F.col(c).alias(f"q_{c}") for c in ("dim", "ids", "matrix")))
+    blocks = pack(vectors(queries), size=512).select(*(F.col(c).alias(f"q_{c}") for c in ("dim", "ids", "matrix")))
     masks = [c for c in ("only", "gone") if c in index.columns]
     held = [c for c in ("matrix", "codes") if c in index.columns and (c == "matrix" or books is not None)]
     pairs = blocks.crossJoin(index).select("q_dim", "q_ids", "q_matrix", "shard", "dim", "ids", "graph", *held, *masks)

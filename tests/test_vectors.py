@@ -1,3 +1,4 @@
+import os
 import threading
 
 import numpy as np
@@ -622,3 +623,49 @@ def test_least_is_the_head_of_a_stable_sort():
     d[3] = np.inf
     for m in (0, 1, 16, 299, 300, 400):
         assert np.array_equal(walk._least(d, m), np.argsort(d, axis=1, kind="stable")[:, :m])
+
+
+def shuffled(spark) -> dict[str, int]:
+    """Bytes of each shuffle file that lies in the session's local folders."""
+    there = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+    files = [os.path.join(d, f) for top in there for d, _, names in os.walk(top.getPath()) for f in names if f.startswith("shuffle_")]
+    return {f: os.path.getsize(f) for f in files if os.path.exists(f)}
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_descent_shuffles_edges_alone(spark, shards):
+    """No vector moves for a pair of rows; shards that meet give a graph over all rows, which the check makes exact."""
+    x = store.lcg_matrix(1500, 8, 303)
+    data, before = frame(spark, x).repartition(3).cache(), set(shuffled(spark))
+    found = (graph.nn_descent(data, 8, exact_rows=10) if shards == 1 else graph.nn_descent(data, 8, exact_rows=10, shard_rows=500)).cache()
+    exact = graph.knn_graph(data, 8).cache()
+    assert found.groupBy("src").count().where("count = 8").count() == 1500
+    # Twice the rows and three times what edges of all shards would take, without compression.
+    assert sum(size for f, size in shuffled(spark).items() if f not in before) < 2 * 1500 * 8 * 8 + 3 * shards * 1500 * 8 * 24
+    graph.check_full(found)
+    assert found.select("src", "dst").intersect(exact.select("src", "dst")).count() / exact.count() > 0.9
+    assert rows(graph.completed(found, data, 8), "src", "rank", "dst") == rows(exact, "src", "rank", "dst")
+
+
+@pytest.mark.parametrize("metric", ["l2", "l2sqrt", "cosine"])
+def test_walks_together_are_single_walks(metric):
+    x = np.random.default_rng(21).normal(size=(900, 24))
+    x[-40:] = x[:40]
+    g = walk.prune_detours(walk.neighbours(x, 16), 8)
+    g[5] = -1
+    for at, d, turns in [w for step in (1, 7, 2_500_000) for w in [*_together(x, g, metric, step)]]:
+        assert turns and len(set(at.tolist())) == len(at) == len(d)
+
+
+def _together(x, g, metric, together, keep=24):
+    """Walks in batches, held against walks one by one: the same rows seen, in as many turns, and the same nearest."""
+    walk.TOGETHER, usual = together, walk.TOGETHER
+    try:
+        found = list(walk.walks(x[:50:2], x, g, metric, keep, 3))
+    finally:
+        walk.TOGETHER = usual
+    for v, (at, d, turns) in zip(x[:50:2], found):
+        seen, told = walk.walk(v, x, g, metric, keep, 3)
+        best = lambda pairs: sorted((round(far, 9), i) for i, far in pairs)[:10]
+        assert best(seen.items()) == best(zip(at.tolist(), d.tolist()))
+        yield at, d, turns
